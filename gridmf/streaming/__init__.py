@@ -1,0 +1,7 @@
+"""Streaming.
+
+The engine this repository re-implements has no stream input, watermark,
+windowed aggregate or stateful stream operator: training is an iterative batch
+job over a static rating table.  This package is therefore intentionally empty;
+see README ("What is not built").
+"""
