@@ -1,0 +1,72 @@
+"""Run every registered query in Spark and its SQL oracle in DuckDB, compare.
+
+Usage: python tests/oracle_check.py [sf_dir] [name ...]
+Compares row count, column names and an order-insensitive hash of the values.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import sys
+import time
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = ("region nation customer supplier part orders lineitem events documents "
+          "embeddings pages benchmark labels conversations").split()
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return repr(round(v, 9))
+    return repr(v)
+
+
+def digest(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
+    return hashlib.md5("\n".join(lines).encode()).hexdigest()
+
+
+def main():
+    import __spark_entry__ as entry
+    from gridmf.session import local_session
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(entry.queries())
+    spark = local_session(8)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    sqls = entry.oracle_sql()
+    bad = 0
+    for name in names:
+        t0 = time.time()
+        df = entry.queries()[name](spark, sf)
+        cols = df.columns
+        rows = [tuple(r) for r in df.collect()]
+        dt = time.time() - t0
+        if name not in sqls:
+            print(f"{name:24s} rows-only  n={len(rows)}  {dt:.1f}s")
+            continue
+        res = con.execute(sqls[name])
+        ocols = [d[0] for d in res.description]
+        orows = res.fetchall()
+        ok = (sorted(cols) == sorted(ocols) and len(rows) == len(orows)
+              and digest(cols, rows) == digest(ocols, orows))
+        bad += not ok
+        print(f"{name:24s} {'OK ' if ok else 'BAD'} n={len(rows)}/{len(orows)} {dt:.1f}s"
+              + ("" if ok else f" cols={cols} ocols={ocols}"))
+        if not ok and sorted(cols) == sorted(ocols):
+            a = sorted(tuple(_norm(r[cols.index(c)]) for c in sorted(cols)) for r in rows)
+            b = sorted(tuple(_norm(r[ocols.index(c)]) for c in sorted(ocols)) for r in orows)
+            diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
+            print("   first diffs:", diff)
+    print("mismatches:", bad)
+
+
+if __name__ == "__main__":
+    main()
