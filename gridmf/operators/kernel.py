@@ -21,6 +21,7 @@ sequential result (up to the summation order inside a dot product).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 KIND_W, KIND_H, KIND_RATING = 0, 1, 2
 MATRIX_NAMES = {KIND_W: "W", KIND_H: "H"}
 # Union layout fed to the kernel; factor rows leave y_id/rating/ord NULL,
-# rating rows leave block/vec NULL and carry x_id in ``id``.
+# rating rows leave block NULL, carry an empty vec and x_id in ``id``.
 KERNEL_INPUT_COLUMNS = ["pos", "kind", "id", "y_id", "rating", "ord", "block", "vec"]
 CHUNK_ROWS = 65536
 OUTPUT_ROWS = 8192
@@ -192,3 +193,19 @@ def make_sgd_kernel(eta: float):
         yield from state.emit()
 
     return sgd_cell
+
+
+def _ship_by_value() -> None:
+    """Pickle this module's code with the function that Spark sends to workers.
+
+    The kernel then runs on executors that have numpy and pandas but not this
+    package installed (or a different working directory).
+    """
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+        pass
+
+
+_ship_by_value()

@@ -68,7 +68,10 @@ def _rating_rows(cells: DataFrame) -> DataFrame:
     return cells.select(
         F.col("pos").cast("int"), F.lit(KIND_RATING).alias("kind"),
         F.col("x_id").alias("id"), "y_id", "rating", "ord",
-        F.lit(None).cast("int").alias("block"), F.lit(None).cast("array<double>").alias("vec"))
+        F.lit(None).cast("int").alias("block"),
+        # An empty array, not NULL: NULL arrays make the JVM->Arrow transfer
+        # of rating rows several times slower.
+        F.array().cast("array<double>").alias("vec"))
 
 
 def _factor_rows(factors: DataFrame, pos) -> DataFrame:
