@@ -1,0 +1,40 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+
+    s = (SparkSession.builder.master("local[*]")
+         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "8g")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridmf-test-ckpt-"))
+         .getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
+    s.stop()
+
+
+@pytest.fixture(scope="session")
+def ratings_small(spark):
+    """FIXTURES.md ``ratings_small``: sf0.01 view, x_id < 60 and y_id < 80."""
+    from gridmf.sources.ratings import ratings_view
+    from pyspark.sql import functions as F
+
+    return ratings_view(spark, SF_MID).where((F.col("x_id") < 60) & (F.col("y_id") < 80)).cache()
+
+
+def triples(df):
+    return [(r.x_id, r.y_id, r.rating) for r in df.collect()]

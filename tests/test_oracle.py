@@ -1,0 +1,38 @@
+"""Every registered query with SQL equals its DuckDB oracle (sf0.001)."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from conftest import SF_SMALL
+from oracle_check import TABLES, digest
+
+SQL = entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_oracle(spark, con, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    rows = [tuple(r) for r in df.collect()]
+    res = con.execute(SQL[name])
+    ocols = [d[0] for d in res.description]
+    orows = res.fetchall()
+    assert sorted(df.columns) == sorted(ocols)
+    assert len(rows) == len(orows)
+    assert digest(df.columns, rows) == digest(ocols, orows)
+
+
+def test_every_query_runs_and_entry(spark):
+    assert set(SQL) <= set(entry.queries())
+    for name in set(entry.queries()) - set(SQL):
+        assert entry.queries()[name](spark, SF_SMALL).count() >= 0
+    log = entry.entry(spark).collect()
+    assert [r.iteration for r in sorted(log)] == [0, 1]
