@@ -195,6 +195,35 @@ def make_sgd_kernel(eta: float):
     return sgd_cell
 
 
+def make_error_kernel():
+    """Grouped-map function: ``(sse, n)`` of one cell under its two factor blocks."""
+
+    def cell_error(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = _CellState(0.0)
+        sse, n = 0.0, 0
+        for batch in batches:
+            kinds = batch["kind"].to_numpy()
+            if len(kinds) > 1 and np.any(kinds[1:] < kinds[:-1]):
+                raise RuntimeError("group is not sorted by kind (W, H, ratings)")
+            is_rating = kinds == KIND_RATING
+            if not is_rating.all():
+                state.add_factors(batch[~is_rating])
+            if is_rating.any():
+                if not state.ready:
+                    state._finalize_factors()
+                rows = batch[is_rating]
+                w_ids, _, W = state.mats[KIND_W]
+                h_ids, _, H = state.mats[KIND_H]
+                rw = state._rows_of(w_ids, rows["id"].to_numpy(dtype=np.int64), "x")
+                rh = state._rows_of(h_ids, rows["y_id"].to_numpy(dtype=np.int64), "y")
+                diff = rows["rating"].to_numpy(dtype=np.float64) - np.einsum("ij,ij->i", W[rw], H[rh])
+                sse += float(np.dot(diff, diff))
+                n += len(diff)
+        yield pd.DataFrame({"sse": [sse], "n": [n]})
+
+    return cell_error
+
+
 def _ship_by_value() -> None:
     """Pickle this module's code with the function that Spark sends to workers.
 

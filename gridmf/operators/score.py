@@ -63,5 +63,42 @@ def error_summary(scored: DataFrame) -> DataFrame:
 
 
 def evaluate(ratings: DataFrame, factors: DataFrame, **kw) -> DataFrame:
-    """Squared error, count and RMSE of a model over the given triples (T5)."""
+    """Squared error, count and RMSE of a model over any triples (T5), by join."""
     return error_summary(predict(ratings, factors, **kw))
+
+
+def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int) -> DataFrame:
+    """Squared error, count and RMSE over triples already laid on the grid.
+
+    One job with N*N groups, one per (stratum, x-block): each group streams its
+    cell's narrow ``(x, y, rating)`` rows against the W and H blocks that meet
+    there, computed in numpy.  Ratings move once and without vectors; each
+    factor row is replicated to the N cells of its block (the replication of H
+    to every position, applied to both sides).  ``cells`` needs ``bx``/``by``
+    consistent with the factors' ``block`` column.  Memory per task: one W and
+    one H block plus one Arrow batch.
+    """
+    from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel
+
+    n = int(num_blocks)
+    stratum = F.expr(f"pmod(by - bx, {n})")
+    ratings = cells.select(
+        (stratum * n + F.col("bx")).cast("int").alias("pos"), F.lit(KIND_RATING).alias("kind"),
+        F.col("x_id").alias("id"), "y_id", "rating", F.lit(None).cast("bigint").alias("ord"),
+        F.lit(None).cast("int").alias("block"), F.array().cast("array<double>").alias("vec"))
+    s = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")
+    reps = factors.select("matrix", "id", "block", "vec", s)
+    is_w = F.col("matrix") == F.lit("W")
+    pos = F.when(is_w, F.col("s") * n + F.col("block")).otherwise(
+        F.col("s") * n + F.expr(f"pmod(block - s, {n})"))
+    fac = reps.select(pos.cast("int").alias("pos"),
+                      F.when(is_w, F.lit(KIND_W)).otherwise(F.lit(KIND_H)).alias("kind"),
+                      "id", F.lit(None).cast("int").alias("y_id"), F.lit(None).cast("double").alias("rating"),
+                      F.lit(None).cast("bigint").alias("ord"), "block", "vec")
+    per_cell = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
+                .repartitionById(n * n, "pos")
+                .sortWithinPartitions("pos", "kind", "id")
+                .groupBy("pos").applyInPandas(make_error_kernel(), "sse double, n long"))
+    return (per_cell.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),
+                         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+                    .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))

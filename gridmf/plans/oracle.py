@@ -9,7 +9,7 @@ engine's double-to-string rendering; its decoded values are checked instead.
 
 from __future__ import annotations
 
-from gridmf.plans.queries import DIGITS, HOLE_BLOCK, K, N, SEED, STEP
+from gridmf.plans.queries import DECAY, DIGITS, EPOCHS, HOLE_BLOCK, K, N, SEED, STEP
 
 RV = """rv AS (
   SELECT CAST(o.o_custkey AS INTEGER) AS x_id, CAST(l.l_partkey AS INTEGER) AS y_id,
@@ -168,6 +168,11 @@ ORACLE_SQL: dict[str, str] = {
     "relabel_ids": _with(DOM, f"px AS ({perm('x', 'nx')})", f"py AS ({perm('y', 'ny')})")
         + """SELECT px.new_id AS x_id, py.new_id AS y_id, rv.rating FROM rv
         JOIN px ON rv.x_id = px.old_id JOIN py ON rv.y_id = py.old_id""",
+    "relabeled_csv": _with(DOM, f"px AS ({perm('x', 'nx')})", f"py AS ({perm('y', 'ny')})")
+        + """SELECT px.new_id AS x_id, py.new_id AS y_id, rv.rating FROM rv
+        JOIN px ON rv.x_id = px.old_id JOIN py ON rv.y_id = py.old_id""",
+    "step_schedule": _with() + f"""SELECT CAST(e AS INTEGER) AS iteration, round({STEP!r} * pow({DECAY!r}, e), 12) AS step_size,
+        (SELECT count(*) FROM rv) AS updates FROM range(0, {EPOCHS}) t(e)""",
     "cells_write_read": _with(DOM, GRID) + 'SELECT x_id, y_id, rating, bx, "by" FROM grid',
     "cell_lines": cell_line_sql('SELECT bx, "by", part, line FROM cl'),
     "cell_lines_decode": _with() + "SELECT x_id, y_id, rating FROM rv",

@@ -17,7 +17,7 @@ from gridmf.operators import blocks
 from gridmf.operators.domain import domain_sizes, id_domain
 from gridmf.operators.factors import embeddings_as_factors, factors_long, init_factors, side
 from gridmf.operators.relabel import permute_ids, relabel
-from gridmf.operators.score import attach_factors, error_summary, evaluate, predict
+from gridmf.operators.score import attach_factors, error_summary, evaluate_grid, predict
 from gridmf.plans import train
 from gridmf.session import scratch_path
 from gridmf.sources import celltext, factortext, files
@@ -217,8 +217,11 @@ def q_rmse(spark, sf):
 
 
 def q_evaluate(spark, sf):
-    return _summary(spark, sf).select(F.round("sse", 4).alias("sse"), "n",
-                                      F.round("rmse", 9).alias("rmse"))
+    """Blocked evaluation on the grid (the form training uses each epoch)."""
+    r, nx, ny = _ctx(spark, sf)
+    cells = blocks.assign_grid(r, nx, ny, N)
+    return evaluate_grid(cells, _init(spark, nx, ny), N).select(
+        F.round("sse", 4).alias("sse"), "n", F.round("rmse", 9).alias("rmse"))
 
 
 def q_ratings_join_w(spark, sf):
@@ -292,8 +295,24 @@ def q_relabel_ids(spark, sf):
     return relabel(r, permute_ids(spark, nx, "x", SEED), permute_ids(spark, ny, "y", SEED), nx, ny)
 
 
+def q_relabeled_csv(spark, sf):
+    """Relabeled ratings through the CSV sink and the typed scan (S9 + S1)."""
+    path = scratch_path(spark, "relabeled-csv")
+    write_ratings_csv(q_relabel_ids(spark, sf), path)
+    return read_ratings_csv(spark, path)
+
+
 # --- training ---------------------------------------------------------------
 
+def q_step_schedule(spark, sf):
+    """Step size of each epoch and the updates made at it (every triple once)."""
+    n = _rv(spark, sf).agg(F.count(F.lit(1)).alias("updates"))
+    it = n.select(F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("iteration"), "updates") \
+        .withColumn("iteration", F.col("iteration").cast("int"))
+    rate = F.lit(float(STEP)) * F.pow(F.lit(float(DECAY)), F.col("iteration"))
+    return it.select("iteration", F.round(rate, 12).alias("step_size"), "updates")
+
+
 def _fit(spark, sf, **kw):
     return train.fit(_rv(spark, sf), rank=K, num_blocks=N, epochs=kw.pop("epochs", EPOCHS),
                      step=STEP, decay=DECAY, seed=SEED, **kw)
@@ -357,12 +376,14 @@ QUERIES = {
     "empty_cell_passthrough": q_empty_cell_passthrough,
     "permute_ids": q_permute_ids,
     "relabel_ids": q_relabel_ids,
+    "relabeled_csv": q_relabeled_csv,
     "cells_write_read": q_cells_write_read,
     "cell_lines": q_cell_lines,
     "cell_lines_decode": q_cell_lines_decode,
     "factor_lines": q_factor_lines,
     "factor_lines_decode": q_factor_lines_decode,
     "model_write_read": q_model_write_read,
+    "step_schedule": q_step_schedule,
     "dsgd_subepoch": q_dsgd_subepoch,
     "dsgd_train": q_dsgd_train,
     "training_log": q_training_log,

@@ -11,8 +11,13 @@ Per step the plan is::
 
 Each step moves the active ratings (1/N of them, so every rating once per
 epoch) plus the factor rows (about ``8*K*(n_x+n_y)`` bytes); the reference
-moved all cells and all factors every sub-epoch.  The ratings are laid out once
-by ``blockify`` and persisted.
+moved all cells and all factors every sub-epoch.
+
+The ratings are laid out once: grid columns added, then written to the shared
+checkpoint folder partitioned by the step that uses them (stratum, or wave of
+the sweep).  A step reads only its own directory (partition pruning), nothing
+has to stay in executor memory between steps, and a lost executor only costs
+the retry of its tasks - every step starts from written tables.
 
 Schedules
 * ``stratified`` (DSGD): sub-epoch ``s`` runs the N cells ``by = (bx+s) mod N``
@@ -34,7 +39,7 @@ from gridmf.operators import blocks
 from gridmf.operators.domain import domain_sizes
 from gridmf.operators.factors import FACTOR_SCHEMA, init_factors
 from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_sgd_kernel
-from gridmf.operators.score import DEFAULT_BROADCAST_LIMIT, evaluate
+from gridmf.operators.score import evaluate_grid
 from gridmf.session import ensure_checkpoint_dir, scratch_path
 
 STRATIFIED = "stratified"
@@ -56,12 +61,38 @@ def step_schedule(ratings: DataFrame, epochs: int, step: float = 0.001,
             .withColumn("step_size", F.lit(float(step)) * F.pow(F.lit(float(decay)), F.col("iteration"))))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared checkpoint folder and read back (reliable lineage cut)."""
+def materialize(df: DataFrame, name: str, with_path: bool = False):
+    """Write to the shared checkpoint folder and read back (reliable lineage cut).
+
+    The schema is passed to the reader, so reading back starts no job.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back, path) if with_path else back
+
+
+def drop_table(spark, path: str) -> None:
+    """Delete a superseded intermediate table from the checkpoint folder."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, seed: int,
+               schedule: str) -> tuple[DataFrame, str]:
+    """Grid layout written once, partitioned by ``step`` (stratum or wave)."""
+    split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
+    cells = blocks.with_order(
+        blocks.assign_grid(ratings, num_x_ids, num_y_ids, num_blocks, split), seed)
+    step = F.col("stratum") if schedule == STRATIFIED else F.col("bx") + F.col("by")
+    cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"))
+    spark = ratings.sparkSession
+    path = scratch_path(spark, "grid")
+    cells.write.partitionBy("step").parquet(path)
+    grid = spark.read.schema(cells.schema).option("basePath", path).parquet(path)
+    return grid, path
 
 
 def _rating_rows(cells: DataFrame) -> DataFrame:
@@ -93,13 +124,19 @@ def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
                  .applyInPandas(make_sgd_kernel(eta), FACTOR_SCHEMA))
 
 
+def _active(cells: DataFrame, step: int, derived) -> DataFrame:
+    """Ratings of one step; a ``step`` column (written grid) prunes directories."""
+    cond = F.col("step") == F.lit(step) if "step" in cells.columns else derived == F.lit(step)
+    return cells.where(cond).withColumn("pos", F.col("bx"))
+
+
 def dsgd_subepoch(cells: DataFrame, factors: DataFrame, sub_epoch: int, num_blocks: int,
                   eta: float) -> DataFrame:
     """Stratified sub-epoch ``s`` (T2): all factor rows, the cells of stratum ``s``."""
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w, F.col("block")).otherwise(
         F.expr(f"pmod(block - {int(sub_epoch)}, {int(num_blocks)})"))
-    active = blocks.stratum_cells(cells, sub_epoch).withColumn("pos", F.col("bx"))
+    active = _active(cells, sub_epoch, F.col("stratum") if "stratum" in cells.columns else None)
     return run_cells(_factor_rows(factors, pos), _rating_rows(active), num_blocks, eta)
 
 
@@ -110,8 +147,7 @@ def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
     in_wave = F.col("block").between(lo, hi)
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w, F.col("block")).otherwise(F.lit(wave) - F.col("block"))
-    active_cells = (cells.where(F.col("bx") + F.col("by") == F.lit(wave))
-                         .withColumn("pos", F.col("bx")))
+    active_cells = _active(cells, wave, F.col("bx") + F.col("by"))
     stepped = run_cells(_factor_rows(factors.where(in_wave), pos), _rating_rows(active_cells),
                         num_blocks, eta)
     return stepped.unionByName(factors.where(~in_wave).select("matrix", "id", "block", "vec"))
@@ -128,8 +164,7 @@ class FitResult:
 def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = 0.001,
         decay: float = 0.99, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
-        sub_epochs: int | None = None,
-        broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> FitResult:
+        sub_epochs: int | None = None) -> FitResult:
     """Train ``ratings ≈ W·Hᵀ``.
 
     ``num_blocks`` fixes the visiting order and thus the result; it is always
@@ -146,34 +181,39 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     ensure_checkpoint_dir(spark)
     nx, ny = domain_sizes(ratings)
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
-    cells = blocks.blockify(ratings, nx, ny, num_blocks, seed, split)
+    cells, grid_path = write_grid(ratings, nx, ny, num_blocks, seed, schedule)
     factors = init if init is not None else init_factors(
         spark, nx, ny, rank, num_blocks, seed, split, signed_init)
-    factors = materialize(factors.select("matrix", "id", "block", "vec"), "factors-init")
+    factors, current = materialize(factors.select("matrix", "id", "block", "vec"),
+                                   "factors-init", with_path=True)
     steps_per_epoch = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
     logs = []
-    try:
-        for epoch in range(epochs):
-            eta = step_size(step, decay, epoch)
-            n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
-            for t in range(n_steps):
-                if schedule == STRATIFIED:
-                    nxt = dsgd_subepoch(cells, factors, t, num_blocks, eta)
-                else:
-                    nxt = sweep_wave(cells, factors, t, num_blocks, eta)
-                factors = materialize(nxt, f"factors-e{epoch}-s{t}")
-            if sub_epochs is not None:
-                break
-            if evaluate_epochs:
-                metrics = evaluate(cells.select("x_id", "y_id", "rating"), factors,
-                                   num_x_ids=nx, num_y_ids=ny, rank=rank,
-                                   broadcast_limit=broadcast_limit)
-                logs.append(materialize(metrics.select(
-                    F.lit(epoch).cast("int").alias("iteration"),
-                    F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
-                    f"log-e{epoch}"))
-    finally:
-        cells.unpersist()
+    superseded = []
+    for epoch in range(epochs):
+        eta = step_size(step, decay, epoch)
+        n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
+        for t in range(n_steps):
+            if schedule == STRATIFIED:
+                nxt = dsgd_subepoch(cells, factors, t, num_blocks, eta)
+            else:
+                nxt = sweep_wave(cells, factors, t, num_blocks, eta)
+            factors, path = materialize(nxt, f"factors-e{epoch}-s{t}", with_path=True)
+            superseded.append(current)
+            current = path
+            # keep the previous table until the next one is written, drop older
+            while len(superseded) > 1:
+                drop_table(spark, superseded.pop(0))
+        if sub_epochs is not None:
+            break
+        if evaluate_epochs:
+            metrics = evaluate_grid(cells, factors, num_blocks)
+            logs.append(materialize(metrics.select(
+                F.lit(epoch).cast("int").alias("iteration"),
+                F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
+                f"log-e{epoch}"))
+    for path in superseded:
+        drop_table(spark, path)
+    drop_table(spark, grid_path)
     if logs:
         log = logs[0]
         for extra in logs[1:]:

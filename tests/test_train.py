@@ -145,3 +145,20 @@ def _matching(trips, seed):
         if y not in best_y or k2 < best_y[y][0]:
             best_y[y] = (k2, x, r)
     return [(x, y, r) for y, (_, x, r) in best_y.items()]
+
+
+def test_blocked_evaluation_equals_join(spark):
+    from gridmf.operators import blocks
+    from gridmf.operators.domain import domain_sizes
+    from gridmf.operators.score import evaluate, evaluate_grid
+
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    for n_blocks, split in ((1, "balanced"), (4, "balanced"), (5, "ceil")):
+        f = init_factors(spark, nx, ny, 6, n_blocks, 7, split=split)
+        cells = blocks.assign_grid(r, nx, ny, n_blocks, split)
+        a = evaluate_grid(cells, f, n_blocks).first()
+        b = evaluate(r, f).first()
+        assert a.n == b.n == 6000
+        assert a.sse == pytest.approx(b.sse, rel=1e-12)
+        assert a.rmse == pytest.approx(b.rmse, rel=1e-12)
