@@ -67,38 +67,69 @@ def evaluate(ratings: DataFrame, factors: DataFrame, **kw) -> DataFrame:
     return error_summary(predict(ratings, factors, **kw))
 
 
-def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int) -> DataFrame:
+def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
+                  rows_per_group: int = 1 << 24,
+                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Squared error, count and RMSE over triples already laid on the grid.
 
-    One job with N*N groups, one per (stratum, x-block): each group streams its
-    cell's narrow ``(x, y, rating)`` rows against the W and H blocks that meet
-    there, computed in numpy.  Ratings move once and without vectors; each
-    factor row is replicated to the N cells of its block (the replication of H
-    to every position, applied to both sides).  ``cells`` needs ``bx``/``by``
-    consistent with the factors' ``block`` column.  Memory per task: one W and
-    one H block plus one Arrow batch.
+    One job, one group per (stratum, x-block) cell - or several for a large
+    cell: evaluation does not depend on order, so a cell with more than
+    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
+    groups and its two factor blocks are sent to each.  Every group streams its
+    narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
+    ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
+    consistent with the factors' ``block`` column.
     """
+    from pyspark.sql import Window
+
     from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel
 
     n = int(num_blocks)
-    stratum = F.expr(f"pmod(by - bx, {n})")
-    ratings = cells.select(
-        (stratum * n + F.col("bx")).cast("int").alias("pos"), F.lit(KIND_RATING).alias("kind"),
-        F.col("x_id").alias("id"), "y_id", "rating", F.lit(None).cast("bigint").alias("ord"),
-        F.lit(None).cast("int").alias("block"), F.array().cast("array<double>").alias("vec"))
-    s = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")
-    reps = factors.select("matrix", "id", "block", "vec", s)
+    # Per-cell group ranges: at most N*N rows, built and numbered in Spark.
+    info = (cells.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
+                 .withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(int(rows_per_group))))
+                             .cast("int"))
+                 .withColumn("s", F.expr(f"pmod(by - bx, {n})"))
+                 .withColumn("base", F.coalesce(F.sum("salts").over(
+                     Window.orderBy("s", "bx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                             .cast("int"))
+                 .select("bx", "by", "salts", "base"))
+    info = materialize_small(info)
+    groups = info.agg(F.sum("salts")).first()[0] or 0
+    if groups == 0:
+        return cells.sparkSession.createDataFrame([(0.0, 0, None)], "sse double, n bigint, rmse double")
+    if n * n * 32 <= broadcast_limit:
+        info = F.broadcast(info)
+    ratings = (cells.join(info, ["bx", "by"])
+                    .select((F.col("base") + F.pmod(F.monotonically_increasing_id(), F.col("salts")))
+                            .cast("int").alias("pos"),
+                            F.lit(KIND_RATING).alias("kind"), F.col("x_id").alias("id"), "y_id", "rating",
+                            F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("int").alias("block"),
+                            F.array().cast("array<double>").alias("vec")))
     is_w = F.col("matrix") == F.lit("W")
-    pos = F.when(is_w, F.col("s") * n + F.col("block")).otherwise(
-        F.col("s") * n + F.expr(f"pmod(block - s, {n})"))
-    fac = reps.select(pos.cast("int").alias("pos"),
-                      F.when(is_w, F.lit(KIND_W)).otherwise(F.lit(KIND_H)).alias("kind"),
-                      "id", F.lit(None).cast("int").alias("y_id"), F.lit(None).cast("double").alias("rating"),
-                      F.lit(None).cast("bigint").alias("ord"), "block", "vec")
-    per_cell = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
-                .repartitionById(n * n, "pos")
-                .sortWithinPartitions("pos", "kind", "id")
-                .groupBy("pos").applyInPandas(make_error_kernel(), "sse double, n long"))
-    return (per_cell.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),
-                         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
-                    .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))
+    reps = factors.select("matrix", "id", "block", "vec",
+                          F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"))
+    reps = (reps.withColumn("bx", F.when(is_w, F.col("block")).otherwise(F.expr(f"pmod(block - s, {n})")))
+                .withColumn("by", F.when(is_w, F.expr(f"pmod(block + s, {n})")).otherwise(F.col("block"))))
+    fac = (reps.join(info, ["bx", "by"])
+               .select(F.explode(F.sequence(F.col("base"), F.col("base") + F.col("salts") - 1)).alias("pos"),
+                       F.when(is_w, F.lit(KIND_W)).otherwise(F.lit(KIND_H)).alias("kind"),
+                       "id", F.lit(None).cast("int").alias("y_id"), F.lit(None).cast("double").alias("rating"),
+                       F.lit(None).cast("bigint").alias("ord"), "block", "vec")
+               .withColumn("pos", F.col("pos").cast("int")))
+    per_group = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
+                 .repartitionById(int(groups), "pos")
+                 .sortWithinPartitions("pos", "kind", "id")
+                 .groupBy("pos").applyInPandas(make_error_kernel(), "sse double, n long"))
+    return (per_group.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),
+                          F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+                     .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small, bounded helper table (written to the checkpoint folder)."""
+    from gridmf.session import scratch_path
+
+    path = scratch_path(df.sparkSession, "cellinfo")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

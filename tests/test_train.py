@@ -162,3 +162,20 @@ def test_blocked_evaluation_equals_join(spark):
         assert a.n == b.n == 6000
         assert a.sse == pytest.approx(b.sse, rel=1e-12)
         assert a.rmse == pytest.approx(b.rmse, rel=1e-12)
+
+
+def test_blocked_evaluation_splits_large_cells(spark):
+    from gridmf.operators import blocks
+    from gridmf.operators.domain import domain_sizes
+    from gridmf.operators.score import evaluate, evaluate_grid
+
+    r = ratings_view(spark, SF_SMALL)
+    hot = spark.createDataFrame([(0, 0, 4.5)] * 3000, "x_id INT, y_id INT, rating DOUBLE")
+    r = r.unionByName(hot)          # one cell now holds a third of the rows
+    nx, ny = domain_sizes(r)
+    f = init_factors(spark, nx, ny, 6, 3, 7)
+    cells = blocks.assign_grid(r, nx, ny, 3)
+    a = evaluate_grid(cells, f, 3, rows_per_group=500).first()
+    b = evaluate(r, f).first()
+    assert a.n == b.n == 9000
+    assert a.sse == pytest.approx(b.sse, rel=1e-12)
