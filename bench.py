@@ -129,7 +129,7 @@ def main() -> None:
     shuffled = _shuffle_by_job_group(event_dir)
     for rank in (8, 64):
         total = shuffled.get(f"dsgd_fit_k{rank}", 0)
-        extra[f"shuffle_bytes_per_subepoch_k{rank}"] = int(total / (epochs * num_blocks))
+        extra[f"shuffle_bytes_per_subepoch_incl_layout_k{rank}"] = int(total / (epochs * num_blocks))
     value = extra["sec_per_epoch_k64"]
     print(json.dumps({"metric": "dsgd_sec_per_epoch_k64_n4", "value": value, "unit": "sec",
                       "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")),

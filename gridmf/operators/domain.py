@@ -18,3 +18,12 @@ def domain_sizes(ratings: DataFrame) -> tuple[int, int]:
     """The two scalars the block arithmetic needs on the driver."""
     row = id_domain(ratings).first()
     return int(row["num_x_ids"]), int(row["num_y_ids"])
+
+
+def domain_stats(ratings: DataFrame) -> tuple[int, int, int]:
+    """``(num_x_ids, num_y_ids, num_ratings)`` from the same single scan."""
+    row = ratings.agg(
+        F.coalesce(F.max("x_id").cast("bigint") + 1, F.lit(0).cast("bigint")).alias("nx"),
+        F.coalesce(F.max("y_id").cast("bigint") + 1, F.lit(0).cast("bigint")).alias("ny"),
+        F.count(F.lit(1)).alias("n")).first()
+    return int(row["nx"]), int(row["ny"]), int(row["n"])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmf.operators import blocks
-from gridmf.operators.domain import domain_sizes
+from gridmf.operators.domain import domain_stats
 from gridmf.operators.factors import FACTOR_SCHEMA, init_factors
 from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_sgd_kernel
 from gridmf.operators.score import evaluate_grid
@@ -45,6 +45,7 @@ from gridmf.session import ensure_checkpoint_dir, scratch_path
 STRATIFIED = "stratified"
 SWEEP = "sweep"
 LOG_SCHEMA = "iteration INT, step_size DOUBLE, sse DOUBLE, n BIGINT, rmse DOUBLE"
+ROWS_PER_FILE = 1 << 23
 
 
 def step_size(step: float, decay: float, epoch: int) -> float:
@@ -81,13 +82,28 @@ def drop_table(spark, path: str) -> None:
 
 
 def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, seed: int,
-               schedule: str) -> tuple[DataFrame, str]:
-    """Grid layout written once, partitioned by ``step`` (stratum or wave)."""
+               schedule: str, num_ratings: int | None = None,
+               rows_per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, str]:
+    """Grid layout written once, partitioned by ``step`` (stratum or wave).
+
+    Rows are routed with ``repartitionById(step * F + salt)`` first, so every
+    task writes exactly one file of one step and each step gets ``F`` files of
+    about ``rows_per_file`` rows - not one small file per (input task, step).
+    The salt is round-robin over row positions, so even a cell made of one
+    repeated triple spreads over the step's files.
+    """
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
+    n_steps = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
     cells = blocks.with_order(
         blocks.assign_grid(ratings, num_x_ids, num_y_ids, num_blocks, split), seed)
     step = F.col("stratum") if schedule == STRATIFIED else F.col("bx") + F.col("by")
     cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"))
+    if num_ratings is not None:
+        files_per_step = max(1, -(-int(num_ratings) // (n_steps * int(rows_per_file))))
+        slot = F.col("step") * files_per_step + F.pmod(F.monotonically_increasing_id(),
+                                                       F.lit(files_per_step))
+        cells = (cells.withColumn("slot", slot.cast("int"))
+                      .repartitionById(n_steps * files_per_step, "slot").drop("slot"))
     spark = ratings.sparkSession
     path = scratch_path(spark, "grid")
     cells.write.partitionBy("step").parquet(path)
@@ -179,9 +195,9 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
         raise ValueError("num_blocks must be >= 1 and epochs >= 0")
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
-    nx, ny = domain_sizes(ratings)
+    nx, ny, n_ratings = domain_stats(ratings)
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
-    cells, grid_path = write_grid(ratings, nx, ny, num_blocks, seed, schedule)
+    cells, grid_path = write_grid(ratings, nx, ny, num_blocks, seed, schedule, n_ratings)
     factors = init if init is not None else init_factors(
         spark, nx, ny, rank, num_blocks, seed, split, signed_init)
     factors, current = materialize(factors.select("matrix", "id", "block", "vec"),

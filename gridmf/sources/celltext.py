@@ -35,9 +35,11 @@ def _triple_text(cnt_col) -> F.Column:
 def cell_lines(spark: SparkSession, cells: DataFrame, num_blocks: int,
                max_triples: int = DEFAULT_MAX_TRIPLES) -> DataFrame:
     """``(bx, by, part, line)``: every cell of the N x N grid, empty ones included."""
+    # Bucket bits from the largest cell's row count (an upper bound of its
+    # distinct triples): a cheap partial aggregate over at most N*N cells.
+    largest = cells.groupBy("bx", "by").count().agg(F.max("count")).first()[0] or 0
     runs = (cells.groupBy("bx", "by", "ord", "x_id", "y_id", "rating")
                  .agg(F.count(F.lit(1)).alias("dup")))
-    largest = runs.groupBy("bx", "by").count().agg(F.max("count")).first()[0] or 0
     bits = min(20, max(0, math.ceil(math.log2(max(largest, 1) / TRIPLES_PER_BUCKET))))
     runs = runs.withColumn("sub", F.shiftright(F.col("ord"), ORDER_BITS - bits) if bits else F.lit(0))
     in_bucket = Window.partitionBy("bx", "by", "sub").orderBy("ord", "x_id", "y_id", "rating") \

@@ -38,3 +38,23 @@ def test_subepoch_plan(spark):
     assert "InMemoryTableScan" in kernel_part and "stratum" in kernel_part
     cells.unpersist()
     assert F is not None
+
+
+def test_grid_write_one_file_per_slot(spark):
+    import glob
+    import os
+
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    grid, path = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000,
+                                  rows_per_file=500)
+    files = [f for f in glob.glob(os.path.join(path.replace("file:", ""), "step=*", "*.parquet"))]
+    per_step = {}
+    for f in files:
+        step = os.path.basename(os.path.dirname(f))
+        per_step[step] = per_step.get(step, 0) + 1
+    assert per_step == {"step=0": 4, "step=1": 4, "step=2": 4}
+    assert grid.count() == 6000
+    assert grid.where("step = 1").count() == r.count() - grid.where("step != 1").count()
+    plan = grid.where("step = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(step" in plan
