@@ -21,9 +21,18 @@ def domain_sizes(ratings: DataFrame) -> tuple[int, int]:
 
 
 def domain_stats(ratings: DataFrame) -> tuple[int, int, int]:
-    """``(num_x_ids, num_y_ids, num_ratings)`` from the same single scan."""
+    """``(num_x_ids, num_y_ids, num_ratings)`` from one scan, which also validates.
+
+    Rows with a NULL field or a negative id would silently fall outside every
+    block, so they fail the job instead.
+    """
     row = ratings.agg(
         F.coalesce(F.max("x_id").cast("bigint") + 1, F.lit(0).cast("bigint")).alias("nx"),
         F.coalesce(F.max("y_id").cast("bigint") + 1, F.lit(0).cast("bigint")).alias("ny"),
-        F.count(F.lit(1)).alias("n")).first()
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("x_id").isNull() | F.col("y_id").isNull() | F.col("rating").isNull()
+                   | (F.col("x_id") < 0) | (F.col("y_id") < 0)).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} ratings have a NULL field or a negative id; "
+                         "ids must be zero-based integers")
     return int(row["nx"]), int(row["ny"]), int(row["n"])

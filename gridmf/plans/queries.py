@@ -17,7 +17,8 @@ from gridmf.operators import blocks
 from gridmf.operators.domain import domain_sizes, id_domain
 from gridmf.operators.factors import embeddings_as_factors, factors_long, init_factors, side
 from gridmf.operators.relabel import permute_ids, relabel
-from gridmf.operators.score import attach_factors, error_summary, evaluate_grid, predict
+from gridmf.operators.score import (DEFAULT_BROADCAST_LIMIT, _maybe_broadcast, attach_factors,
+                                    error_summary, evaluate_grid, predict)
 from gridmf.plans import train
 from gridmf.session import scratch_path
 from gridmf.sources import celltext, factortext, files
@@ -227,7 +228,7 @@ def q_evaluate(spark, sf):
 def q_ratings_join_w(spark, sf):
     r, nx, ny = _ctx(spark, sf)
     w = side(_init(spark, nx, ny), "W").withColumnRenamed("id", "x_id").withColumnRenamed("vec", "w")
-    j = r.join(F.broadcast(w) if nx * (8 * K + 48) <= 64 << 20 else w, "x_id")
+    j = r.join(_maybe_broadcast(w, nx, K, DEFAULT_BROADCAST_LIMIT), "x_id")
     return j.select("x_id", "y_id", "rating",
                     _r6(F.aggregate("w", F.lit(0.0), lambda a, v: a + v)).alias("w_sum"),
                     _r6(dot(F.col("w"), F.col("w"))).alias("w_sq"))

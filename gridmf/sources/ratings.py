@@ -30,20 +30,17 @@ def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("l_quantity").cast("double") / F.lit(10.0)).alias("rating")))
 
 
-def read_ratings_csv(spark: SparkSession, path: str, strict: bool = False,
-                     min_partitions: int | None = None) -> DataFrame:
+def read_ratings_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Typed scan of headerless ``x,y,rating`` lines.
 
     Fields after the third are ignored unless ``strict`` (then a line must hold
     exactly three).  A header, a short line, an empty line or a non-numeric
     field fails the job (ANSI casts and ``raise_error``), as the original
-    parsers do.  ``min_partitions`` is the scan-parallelism hint; the file
-    split size (``spark.sql.files.maxPartitionBytes``) is the main knob.
+    parsers do.  Scan parallelism (the original's partition-count hint) is set
+    by the session: ``spark.sql.files.maxPartitionBytes`` and
+    ``spark.sql.files.minPartitionNum``.
     """
-    reader = spark.read
-    if min_partitions:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(min_partitions))
-    lines = reader.text(path)
+    lines = spark.read.text(path)
     parts = F.split(F.col("value"), ",")
     n_fields = F.size(parts)
     bad = (n_fields != 3) if strict else (n_fields < 3)

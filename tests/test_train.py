@@ -57,15 +57,18 @@ def test_invariant_to_partitions_and_input_order(spark, ratings_small):
     base = train.fit(ratings_small, rank=4, num_blocks=3, epochs=1)
     W0, H0 = as_arrays(base.factors, base.num_x_ids, base.num_y_ids, 4)
     old = spark.conf.get("spark.sql.shuffle.partitions")
+    old_aqe = spark.conf.get("spark.sql.adaptive.enabled")
     try:
-        for parts in ("1", "64"):
+        for parts, aqe in (("1", "true"), ("64", "false")):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
             shuffled = ratings_small.orderBy(F.rand(3)).repartition(5)
             res = train.fit(shuffled, rank=4, num_blocks=3, epochs=1)
             W, H = as_arrays(res.factors, res.num_x_ids, res.num_y_ids, 4)
             assert np.array_equal(W, W0) and np.array_equal(H, H0)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", old_aqe)
 
 
 def test_empty_x_block_keeps_factors(spark, ratings_small):
@@ -179,3 +182,9 @@ def test_blocked_evaluation_splits_large_cells(spark):
     b = evaluate(r, f).first()
     assert a.n == b.n == 9000
     assert a.sse == pytest.approx(b.sse, rel=1e-12)
+
+
+def test_invalid_ids_fail(spark):
+    df = spark.createDataFrame([(0, 1, 3.0), (-1, 0, 1.0)], "x_id INT, y_id INT, rating DOUBLE")
+    with pytest.raises(ValueError):
+        train.fit(df, rank=2, num_blocks=2, epochs=1)
