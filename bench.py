@@ -128,8 +128,11 @@ def main() -> None:
 
     shuffled = _shuffle_by_job_group(event_dir)
     for rank in (8, 64):
-        total = shuffled.get(f"dsgd_fit_k{rank}", 0)
-        extra[f"shuffle_bytes_per_subepoch_incl_layout_k{rank}"] = int(total / (epochs * num_blocks))
+        # steady state: the 3-epoch fit minus the 1-epoch fit, per sub-epoch
+        steady = shuffled.get(f"dsgd_fit_k{rank}", 0) - shuffled.get(f"dsgd_fit_k{rank}_e1", 0)
+        per_sub = int(steady / ((epochs - 1) * num_blocks))
+        extra[f"shuffle_bytes_per_subepoch_k{rank}"] = per_sub
+        extra[f"shuffle_per_subepoch_over_8K(nx+ny)_k{rank}"] = round(per_sub / (8 * rank * (nx + ny)), 3)
     value = extra["sec_per_epoch_k64"]
     print(json.dumps({"metric": "dsgd_sec_per_epoch_k64_n4", "value": value, "unit": "sec",
                       "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")),

@@ -188,3 +188,23 @@ def test_invalid_ids_fail(spark):
     df = spark.createDataFrame([(0, 1, 3.0), (-1, 0, 1.0)], "x_id INT, y_id INT, rating DOUBLE")
     with pytest.raises(ValueError):
         train.fit(df, rank=2, num_blocks=2, epochs=1)
+
+
+def test_hot_cell_streams_in_chunks(spark, monkeypatch):
+    """A cell far larger than one Arrow batch / kernel chunk gives the replay result."""
+    import gridmf.operators.kernel as kernel
+
+    base = [(x % 7, (x * 3) % 5, 1.0 + (x % 4)) for x in range(60)]
+    hot = [(1, 2, 4.5)] * 2500 + [(1, 3, 2.0)] * 1500
+    df = spark.createDataFrame(base + hot, "x_id INT, y_id INT, rating DOUBLE")
+    monkeypatch.setattr(kernel, "CHUNK_ROWS", 700)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        res = train.fit(df, rank=3, num_blocks=2, epochs=2, step=0.0005)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    W, H = as_arrays(res.factors, 7, 5, 3)
+    rW, rH, rlog = replay(base + hot, 3, 2, 2, step=0.0005)
+    assert np.allclose(W, rW, atol=1e-10) and np.allclose(H, rH, atol=1e-10)
+    assert res.log.orderBy("iteration").collect()[-1].sse == pytest.approx(rlog[-1][2], rel=1e-10)
