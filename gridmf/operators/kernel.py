@@ -4,7 +4,10 @@ Input of one group (one task): the W rows of one x-block, the H rows of one
 y-block, then the ratings of the cell they meet, already sorted by Spark in
 visiting order (``kind``, then ``ord``).  Only the two factor blocks are held in
 memory; ratings stream through in Arrow batches, so a cell of any size - even a
-hot one holding a large share of all rows - never has to fit in memory.
+hot one holding a large share of all rows - never has to fit in memory.  The
+function works on Arrow record batches directly: a block's vectors arrive as
+one flat buffer (``ListArray.flatten``) and leave as one (``ListArray.from_arrays``),
+with no Python object per row.
 
 Semantics (per sample, strictly in visiting order)::
 
@@ -25,7 +28,8 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KIND_W, KIND_H, KIND_RATING = 0, 1, 2
 MATRIX_NAMES = {KIND_W: "W", KIND_H: "H"}
@@ -87,6 +91,21 @@ def sgd_levels(W: np.ndarray, H: np.ndarray, rw: np.ndarray, rh: np.ndarray, r:
         H[b] = h
 
 
+def _column(batch: pa.RecordBatch, name: str, dtype) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def _split_kinds(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None]:
+    """Factor rows and rating rows of one batch (factor rows come first)."""
+    kinds = _column(batch, "kind", np.int64)
+    if len(kinds) > 1 and np.any(kinds[1:] < kinds[:-1]):
+        raise RuntimeError("group is not sorted by kind (W, H, ratings)")
+    first_rating = int(np.searchsorted(kinds, KIND_RATING))
+    factors = batch.slice(0, first_rating) if first_rating > 0 else None
+    ratings = batch.slice(first_rating) if first_rating < len(kinds) else None
+    return factors, ratings
+
+
 class _CellState:
     """Factor blocks of one group plus the streaming position in its cell."""
 
@@ -98,29 +117,36 @@ class _CellState:
         self.pending = []
         self.pending_rows = 0
 
-    def add_factors(self, rows: pd.DataFrame) -> None:
+    def add_factors(self, rows: pa.RecordBatch) -> None:
         if self.ready:
             raise RuntimeError("factor row after ratings: group is not in visiting order")
+        kinds = _column(rows, "kind", np.int64)
         for kind in (KIND_W, KIND_H):
-            part = rows[rows["kind"] == kind]
-            if len(part):
-                self.parts[kind].append(part[["id", "block", "vec"]])
+            mask = kinds == kind
+            if mask.any():
+                part = rows if mask.all() else rows.filter(pa.array(mask))
+                self.parts[kind].append(part.select(["id", "block", "vec"]))
 
     def _finalize_factors(self) -> None:
         self.mats = {}
         for kind, parts in self.parts.items():
             if parts:
-                frame = pd.concat(parts, ignore_index=True)
-                ids = frame["id"].to_numpy(dtype=np.int64)
+                table = pa.Table.from_batches(parts).combine_chunks()
+                ids = _column(table, "id", np.int64)
                 if len(ids) > 1 and np.any(ids[1:] <= ids[:-1]):
                     raise RuntimeError("factor rows of a block must arrive sorted and unique")
-                mat = np.stack([np.asarray(v, dtype=np.float64) for v in frame["vec"]])
-                blocks = frame["block"].to_numpy(dtype=np.int64)
+                vec = table.column("vec").chunk(0) if table.column("vec").num_chunks else pa.array([], pa.list_(pa.float64()))
+                lengths = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+                k = int(lengths[0]) if len(lengths) else 0
+                if np.any(lengths != k):
+                    raise RuntimeError("factor vectors of one block differ in length")
+                mat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), k)
+                blocks = _column(table, "block", np.int64)
             else:
                 ids = np.empty(0, dtype=np.int64)
                 mat = np.empty((0, 0))
                 blocks = np.empty(0, dtype=np.int64)
-            self.mats[kind] = (ids, blocks, mat)
+            self.mats[kind] = (ids, blocks, np.array(mat, copy=True))
         self.parts = None
         self.last_w = [0] * len(self.mats[KIND_W][0])
         self.last_h = [0] * len(self.mats[KIND_H][0])
@@ -135,91 +161,88 @@ class _CellState:
             raise RuntimeError(f"rating refers to a {what} id without a factor row in its block")
         return pos
 
-    def add_ratings(self, rows: pd.DataFrame) -> None:
+    def rating_rows(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block-local row numbers of x and y, and the ratings, of a batch."""
         if not self.ready:
             self._finalize_factors()
-        ords = rows["ord"].to_numpy(dtype=np.int64)
+        rw = self._rows_of(self.mats[KIND_W][0], _column(rows, "id", np.int64), "x")
+        rh = self._rows_of(self.mats[KIND_H][0], _column(rows, "y_id", np.int64), "y")
+        return rw, rh, _column(rows, "rating", np.float64)
+
+    def add_ratings(self, rows: pa.RecordBatch) -> None:
+        ords = _column(rows, "ord", np.int64)
         if len(ords):
             if (self.last_ord is not None and ords[0] < self.last_ord) or np.any(ords[1:] < ords[:-1]):
                 raise RuntimeError("ratings of a cell are not in visiting order")
             self.last_ord = int(ords[-1])
-        self.pending.append(rows[["id", "y_id", "rating"]])
-        self.pending_rows += len(rows)
+        self.pending.append(self.rating_rows(rows))
+        self.pending_rows += rows.num_rows
         if self.pending_rows >= CHUNK_ROWS:
             self.flush()
 
     def flush(self) -> None:
         if not self.pending:
             return
-        chunk = pd.concat(self.pending, ignore_index=True)
+        rw, rh, r = (np.concatenate(c) for c in zip(*self.pending))
         self.pending, self.pending_rows = [], 0
-        w_ids, _, W = self.mats[KIND_W]
-        h_ids, _, H = self.mats[KIND_H]
-        rw = self._rows_of(w_ids, chunk["id"].to_numpy(dtype=np.int64), "x")
-        rh = self._rows_of(h_ids, chunk["y_id"].to_numpy(dtype=np.int64), "y")
-        r = chunk["rating"].to_numpy(dtype=np.float64)
+        W, H = self.mats[KIND_W][2], self.mats[KIND_H][2]
         levels = conflict_levels(rw, rh, self.last_w, self.last_h)
         sgd_levels(W, H, rw, rh, r, levels, self.eta)
 
-    def emit(self) -> Iterator[pd.DataFrame]:
+    def emit(self) -> Iterator[pa.RecordBatch]:
         if not self.ready:
             self._finalize_factors()
         self.flush()
         for kind, (ids, blocks, mat) in self.mats.items():
+            k = mat.shape[1] if mat.ndim == 2 else 0
+            name = pa.array([MATRIX_NAMES[kind]])
             for s in range(0, len(ids), OUTPUT_ROWS):
                 e = min(s + OUTPUT_ROWS, len(ids))
-                yield pd.DataFrame({
-                    "matrix": MATRIX_NAMES[kind],
-                    "id": ids[s:e].astype(np.int32),
-                    "block": blocks[s:e].astype(np.int32),
-                    "vec": list(mat[s:e]),
-                })
+                offsets = pa.array(np.arange(0, (e - s) * k + 1, k, dtype=np.int32) if k else
+                                   np.zeros(e - s + 1, dtype=np.int32))
+                values = pa.array(np.ascontiguousarray(mat[s:e]).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [name.take(pa.array(np.zeros(e - s, dtype=np.int64))),
+                     pa.array(ids[s:e].astype(np.int32)),
+                     pa.array(blocks[s:e].astype(np.int32)),
+                     pa.ListArray.from_arrays(offsets, values)],
+                    names=["matrix", "id", "block", "vec"])
 
 
 def make_sgd_kernel(eta: float):
-    """Grouped-map (iterator form) function for one sub-epoch at step ``eta``."""
+    """Grouped-map (Arrow iterator form) function for one step at rate ``eta``."""
 
-    def sgd_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sgd_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _CellState(float(eta))
         for batch in batches:
-            kinds = batch["kind"].to_numpy()
-            if len(kinds) > 1 and np.any(kinds[1:] < kinds[:-1]):
-                raise RuntimeError("group is not sorted by kind (W, H, ratings)")
-            is_rating = kinds == KIND_RATING
-            if not is_rating.all():
-                state.add_factors(batch[~is_rating])
-            if is_rating.any():
-                state.add_ratings(batch[is_rating])
+            factors, ratings = _split_kinds(batch)
+            if factors is not None:
+                state.add_factors(factors)
+            if ratings is not None:
+                state.add_ratings(ratings)
         yield from state.emit()
 
     return sgd_cell
 
 
 def make_error_kernel():
-    """Grouped-map function: ``(sse, n)`` of one cell under its two factor blocks."""
+    """Grouped-map function: ``(sse, n)`` of one cell (or cell part) under its two blocks."""
 
-    def cell_error(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cell_error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _CellState(0.0)
         sse, n = 0.0, 0
         for batch in batches:
-            kinds = batch["kind"].to_numpy()
-            if len(kinds) > 1 and np.any(kinds[1:] < kinds[:-1]):
-                raise RuntimeError("group is not sorted by kind (W, H, ratings)")
-            is_rating = kinds == KIND_RATING
-            if not is_rating.all():
-                state.add_factors(batch[~is_rating])
-            if is_rating.any():
-                if not state.ready:
-                    state._finalize_factors()
-                rows = batch[is_rating]
-                w_ids, _, W = state.mats[KIND_W]
-                h_ids, _, H = state.mats[KIND_H]
-                rw = state._rows_of(w_ids, rows["id"].to_numpy(dtype=np.int64), "x")
-                rh = state._rows_of(h_ids, rows["y_id"].to_numpy(dtype=np.int64), "y")
-                diff = rows["rating"].to_numpy(dtype=np.float64) - np.einsum("ij,ij->i", W[rw], H[rh])
+            factors, ratings = _split_kinds(batch)
+            if factors is not None:
+                state.add_factors(factors)
+            if ratings is not None:
+                rw, rh, r = state.rating_rows(ratings)
+                W, H = state.mats[KIND_W][2], state.mats[KIND_H][2]
+                diff = r - np.einsum("ij,ij->i", W[rw], H[rh])
                 sse += float(np.dot(diff, diff))
                 n += len(diff)
-        yield pd.DataFrame({"sse": [sse], "n": [n]})
+        yield pa.RecordBatch.from_arrays([pa.array([sse], pa.float64()), pa.array([n], pa.int64())],
+                                         names=["sse", "n"])
 
     return cell_error
 

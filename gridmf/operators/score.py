@@ -120,7 +120,7 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
     per_group = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
                  .repartitionById(int(groups), "pos")
                  .sortWithinPartitions("pos", "kind", "id")
-                 .groupBy("pos").applyInPandas(make_error_kernel(), "sse double, n long"))
+                 .groupBy("pos").applyInArrow(make_error_kernel(), "sse double, n long"))
     return (per_group.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),
                           F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
                      .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))

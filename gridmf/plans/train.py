@@ -5,7 +5,7 @@ Per step the plan is::
     active ratings (one stratum / one wave)  ∪  factor rows keyed by position
         -> repartitionById(N, pos)            one group per task, no collisions
         -> sortWithinPartitions(pos, kind, ord, ...)   W, H, then visiting order
-        -> groupBy(pos).applyInPandas(iterator kernel) streams the cell
+        -> groupBy(pos).applyInArrow(iterator kernel)  streams the cell
         -> written to the shared checkpoint folder (lineage cut, survives
            executor loss) and read back as the next factor table.
 
@@ -46,6 +46,7 @@ STRATIFIED = "stratified"
 SWEEP = "sweep"
 LOG_SCHEMA = "iteration INT, step_size DOUBLE, sse DOUBLE, n BIGINT, rmse DOUBLE"
 ROWS_PER_FILE = 1 << 23
+MIN_ROWS_PER_FILE = 1 << 14
 
 
 def step_size(step: float, decay: float, epoch: int) -> float:
@@ -88,7 +89,9 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
 
     Rows are routed with ``repartitionById(step * F + salt)`` first, so every
     task writes exactly one file of one step and each step gets ``F`` files of
-    about ``rows_per_file`` rows - not one small file per (input task, step).
+    at most about ``rows_per_file`` rows (more, smaller files only while that
+    keeps the cluster's cores busy reading a step) - not one small file per
+    (input task, step).
     The salt is round-robin over row positions, so even a cell made of one
     repeated triple spreads over the step's files.
     """
@@ -99,7 +102,13 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     step = F.col("stratum") if schedule == STRATIFIED else F.col("bx") + F.col("by")
     cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"))
     if num_ratings is not None:
-        files_per_step = max(1, -(-int(num_ratings) // (n_steps * int(rows_per_file))))
+        per_step = -(-int(num_ratings) // n_steps)
+        spark = ratings.sparkSession
+        # Enough files for the size, and - for small inputs - enough to keep the
+        # cluster's cores reading in parallel, but not below MIN_ROWS_PER_FILE.
+        by_size = -(-per_step // int(rows_per_file))
+        by_cores = min(spark.sparkContext.defaultParallelism, -(-per_step // MIN_ROWS_PER_FILE))
+        files_per_step = max(1, by_size, by_cores)
         slot = F.col("step") * files_per_step + F.pmod(F.monotonically_increasing_id(),
                                                        F.lit(files_per_step))
         cells = (cells.withColumn("slot", slot.cast("int"))
@@ -137,7 +146,7 @@ def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
     return (union.repartitionById(num_blocks, "pos")
                  .sortWithinPartitions("pos", "kind", "ord", "id", "y_id", "rating")
                  .groupBy("pos")
-                 .applyInPandas(make_sgd_kernel(eta), FACTOR_SCHEMA))
+                 .applyInArrow(make_sgd_kernel(eta), FACTOR_SCHEMA))
 
 
 def _active(cells: DataFrame, step: int, derived) -> DataFrame:

@@ -28,7 +28,7 @@ def test_subepoch_plan(spark):
     f = init_factors(spark, nx, ny, 4, 4, 7)
     step = train.dsgd_subepoch(cells, f, 1, 4, 0.001)
     p = plan(step)
-    kernel_part = p.split("FlatMapGroupsInPandas", 1)[1]
+    kernel_part = p.split("FlatMapGroupsInArrow", 1)[1]
     # exactly one exchange feeds the kernel: repartitionById on pos, and the
     # only sort is ours (pos, kind, ord, ...), no second one for the grouping
     head = kernel_part.split("Union", 1)[0]
