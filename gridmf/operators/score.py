@@ -67,25 +67,16 @@ def evaluate(ratings: DataFrame, factors: DataFrame, **kw) -> DataFrame:
     return error_summary(predict(ratings, factors, **kw))
 
 
-def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
-                  rows_per_group: int = 1 << 24,
-                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Squared error, count and RMSE over triples already laid on the grid.
+def cell_groups(cells: DataFrame, num_blocks: int, rows_per_group: int = 1 << 24) -> tuple[DataFrame, int]:
+    """Group ranges of the blocked evaluation: ``(bx, by, salts, base)`` per non-empty cell.
 
-    One job, one group per (stratum, x-block) cell - or several for a large
-    cell: evaluation does not depend on order, so a cell with more than
-    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
-    groups and its two factor blocks are sent to each.  Every group streams its
-    narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
-    ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
-    consistent with the factors' ``block`` column.
+    A cell gets ``ceil(rows / rows_per_group)`` groups, numbered by (stratum, x-block).
+    Needs only ``bx``/``by`` (column pruning); at most N*N rows, written to the
+    checkpoint folder so it is computed once and can be reused across epochs.
     """
     from pyspark.sql import Window
 
-    from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel
-
     n = int(num_blocks)
-    # Per-cell group ranges: at most N*N rows, built and numbered in Spark.
     info = (cells.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
                  .withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(int(rows_per_group))))
                              .cast("int"))
@@ -96,7 +87,28 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
                  .select("bx", "by", "salts", "base"))
     info = materialize_small(info)
     groups = info.agg(F.sum("salts")).first()[0] or 0
-    if groups == 0:
+    return info, int(groups)
+
+
+def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
+                  rows_per_group: int = 1 << 24, groups: tuple[DataFrame, int] | None = None,
+                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """Squared error, count and RMSE over triples already laid on the grid.
+
+    One job, one group per (stratum, x-block) cell - or several for a large
+    cell: evaluation does not depend on order, so a cell with more than
+    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
+    groups and its two factor blocks are sent to each.  Every group streams its
+    narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
+    ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
+    consistent with the factors' ``block`` column; ``groups`` (from
+    ``cell_groups``) may be passed to reuse the cell table across calls.
+    """
+    from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel
+
+    n = int(num_blocks)
+    info, n_groups = groups if groups is not None else cell_groups(cells, n, rows_per_group)
+    if n_groups == 0:
         return cells.sparkSession.createDataFrame([(0.0, 0, None)], "sse double, n bigint, rmse double")
     if n * n * 32 <= broadcast_limit:
         info = F.broadcast(info)
@@ -118,7 +130,7 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
                        F.lit(None).cast("bigint").alias("ord"), "block", "vec")
                .withColumn("pos", F.col("pos").cast("int")))
     per_group = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
-                 .repartitionById(int(groups), "pos")
+                 .repartitionById(n_groups, "pos")
                  .sortWithinPartitions("pos", "kind", "id")
                  .groupBy("pos").applyInArrow(make_error_kernel(), "sse double, n long"))
     return (per_group.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),

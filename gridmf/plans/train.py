@@ -39,7 +39,7 @@ from gridmf.operators import blocks
 from gridmf.operators.domain import domain_stats
 from gridmf.operators.factors import FACTOR_SCHEMA, init_factors
 from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_sgd_kernel
-from gridmf.operators.score import evaluate_grid
+from gridmf.operators.score import cell_groups, evaluate_grid
 from gridmf.session import ensure_checkpoint_dir, scratch_path
 
 STRATIFIED = "stratified"
@@ -212,6 +212,7 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     factors, current = materialize(factors.select("matrix", "id", "block", "vec"),
                                    "factors-init", with_path=True)
     steps_per_epoch = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
+    eval_groups = cell_groups(cells, num_blocks) if evaluate_epochs and epochs > 0 else None
     logs = []
     superseded = []
     for epoch in range(epochs):
@@ -231,7 +232,7 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
         if sub_epochs is not None:
             break
         if evaluate_epochs:
-            metrics = evaluate_grid(cells, factors, num_blocks)
+            metrics = evaluate_grid(cells, factors, num_blocks, groups=eval_groups)
             logs.append(materialize(metrics.select(
                 F.lit(epoch).cast("int").alias("iteration"),
                 F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
