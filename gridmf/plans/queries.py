@@ -8,7 +8,6 @@ digits so results compare across engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmf.functions import blockmath as bm
