@@ -76,10 +76,17 @@ def materialize(df: DataFrame, name: str, with_path: bool = False):
 
 
 def drop_table(spark, path: str) -> None:
-    """Delete a superseded intermediate table from the checkpoint folder."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    """Delete a superseded intermediate table from the checkpoint folder.
+
+    Uses the Hadoop FileSystem of the folder (PySpark has no public file API);
+    where that gateway is unavailable the table is simply left in place.
+    """
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    except Exception:  # noqa: BLE001 - cleanup must never fail a training run
+        pass
 
 
 def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, seed: int,
