@@ -196,7 +196,7 @@ class FitResult:
 def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = 0.001,
         decay: float = 0.99, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
-        sub_epochs: int | None = None) -> FitResult:
+        sub_epochs: int | None = None, checkpoint_every: int = 8) -> FitResult:
     """Train ``ratings ≈ W·Hᵀ``.
 
     ``num_blocks`` fixes the visiting order and thus the result; it is always
@@ -204,7 +204,16 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     one H block, ``8*K*(n_x+n_y)/N`` bytes, fits a task's memory comfortably;
     ratings stream and do not count.  ``sub_epochs`` stops the first epoch after
     that many steps (to inspect a single sub-epoch).
+
+    ``checkpoint_every`` steps run as one Spark job before the factors are
+    written (always at the end of an epoch): each kernel's output then feeds the
+    next step's exchange directly, saving a write and a job per step.  Lineage
+    and plan depth stay bounded by 8 steps by default; after a failure Spark
+    replays at most that many steps' lost shuffle output.  1 cuts after every
+    step.
     """
+    if checkpoint_every < 1:
+        raise ValueError("checkpoint_every must be >= 1")
     if schedule not in (STRATIFIED, SWEEP):
         raise ValueError(f"unknown schedule {schedule!r}")
     if num_blocks < 1 or epochs < 0:
@@ -227,15 +236,16 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
         n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
         for t in range(n_steps):
             if schedule == STRATIFIED:
-                nxt = dsgd_subepoch(cells, factors, t, num_blocks, eta)
+                factors = dsgd_subepoch(cells, factors, t, num_blocks, eta)
             else:
-                nxt = sweep_wave(cells, factors, t, num_blocks, eta)
-            factors, path = materialize(nxt, f"factors-e{epoch}-s{t}", with_path=True)
-            superseded.append(current)
-            current = path
-            # keep the previous table until the next one is written, drop older
-            while len(superseded) > 1:
-                drop_table(spark, superseded.pop(0))
+                factors = sweep_wave(cells, factors, t, num_blocks, eta)
+            if (t + 1) % checkpoint_every == 0 or t + 1 == n_steps:
+                factors, path = materialize(factors, f"factors-e{epoch}-s{t}", with_path=True)
+                superseded.append(current)
+                current = path
+                # keep the previous table until the next one is written, drop older
+                while len(superseded) > 1:
+                    drop_table(spark, superseded.pop(0))
         if sub_epochs is not None:
             break
         if evaluate_epochs:

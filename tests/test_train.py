@@ -19,9 +19,10 @@ def as_arrays(factors, nx, ny, k):
     return W, H
 
 
-@pytest.mark.parametrize("schedule", ["stratified", "sweep"])
-def test_fit_equals_sequential_replay(spark, ratings_small, schedule):
-    res = train.fit(ratings_small, rank=4, num_blocks=3, epochs=2, schedule=schedule)
+@pytest.mark.parametrize("schedule,every", [("stratified", 8), ("stratified", 1), ("sweep", 2)])
+def test_fit_equals_sequential_replay(spark, ratings_small, schedule, every):
+    res = train.fit(ratings_small, rank=4, num_blocks=3, epochs=2, schedule=schedule,
+                    checkpoint_every=every)
     W, H = as_arrays(res.factors, res.num_x_ids, res.num_y_ids, 4)
     rW, rH, rlog = replay(triples(ratings_small), 4, 3, 2, schedule=schedule)
     assert np.allclose(W, rW, atol=1e-12) and np.allclose(H, rH, atol=1e-12)
