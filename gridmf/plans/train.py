@@ -174,15 +174,22 @@ def dsgd_subepoch(cells: DataFrame, factors: DataFrame, sub_epoch: int, num_bloc
 
 def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
                eta: float) -> DataFrame:
-    """Anti-diagonal ``d`` of the row-major sweep (T6): cells with ``bx + by = d``."""
+    """Anti-diagonal ``d`` of the row-major sweep (T6): cells with ``bx + by = d``.
+
+    Every factor row goes through the kernel, so each step reads only the one
+    before it (no bypass branch that would make a pipelined chain of steps
+    reference - and recompute - its input twice).  Blocks in the wave meet at
+    position ``bx``; a block outside it stays at position ``block``, which no
+    active cell uses (an inactive H block's index lies outside the active
+    range), so such groups hold at most one W and one H block and pass them
+    through unchanged.
+    """
     lo, hi = max(0, wave - num_blocks + 1), min(wave, num_blocks - 1)
     in_wave = F.col("block").between(lo, hi)
     is_w = F.col("matrix") == F.lit("W")
-    pos = F.when(is_w, F.col("block")).otherwise(F.lit(wave) - F.col("block"))
+    pos = F.when(is_w | ~in_wave, F.col("block")).otherwise(F.lit(wave) - F.col("block"))
     active_cells = _active(cells, wave, F.col("bx") + F.col("by"))
-    stepped = run_cells(_factor_rows(factors.where(in_wave), pos), _rating_rows(active_cells),
-                        num_blocks, eta)
-    return stepped.unionByName(factors.where(~in_wave).select("matrix", "id", "block", "vec"))
+    return run_cells(_factor_rows(factors, pos), _rating_rows(active_cells), num_blocks, eta)
 
 
 @dataclass
