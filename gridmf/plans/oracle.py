@@ -102,6 +102,7 @@ def cell_line_sql(ctes: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "ratings_view": _with() + "SELECT x_id, y_id, rating FROM rv",
     "ratings_scan": _with() + "SELECT x_id, y_id, rating FROM rv",
+    "ratings_scan_extra_fields": _with() + "SELECT x_id, y_id, rating FROM rv",
     "id_domain": _with(DOM) + "SELECT nx AS num_x_ids, ny AS num_y_ids FROM dom",
     "block_ids": _with(DOM) + f"""SELECT a.axis, CAST(b AS INTEGER) AS block
         FROM (VALUES ('x'), ('y')) a(axis), range(0, {N}) t(b)""",

@@ -63,6 +63,15 @@ def q_ratings_scan(spark, sf):
     return read_ratings_csv(spark, path)
 
 
+def q_ratings_scan_extra_fields(spark, sf):
+    """CSV with a fourth field (as in 4-column rating files): extra fields are ignored."""
+    path = scratch_path(spark, "ratings-csv4")
+    r = _rv(spark, sf)
+    (r.select("x_id", "y_id", "rating", (F.col("rating") * 2).alias("extra"))
+      .write.option("header", "false").csv(path))
+    return read_ratings_csv(spark, path)
+
+
 def q_cells_write_read(spark, sf):
     r, nx, ny = _ctx(spark, sf)
     path = scratch_path(spark, "cells")
@@ -347,6 +356,7 @@ def q_empty_cell_passthrough(spark, sf):
 QUERIES = {
     "ratings_view": q_ratings_view,
     "ratings_scan": q_ratings_scan,
+    "ratings_scan_extra_fields": q_ratings_scan_extra_fields,
     "id_domain": q_id_domain,
     "block_ids": q_block_ids,
     "block_dim": q_block_dim,

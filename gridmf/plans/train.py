@@ -49,6 +49,18 @@ ROWS_PER_FILE = 1 << 23
 MIN_ROWS_PER_FILE = 1 << 14
 
 
+def min_num_blocks(num_x_ids: int, num_y_ids: int, rank: int, task_memory_bytes: int,
+                   copies: float = 3.0) -> int:
+    """Smallest N for which one W block plus one H block fits a task's memory.
+
+    A task holds ``8*K*(n_x + n_y) / N`` bytes of factors, ``copies`` times over
+    while Arrow buffers and numpy matrices coexist; ratings stream and do not
+    count.  Advice only: N fixes the visiting order, so ``fit`` never picks it.
+    """
+    need = copies * 8.0 * rank * (num_x_ids + num_y_ids)
+    return max(1, int(-(-need // max(int(task_memory_bytes), 1))))
+
+
 def step_size(step: float, decay: float, epoch: int) -> float:
     """Step of an epoch: ``step * decay**epoch``; epoch 0 runs at ``step`` (T4)."""
     return float(step) * float(decay) ** int(epoch)

@@ -209,3 +209,10 @@ def test_hot_cell_streams_in_chunks(spark, monkeypatch):
     rW, rH, rlog = replay(base + hot, 3, 2, 2, step=0.0005)
     assert np.allclose(W, rW, atol=1e-10) and np.allclose(H, rH, atol=1e-10)
     assert res.log.orderBy("iteration").collect()[-1].sse == pytest.approx(rlog[-1][2], rel=1e-10)
+
+
+def test_min_num_blocks():
+    # 1e9 + 1e8 ids, rank 64, 3 copies: 1.69 TB of factor bytes over 4 GB tasks
+    n = train.min_num_blocks(10**9, 10**8, 64, 4 << 30)
+    assert n == 394   # ceil(3 * 8 * 64 * 1.1e9 / 4 GiB) = ceil(393.39)
+    assert train.min_num_blocks(10, 10, 2, 1 << 30) == 1
