@@ -30,9 +30,10 @@ Schedules
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmf.operators import blocks
@@ -101,52 +102,88 @@ def drop_table(spark, path: str) -> None:
         pass
 
 
+def bucket_keys(spark, num_blocks: int) -> list[int]:
+    """Per x-block ``b`` an INT key whose hash bucket among ``N`` is ``b``.
+
+    Bucketing (and ``repartition(N, col)``) place a row by ``pmod(hash(col), N)``;
+    a key column built from these values puts x-block ``b`` into bucket ``b``,
+    one cell per task.  Found with Spark's own ``hash`` over a small range (N
+    rows reach the driver).  Grouping is by the key itself, so the keys only
+    affect balance, never results.
+    """
+    n = int(num_blocks)
+    m = 16 * n
+    while True:
+        found = (spark.range(m).select(F.col("id").cast("int").alias("c"))
+                 .groupBy(F.expr(f"pmod(hash(c), {n})").alias("b")).agg(F.min("c").alias("c"))
+                 .collect())
+        if len(found) == n:
+            return [int(r["c"]) for r in sorted(found, key=lambda r: r["b"])]
+        m *= 4
+
+
+def _key_of(keys: list[int], block_col) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in keys]), block_col + 1)
+
+
+@dataclass
+class Grid:
+    """The written grid: a bucketed, step-partitioned table in the checkpoint folder."""
+    cells: DataFrame
+    path: str
+    table: str
+    keys: list
+
+
 def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, seed: int,
-               schedule: str, num_ratings: int | None = None,
-               rows_per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, str]:
-    """Grid layout written once, partitioned by ``step`` (stratum or wave).
-
-    Rows are routed with ``repartitionById(step * F + salt)`` first, so every
-    task writes exactly one file of one step and each step gets ``F`` files of
-    at most about ``rows_per_file`` rows (more, smaller files only while that
-    keeps the cluster's cores busy reading a step) - not one small file per
-    (input task, step).
-    The salt is round-robin over row positions, so even a cell made of one
-    repeated triple spreads over the step's files.
+               schedule: str, num_ratings: int, rows_per_file: int = ROWS_PER_FILE) -> Grid:
+    """Grid layout written once: partitioned by ``step`` (stratum or wave) and
+    bucketed by x-block into ``N`` buckets.
+
+    Reading one step then yields its cells already placed one per task (a
+    bucketed scan), so a training step exchanges only the factor rows.  Rows are
+    first routed with ``repartitionById`` on ``(step, x-block, salt)``, so each
+    task writes one file of one cell and a cell gets ``ceil(rows / rows_per_file)``
+    files - not one file per (input task, step, bucket).  The salt is
+    round-robin over row positions, so even a cell of one repeated triple
+    spreads over its files.
     """
+    spark = ratings.sparkSession
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
     n_steps = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
+    keys = bucket_keys(spark, num_blocks)
     cells = blocks.with_order(
         blocks.assign_grid(ratings, num_x_ids, num_y_ids, num_blocks, split), seed)
     step = F.col("stratum") if schedule == STRATIFIED else F.col("bx") + F.col("by")
-    cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"))
-    if num_ratings is not None:
-        per_step = -(-int(num_ratings) // n_steps)
-        spark = ratings.sparkSession
-        # Enough files for the size, and - for small inputs - enough to keep the
-        # cluster's cores reading in parallel, but not below MIN_ROWS_PER_FILE.
-        by_size = -(-per_step // int(rows_per_file))
-        by_cores = min(spark.sparkContext.defaultParallelism, -(-per_step // MIN_ROWS_PER_FILE))
-        files_per_step = max(1, by_size, by_cores)
-        slot = F.col("step") * files_per_step + F.pmod(F.monotonically_increasing_id(),
-                                                       F.lit(files_per_step))
-        cells = (cells.withColumn("slot", slot.cast("int"))
-                      .repartitionById(n_steps * files_per_step, "slot").drop("slot"))
-    spark = ratings.sparkSession
+    cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"),
+                         _key_of(keys, F.col("bx")).alias("bkey"))
+    per_cell = -(-int(num_ratings) // (n_steps * num_blocks))
+    files_per_cell = max(1, -(-per_cell // int(rows_per_file)))
+    slot = ((F.col("step") * num_blocks + F.col("bx")) * files_per_cell
+            + F.pmod(F.monotonically_increasing_id(), F.lit(files_per_cell)))
+    cells = (cells.withColumn("slot", slot.cast("int"))
+                  .repartitionById(n_steps * num_blocks * files_per_cell, "slot").drop("slot"))
     path = scratch_path(spark, "grid")
-    cells.write.partitionBy("step").parquet(path)
-    grid = spark.read.schema(cells.schema).option("basePath", path).parquet(path)
-    return grid, path
+    table = "gridmf_grid_" + os.path.basename(path).replace("-", "_")
+    (cells.write.format("parquet").option("path", path).partitionBy("step")
+          .bucketBy(num_blocks, "bkey").saveAsTable(table))
+    return Grid(spark.table(table), path, table, keys)
+
+
+def drop_grid(spark, grid: Grid) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {grid.table}")
+    drop_table(spark, grid.path)
 
 
 def _rating_rows(cells: DataFrame) -> DataFrame:
+    extra = ["bkey"] if "bkey" in cells.columns else []
     return cells.select(
         F.col("pos").cast("int"), F.lit(KIND_RATING).alias("kind"),
         F.col("x_id").alias("id"), "y_id", "rating", "ord",
         F.lit(None).cast("int").alias("block"),
         # An empty array, not NULL: NULL arrays make the JVM->Arrow transfer
         # of rating rows several times slower.
-        F.array().cast("array<double>").alias("vec"))
+        F.array().cast("array<double>").alias("vec"), *extra)
 
 
 def _factor_rows(factors: DataFrame, pos) -> DataFrame:
@@ -159,13 +196,26 @@ def _factor_rows(factors: DataFrame, pos) -> DataFrame:
 
 
 def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
-              eta: float) -> DataFrame:
-    """One parallel step: every position ``p`` streams its cell through the kernel."""
+              eta: float, keys: list | None = None) -> DataFrame:
+    """One parallel step: every position ``p`` streams its cell through the kernel.
+
+    With ``keys`` (ratings read from a written, bucketed grid) only the factor
+    rows are exchanged - hash-partitioned on the same key the grid is bucketed
+    by - and the union keeps that partitioning.  Without them, both sides are
+    exchanged with ``repartitionById(N, pos)``.
+    """
+    kernel = make_sgd_kernel(eta)
+    if keys is not None and "bkey" in rating_rows.columns:
+        fac = (factor_rows.withColumn("bkey", _key_of(keys, F.col("pos")))
+                          .repartition(num_blocks, "bkey"))
+        union = fac.unionByName(rating_rows).select(*KERNEL_INPUT_COLUMNS, "bkey")
+        return (union.sortWithinPartitions("bkey", "kind", "ord", "id", "y_id", "rating")
+                     .groupBy("bkey").applyInArrow(kernel, FACTOR_SCHEMA))
     union = factor_rows.unionByName(rating_rows).select(*KERNEL_INPUT_COLUMNS)
     return (union.repartitionById(num_blocks, "pos")
                  .sortWithinPartitions("pos", "kind", "ord", "id", "y_id", "rating")
                  .groupBy("pos")
-                 .applyInArrow(make_sgd_kernel(eta), FACTOR_SCHEMA))
+                 .applyInArrow(kernel, FACTOR_SCHEMA))
 
 
 def _active(cells: DataFrame, step: int, derived) -> DataFrame:
@@ -175,17 +225,17 @@ def _active(cells: DataFrame, step: int, derived) -> DataFrame:
 
 
 def dsgd_subepoch(cells: DataFrame, factors: DataFrame, sub_epoch: int, num_blocks: int,
-                  eta: float) -> DataFrame:
+                  eta: float, keys: list | None = None) -> DataFrame:
     """Stratified sub-epoch ``s`` (T2): all factor rows, the cells of stratum ``s``."""
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w, F.col("block")).otherwise(
         F.expr(f"pmod(block - {int(sub_epoch)}, {int(num_blocks)})"))
     active = _active(cells, sub_epoch, F.col("stratum") if "stratum" in cells.columns else None)
-    return run_cells(_factor_rows(factors, pos), _rating_rows(active), num_blocks, eta)
+    return run_cells(_factor_rows(factors, pos), _rating_rows(active), num_blocks, eta, keys)
 
 
 def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
-               eta: float) -> DataFrame:
+               eta: float, keys: list | None = None) -> DataFrame:
     """Anti-diagonal ``d`` of the row-major sweep (T6): cells with ``bx + by = d``.
 
     Every factor row goes through the kernel, so each step reads only the one
@@ -201,7 +251,7 @@ def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w | ~in_wave, F.col("block")).otherwise(F.lit(wave) - F.col("block"))
     active_cells = _active(cells, wave, F.col("bx") + F.col("by"))
-    return run_cells(_factor_rows(factors, pos), _rating_rows(active_cells), num_blocks, eta)
+    return run_cells(_factor_rows(factors, pos), _rating_rows(active_cells), num_blocks, eta, keys)
 
 
 @dataclass
@@ -241,7 +291,8 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     ensure_checkpoint_dir(spark)
     nx, ny, n_ratings = domain_stats(ratings)
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
-    cells, grid_path = write_grid(ratings, nx, ny, num_blocks, seed, schedule, n_ratings)
+    grid = write_grid(ratings, nx, ny, num_blocks, seed, schedule, n_ratings)
+    cells = grid.cells
     factors = init if init is not None else init_factors(
         spark, nx, ny, rank, num_blocks, seed, split, signed_init)
     factors, current = materialize(factors.select("matrix", "id", "block", "vec"),
@@ -255,9 +306,9 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
         n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
         for t in range(n_steps):
             if schedule == STRATIFIED:
-                factors = dsgd_subepoch(cells, factors, t, num_blocks, eta)
+                factors = dsgd_subepoch(cells, factors, t, num_blocks, eta, grid.keys)
             else:
-                factors = sweep_wave(cells, factors, t, num_blocks, eta)
+                factors = sweep_wave(cells, factors, t, num_blocks, eta, grid.keys)
             if (t + 1) % checkpoint_every == 0 or t + 1 == n_steps:
                 factors, path = materialize(factors, f"factors-e{epoch}-s{t}", with_path=True)
                 superseded.append(current)
@@ -275,7 +326,7 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
                 f"log-e{epoch}"))
     for path in superseded:
         drop_table(spark, path)
-    drop_table(spark, grid_path)
+    drop_grid(spark, grid)
     if logs:
         log = logs[0]
         for extra in logs[1:]:

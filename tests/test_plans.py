@@ -40,21 +40,41 @@ def test_subepoch_plan(spark):
     assert F is not None
 
 
-def test_grid_write_one_file_per_slot(spark):
+def test_grid_write_one_file_per_cell_slot(spark):
     import glob
     import os
 
     r = ratings_view(spark, SF_SMALL)
     nx, ny = domain_sizes(r)
-    grid, path = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000,
-                                  rows_per_file=500)
-    files = [f for f in glob.glob(os.path.join(path.replace("file:", ""), "step=*", "*.parquet"))]
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000, rows_per_file=500)
+    root = grid.path.replace("file:", "")
+    files = glob.glob(os.path.join(root, "step=*", "*.parquet"))
     per_step = {}
     for f in files:
         step = os.path.basename(os.path.dirname(f))
         per_step[step] = per_step.get(step, 0) + 1
-    assert per_step == {"step=0": 4, "step=1": 4, "step=2": 4}
-    assert grid.count() == 6000
-    assert grid.where("step = 1").count() == r.count() - grid.where("step != 1").count()
-    plan = grid.where("step = 1")._jdf.queryExecution().executedPlan().toString()
+        # every file holds one cell (one x-block) of its step
+        assert spark.read.parquet(f).select("bx").distinct().count() == 1
+    # 6000 rows / 9 cells = 667 per cell -> 2 files per cell, 3 cells per step
+    assert per_step == {"step=0": 6, "step=1": 6, "step=2": 6}
+    assert grid.cells.count() == 6000
+    plan = grid.cells.where("step = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(step" in plan
+    train.drop_grid(spark, grid)
+
+
+def test_bucketed_step_exchanges_only_factors(spark):
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    grid = train.write_grid(r, nx, ny, 4, 7, train.STRATIFIED, num_ratings=6000)
+    f = init_factors(spark, nx, ny, 4, 4, 7)
+    p = plan(train.dsgd_subepoch(grid.cells, f, 2, 4, 0.001, grid.keys))
+    assert p.count("Exchange") == 1
+    exchange = p.split("Exchange", 1)[1].split("\n", 1)[0]
+    assert "hashpartitioning(bkey" in exchange
+    assert "Bucketed: true" in p and "SelectedBucketsCount: 4 out of 4" in p
+    # one x-block per bucket: the keys spread the N blocks over N buckets
+    got = spark.range(4).selectExpr(f"pmod(hash(element_at(array({','.join(map(str, grid.keys))}), "
+                                    "cast(id as int) + 1)), 4) AS b").collect()
+    assert sorted(x.b for x in got) == [0, 1, 2, 3]
+    train.drop_grid(spark, grid)
