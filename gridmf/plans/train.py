@@ -211,7 +211,8 @@ def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
         union = fac.unionByName(rating_rows).select(*KERNEL_INPUT_COLUMNS, "bkey")
         return (union.sortWithinPartitions("bkey", "kind", "ord", "id", "y_id", "rating")
                      .groupBy("bkey").applyInArrow(kernel, FACTOR_SCHEMA))
-    union = factor_rows.unionByName(rating_rows).select(*KERNEL_INPUT_COLUMNS)
+    union = factor_rows.select(*KERNEL_INPUT_COLUMNS).unionByName(
+        rating_rows.select(*KERNEL_INPUT_COLUMNS))
     return (union.repartitionById(num_blocks, "pos")
                  .sortWithinPartitions("pos", "kind", "ord", "id", "y_id", "rating")
                  .groupBy("pos")

@@ -78,3 +78,21 @@ def test_bucketed_step_exchanges_only_factors(spark):
                                     "cast(id as int) + 1)), 4) AS b").collect()
     assert sorted(x.b for x in got) == [0, 1, 2, 3]
     train.drop_grid(spark, grid)
+
+
+def test_bucketed_and_exchange_paths_agree(spark):
+    import numpy as np
+
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000)
+    f = init_factors(spark, nx, ny, 4, 3, 7)
+    out = {}
+    for tag, keys in (("bucketed", grid.keys), ("exchange", None)):
+        q = f
+        for s in range(3):
+            q = train.dsgd_subepoch(grid.cells, q, s, 3, 0.01, keys)
+        out[tag] = {(x.matrix, x.id): np.array(x.vec) for x in q.collect()}
+    assert out["bucketed"].keys() == out["exchange"].keys()
+    assert all(np.array_equal(out["bucketed"][k], out["exchange"][k]) for k in out["bucketed"])
+    train.drop_grid(spark, grid)
