@@ -102,23 +102,32 @@ def drop_table(spark, path: str) -> None:
         pass
 
 
+_BUCKET_KEYS: dict = {}
+
+
 def bucket_keys(spark, num_blocks: int) -> list[int]:
     """Per x-block ``b`` an INT key whose hash bucket among ``N`` is ``b``.
 
     Bucketing (and ``repartition(N, col)``) place a row by ``pmod(hash(col), N)``;
     a key column built from these values puts x-block ``b`` into bucket ``b``,
     one cell per task.  Found with Spark's own ``hash`` over a small range (N
-    rows reach the driver).  Grouping is by the key itself, so the keys only
-    affect balance, never results.
+    rows reach the driver; remembered per session and N - the mapping depends
+    on the hash function only).  Grouping is by the key itself, so the keys
+    only affect balance, never results.
     """
     n = int(num_blocks)
+    cache_key = (id(spark), n)
+    if cache_key in _BUCKET_KEYS:
+        return _BUCKET_KEYS[cache_key]
     m = 16 * n
     while True:
         found = (spark.range(m).select(F.col("id").cast("int").alias("c"))
                  .groupBy(F.expr(f"pmod(hash(c), {n})").alias("b")).agg(F.min("c").alias("c"))
                  .collect())
         if len(found) == n:
-            return [int(r["c"]) for r in sorted(found, key=lambda r: r["b"])]
+            keys = [int(r["c"]) for r in sorted(found, key=lambda r: r["b"])]
+            _BUCKET_KEYS[cache_key] = keys
+            return keys
         m *= 4
 
 
