@@ -73,3 +73,22 @@ def relabel(ratings: DataFrame, perm_x: DataFrame, perm_y: DataFrame, num_x_ids:
     py = lookup(perm_y, num_y_ids, "y_id", "new_y")
     return (ratings.join(px, "x_id").join(py, "y_id")
                    .select(F.col("new_x").alias("x_id"), F.col("new_y").alias("y_id"), "rating"))
+
+
+def shuffle_ids(ratings: DataFrame, seed: int, num_x_ids: int | None = None,
+                num_y_ids: int | None = None,
+                broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relabel both axes of a rating table with independent seeded permutations.
+
+    Returns ``(relabeled ratings, x permutation, y permutation)``; the
+    permutations map results back (``new_id -> old_id``).  Every id up to the
+    maximum is permuted, used or not, so the id domain is unchanged.
+    """
+    if num_x_ids is None or num_y_ids is None:
+        from gridmf.operators.domain import domain_sizes
+
+        num_x_ids, num_y_ids = domain_sizes(ratings)
+    spark = ratings.sparkSession
+    px = permute_ids(spark, num_x_ids, "x", seed, broadcast_limit=broadcast_limit)
+    py = permute_ids(spark, num_y_ids, "y", seed, broadcast_limit=broadcast_limit)
+    return relabel(ratings, px, py, num_x_ids, num_y_ids, broadcast_limit), px, py

@@ -32,3 +32,16 @@ def test_relabel_keeps_ratings_and_evens_cells(spark):
     assert sorted(triples(out)) == sorted((px[x], py[y], v) for x, y, v in triples(r))
     counts = [c.n for c in blocks.cell_counts(blocks.assign_grid(out, nx, ny, 4)).collect()]
     assert sum(counts) == r.count()
+
+
+def test_shuffle_ids_roundtrip(spark):
+    from pyspark.sql import functions as F
+
+    from gridmf import shuffle_ids
+
+    r = ratings_view(spark, SF_SMALL)
+    out, px, py = shuffle_ids(r, 11)
+    back = (out.join(px.select(F.col("new_id").alias("x_id"), F.col("old_id").alias("ox")), "x_id")
+               .join(py.select(F.col("new_id").alias("y_id"), F.col("old_id").alias("oy")), "y_id")
+               .select(F.col("ox").alias("x_id"), F.col("oy").alias("y_id"), "rating"))
+    assert sorted(triples(back)) == sorted(triples(r))
