@@ -56,13 +56,13 @@ def local_index(cells: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: in
 
 
 def blockify(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int,
-             seed: int, split: str = BALANCED, persist: bool = True) -> DataFrame:
-    """Lay the triples out on the grid once (A3).
+             seed: int, split: str = BALANCED, persist: bool = False) -> DataFrame:
+    """Lay the triples out on the grid, x-block ``i`` in partition ``i`` (A3).
 
-    ``repartitionById(N, 'bx')`` puts x-block ``i`` into partition ``i`` (one
-    block per task, no hash collisions between the N keys); the result is
-    persisted (memory, spilling to disk) and reused by every sub-epoch and every
-    evaluation, so the raw input is scanned and shuffled exactly once.
+    ``repartitionById(N, 'bx')`` gives one block per partition with no hash
+    collisions between the N keys.  This is the in-session form of the layout
+    (optionally persisted, memory spilling to disk); training writes its own
+    step-partitioned, bucketed copy instead (``plans.train.write_grid``).
     """
     cells = with_order(assign_grid(ratings, num_x_ids, num_y_ids, num_blocks, split), seed)
     cells = cells.repartitionById(num_blocks, "bx")

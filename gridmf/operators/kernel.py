@@ -250,7 +250,7 @@ def make_error_kernel():
 def _ship_by_value() -> None:
     """Pickle this module's code with the function that Spark sends to workers.
 
-    The kernel then runs on executors that have numpy and pandas but not this
+    The kernel then runs on executors that have numpy and pyarrow but not this
     package installed (or a different working directory).
     """
     try:

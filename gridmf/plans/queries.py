@@ -151,7 +151,7 @@ def q_grid_assign(spark, sf):
 
 def q_blockify(spark, sf):
     r, nx, ny = _ctx(spark, sf)
-    return blocks.blockify(r, nx, ny, N, SEED, persist=False).select(
+    return blocks.blockify(r, nx, ny, N, SEED).select(
         "x_id", "y_id", "rating", "bx", "by", "stratum", "ord")
 
 

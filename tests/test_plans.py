@@ -23,7 +23,7 @@ def test_ratings_scan_is_pruned(spark):
 def test_subepoch_plan(spark):
     r = ratings_view(spark, SF_SMALL)
     nx, ny = domain_sizes(r)
-    cells = blocks.blockify(r, nx, ny, 4, 7)
+    cells = blocks.blockify(r, nx, ny, 4, 7, persist=True)
     cells.count()
     f = init_factors(spark, nx, ny, 4, 4, 7)
     step = train.dsgd_subepoch(cells, f, 1, 4, 0.001)
