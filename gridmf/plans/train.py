@@ -321,32 +321,35 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     eval_groups = cell_groups(cells, num_blocks) if evaluate_epochs and epochs > 0 else None
     logs = []
     superseded = []
-    for epoch in range(epochs):
-        eta = step_size(step, decay, epoch)
-        n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
-        for t in range(n_steps):
-            if schedule == STRATIFIED:
-                factors = dsgd_subepoch(cells, factors, t, num_blocks, eta, grid.keys)
-            else:
-                factors = sweep_wave(cells, factors, t, num_blocks, eta, grid.keys)
-            if (t + 1) % checkpoint_every == 0 or t + 1 == n_steps:
-                factors, path = materialize(factors, f"factors-e{epoch}-s{t}", with_path=True)
-                superseded.append(current)
-                current = path
-                # keep the previous table until the next one is written, drop older
-                while len(superseded) > 1:
-                    drop_table(spark, superseded.pop(0))
-        if sub_epochs is not None:
-            break
-        if evaluate_epochs:
-            metrics = evaluate_grid(cells, factors, num_blocks, groups=eval_groups)
-            logs.append(materialize(metrics.select(
-                F.lit(epoch).cast("int").alias("iteration"),
-                F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
-                f"log-e{epoch}"))
-    for path in superseded:
-        drop_table(spark, path)
-    drop_grid(spark, grid)
+    try:
+        for epoch in range(epochs):
+            eta = step_size(step, decay, epoch)
+            n_steps = steps_per_epoch if sub_epochs is None else min(sub_epochs, steps_per_epoch)
+            for t in range(n_steps):
+                if schedule == STRATIFIED:
+                    factors = dsgd_subepoch(cells, factors, t, num_blocks, eta, grid.keys)
+                else:
+                    factors = sweep_wave(cells, factors, t, num_blocks, eta, grid.keys)
+                if (t + 1) % checkpoint_every == 0 or t + 1 == n_steps:
+                    factors, path = materialize(factors, f"factors-e{epoch}-s{t}", with_path=True)
+                    superseded.append(current)
+                    current = path
+                    # keep the previous table until the next one is written, drop older
+                    while len(superseded) > 1:
+                        drop_table(spark, superseded.pop(0))
+            if sub_epochs is not None:
+                break
+            if evaluate_epochs:
+                metrics = evaluate_grid(cells, factors, num_blocks, groups=eval_groups)
+                logs.append(materialize(metrics.select(
+                    F.lit(epoch).cast("int").alias("iteration"),
+                    F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
+                    f"log-e{epoch}"))
+    finally:
+        # intermediate tables go whether training finished or failed
+        for path in superseded:
+            drop_table(spark, path)
+        drop_grid(spark, grid)
     if logs:
         log = logs[0]
         for extra in logs[1:]:
