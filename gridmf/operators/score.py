@@ -1,12 +1,19 @@
 """Scoring and evaluation.
 
-Evaluation is ONE query over all triples: ``ratings ⋈ W on x_id ⋈ H on y_id``,
-then a global aggregate whose partial sums are combined map-side.  The
-reference's per-sub-epoch join passes and H replication are not needed.
-
-Join strategy: a factor side is broadcast only when its size, bounded from
-the driver-side facts ``rows * (8*K + overhead)``, is below ``broadcast_limit``;
-otherwise the join is left to Catalyst/AQE (sort-merge, skew splitting).
+Two forms, both one job over all triples:
+
+* by join (``predict``, ``evaluate``): ``ratings ⋈ W on x_id ⋈ H on y_id``, a
+  dot product per row, and a global aggregate with map-side partial sums.  It
+  gives per-triple predictions and works on any triples.  A factor side is
+  broadcast only when its size, bounded from the driver-side facts
+  ``rows * (8*K + overhead)``, is below ``broadcast_limit``; otherwise the join is
+  left to Catalyst/AQE (sort-merge, skew splitting) - and then each rating row
+  carries a K-vector through the second shuffle.
+* on the grid (``evaluate_grid``): triples already carrying their cell are
+  grouped per cell, each group streaming narrow ``(x, y, rating)`` rows against
+  its two factor blocks in numpy.  Factor rows are copied once per cell of their
+  block (the reference's replication of H to every position, for both sides);
+  ratings move once, without vectors.  Training logs use this form.
 """
 
 from __future__ import annotations
