@@ -193,8 +193,10 @@ def q_realign_h(spark, sf):
 
 def q_replicate_h(spark, sf):
     _, _, ny = _ctx(spark, sf)
-    rep = blocks.replicate_h_blocks(spark, N)
-    return _h_ids(spark, ny).join(F.broadcast(rep), "block").select("id", "block", "sub_epoch", "pos")
+    rep = blocks.replicate_h_blocks(spark, N)       # N*N rows
+    if N * N * 16 <= DEFAULT_BROADCAST_LIMIT:
+        rep = F.broadcast(rep)
+    return _h_ids(spark, ny).join(rep, "block").select("id", "block", "sub_epoch", "pos")
 
 
 # --- scoring ----------------------------------------------------------------
