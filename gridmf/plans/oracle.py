@@ -174,6 +174,11 @@ ORACLE_SQL: dict[str, str] = {
         JOIN px ON rv.x_id = px.old_id JOIN py ON rv.y_id = py.old_id""",
     "step_schedule": _with() + f"""SELECT CAST(e AS INTEGER) AS iteration, round({STEP!r} * pow({DECAY!r}, e), 12) AS step_size,
         (SELECT count(*) FROM rv) AS updates FROM range(0, {EPOCHS}) t(e)""",
+    "relabeled_cell_counts": _with(DOM, f"px AS ({perm('x', 'nx')})", f"py AS ({perm('y', 'ny')})",
+        """rl AS (SELECT px.new_id AS x_id, py.new_id AS y_id FROM rv
+                  JOIN px ON rv.x_id = px.old_id JOIN py ON rv.y_id = py.old_id)""")
+        + f"""SELECT {bid('rl.x_id', 'dom.nx')} AS bx, {bid('rl.y_id', 'dom.ny')} AS "by", count(*) AS n
+        FROM rl, dom GROUP BY 1, 2""",
     "cells_write_read": _with(DOM, GRID) + 'SELECT x_id, y_id, rating, bx, "by" FROM grid',
     "cell_lines": cell_line_sql('SELECT bx, "by", part, line FROM cl'),
     "cell_lines_decode": _with() + "SELECT x_id, y_id, rating FROM rv",

@@ -306,6 +306,12 @@ def q_relabel_ids(spark, sf):
     return relabel(r, permute_ids(spark, nx, "x", SEED), permute_ids(spark, ny, "y", SEED), nx, ny)
 
 
+def q_relabeled_cell_counts(spark, sf):
+    """Samples per cell after random relabeling (the skew measure against cell_counts)."""
+    _, nx, ny = _ctx(spark, sf)
+    return blocks.cell_counts(blocks.assign_grid(q_relabel_ids(spark, sf), nx, ny, N))
+
+
 def q_relabeled_csv(spark, sf):
     """Relabeled ratings through the CSV sink and the typed scan (S9 + S1)."""
     path = scratch_path(spark, "relabeled-csv")
@@ -389,6 +395,7 @@ QUERIES = {
     "permute_ids": q_permute_ids,
     "relabel_ids": q_relabel_ids,
     "relabeled_csv": q_relabeled_csv,
+    "relabeled_cell_counts": q_relabeled_cell_counts,
     "cells_write_read": q_cells_write_read,
     "cell_lines": q_cell_lines,
     "cell_lines_decode": q_cell_lines_decode,
