@@ -117,3 +117,16 @@ def test_model_roundtrip(spark):
     got = {(r.matrix, r.id): list(r.vec) for r in files.read_model(spark, path).collect()}
     assert got == {(r.matrix, r.id): list(r.vec) for r in f.collect()}
     assert F is not None
+
+
+def test_cell_lines_bucketed_ranks_equal_unbucketed(spark, monkeypatch):
+    """The order-preserving buckets used for large cells give the same lines."""
+    cells, _ = _cells(spark)
+    dup = cells.unionByName(cells.limit(300))     # identical triples across buckets
+    plain = {(x.bx, x.by, x.part): x.line
+             for x in celltext.cell_lines(spark, dup, 3, max_triples=50).collect()}
+    monkeypatch.setattr(celltext, "TRIPLES_PER_BUCKET", 16)
+    bucketed = {(x.bx, x.by, x.part): x.line
+                for x in celltext.cell_lines(spark, dup, 3, max_triples=50).collect()}
+    assert bucketed == plain
+    assert max(k[2] for k in plain) > 5
