@@ -275,13 +275,19 @@ def q_sgd_matching_step(spark, sf):
         .select("m.x_id", "y_id", "m.rating")
     f = _init(spark, nx, ny)
     j = attach_factors(match, f, num_x_ids=nx, num_y_ids=ny, rank=K)
+    # g once per triple, then one row per k: the step is plain column arithmetic
+    # (an expression used inside a per-element lambda would be re-evaluated per
+    # element once Catalyst inlines it).
     g = F.lit(2.0 * STEP) * (F.col("rating") - dot(F.col("w"), F.col("h")))
-    j = j.withColumn("g", g)
-    j = j.withColumn("w2", F.zip_with("w", "h", lambda a, b: a + F.col("g") * b))
-    j = j.withColumn("h2", F.zip_with("h", "w2", lambda b, a: b + F.col("g") * a))
-    wl = j.select(F.lit("W").alias("matrix"), F.col("x_id").alias("id"), F.col("w2").alias("vec"))
-    hl = j.select(F.lit("H").alias("matrix"), F.col("y_id").alias("id"), F.col("h2").alias("vec"))
-    return factors_long(wl.unionByName(hl))
+    per_k = (j.withColumn("g", g)
+              .select("x_id", "y_id", "g", F.posexplode(F.arrays_zip("w", "h")).alias("k", "wh")))
+    w2 = F.col("wh.w") + F.col("g") * F.col("wh.h")
+    h2 = F.col("wh.h") + F.col("g") * w2
+    k = F.col("k").cast("int").alias("k")
+    both = F.array(  # W and H rows from one pass over the join
+        F.struct(F.lit("W").alias("matrix"), F.col("x_id").alias("id"), k, F.round(w2, DIGITS).alias("value")),
+        F.struct(F.lit("H").alias("matrix"), F.col("y_id").alias("id"), k, F.round(h2, DIGITS).alias("value")))
+    return per_k.select(F.explode(both).alias("r")).select("r.*")
 
 
 def q_init_factors(spark, sf):

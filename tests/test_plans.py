@@ -96,3 +96,12 @@ def test_bucketed_and_exchange_paths_agree(spark):
     assert out["bucketed"].keys() == out["exchange"].keys()
     assert all(np.array_equal(out["bucketed"][k], out["exchange"][k]) for k in out["bucketed"])
     train.drop_grid(spark, grid)
+
+
+def test_dot_product_computed_once(spark):
+    """No per-element lambda re-evaluates the dot product after Catalyst's inlining."""
+    import __spark_entry__ as entry
+
+    for name in ("sgd_matching_step", "predict", "residuals", "embedding_predict"):
+        optimized = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("aggregate(") == 1, name
