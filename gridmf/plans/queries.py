@@ -27,8 +27,8 @@ N = 4
 K = 8
 SEED = 7
 EPOCHS = 2
-STEP = 0.001
-DECAY = 0.99
+STEP = train.STEP_SIZE
+DECAY = train.STEP_DECAY
 HOLE_BLOCK = 1
 DIGITS = 6
 

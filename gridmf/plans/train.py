@@ -43,6 +43,11 @@ from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, K
 from gridmf.operators.score import cell_groups, evaluate_grid
 from gridmf.session import ensure_checkpoint_dir, scratch_path
 
+# Fixed values of the original programs (results depend on them): the initial
+# step size is 0.001 and it is multiplied by 0.99 after every epoch.
+STEP_SIZE = 0.001
+STEP_DECAY = 0.99
+
 STRATIFIED = "stratified"
 SWEEP = "sweep"
 LOG_SCHEMA = "iteration INT, step_size DOUBLE, sse DOUBLE, n BIGINT, rmse DOUBLE"
@@ -67,8 +72,8 @@ def step_size(step: float, decay: float, epoch: int) -> float:
     return float(step) * float(decay) ** int(epoch)
 
 
-def step_schedule(ratings: DataFrame, epochs: int, step: float = 0.001,
-                  decay: float = 0.99) -> DataFrame:
+def step_schedule(ratings: DataFrame, epochs: int, step: float = STEP_SIZE,
+                  decay: float = STEP_DECAY) -> DataFrame:
     """``(iteration, step_size)`` for ``epochs`` epochs, as a column expression."""
     spark = ratings.sparkSession
     return (spark.range(epochs)
@@ -282,8 +287,8 @@ class FitResult:
     num_y_ids: int
 
 
-def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = 0.001,
-        decay: float = 0.99, seed: int = 7, schedule: str = STRATIFIED,
+def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = STEP_SIZE,
+        decay: float = STEP_DECAY, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
         sub_epochs: int | None = None, checkpoint_every: int = 8) -> FitResult:
     """Train ``ratings ≈ W·Hᵀ``.
