@@ -247,6 +247,27 @@ def make_error_kernel():
     return cell_error
 
 
+def make_predict_kernel():
+    """Grouped-map function: ``(x_id, y_id, rating, prediction)`` per triple of a cell."""
+
+    def cell_predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _CellState(0.0)
+        for batch in batches:
+            factors, ratings = _split_kinds(batch)
+            if factors is not None:
+                state.add_factors(factors)
+            if ratings is not None:
+                rw, rh, r = state.rating_rows(ratings)
+                W, H = state.mats[KIND_W][2], state.mats[KIND_H][2]
+                pred = np.einsum("ij,ij->i", W[rw], H[rh])
+                yield pa.RecordBatch.from_arrays(
+                    [ratings.column("id").cast(pa.int32()), ratings.column("y_id").cast(pa.int32()),
+                     pa.array(r), pa.array(pred)],
+                    names=["x_id", "y_id", "rating", "prediction"])
+
+    return cell_predict
+
+
 def _ship_by_value() -> None:
     """Pickle this module's code with the function that Spark sends to workers.
 

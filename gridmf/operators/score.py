@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmf.functions import blockmath as bm
 from gridmf.functions.vectors import dot
 from gridmf.operators.factors import side
 
@@ -52,13 +53,28 @@ def attach_factors(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | N
     return ratings.join(w, "x_id").join(h, "y_id")
 
 
-def predict(ratings: DataFrame, factors: DataFrame, **kw) -> DataFrame:
-    """``prediction = w . h``, ``residual = rating - prediction``, ``sq_error``."""
-    joined = attach_factors(ratings, factors, **kw)
-    pred = dot(F.col("w"), F.col("h"))
-    return (joined.select("x_id", "y_id", "rating", pred.alias("prediction"))
-                  .withColumn("residual", F.col("rating") - F.col("prediction"))
-                  .withColumn("sq_error", F.col("residual") * F.col("residual")))
+def predict(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | None = None,
+            num_y_ids: int | None = None, rank: int | None = None,
+            broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+            grid_blocks: int | None = None) -> DataFrame:
+    """``prediction = w . h``, ``residual = rating - prediction``, ``sq_error``.
+
+    By join, broadcasting factor sides under the size bound.  When a side is
+    over it and ``grid_blocks`` is given, the grid form (``predict_grid``) is
+    used instead, so rating rows never travel with K-vectors attached.
+    """
+    sizes_known = None not in (num_x_ids, num_y_ids, rank)
+    too_big = sizes_known and max(factor_side_bytes(num_x_ids, rank),
+                                  factor_side_bytes(num_y_ids, rank)) > broadcast_limit
+    if grid_blocks and too_big:
+        base = predict_grid(ratings, factors, num_x_ids, num_y_ids, grid_blocks,
+                            broadcast_limit=broadcast_limit)
+    else:
+        joined = attach_factors(ratings, factors, num_x_ids=num_x_ids, num_y_ids=num_y_ids,
+                                rank=rank, broadcast_limit=broadcast_limit)
+        base = joined.select("x_id", "y_id", "rating", dot(F.col("w"), F.col("h")).alias("prediction"))
+    return (base.withColumn("residual", F.col("rating") - F.col("prediction"))
+                .withColumn("sq_error", F.col("residual") * F.col("residual")))
 
 
 def error_summary(scored: DataFrame) -> DataFrame:
@@ -97,26 +113,11 @@ def cell_groups(cells: DataFrame, num_blocks: int, rows_per_group: int = 1 << 24
     return info, int(groups)
 
 
-def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
-                  rows_per_group: int = 1 << 24, groups: tuple[DataFrame, int] | None = None,
-                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Squared error, count and RMSE over triples already laid on the grid.
-
-    One job, one group per (stratum, x-block) cell - or several for a large
-    cell: evaluation does not depend on order, so a cell with more than
-    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
-    groups and its two factor blocks are sent to each.  Every group streams its
-    narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
-    ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
-    consistent with the factors' ``block`` column; ``groups`` (from
-    ``cell_groups``) may be passed to reuse the cell table across calls.
-    """
-    from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel
+def _grouped_by_cell(cells: DataFrame, factors: DataFrame, n: int, info: DataFrame,
+                     n_groups: int, broadcast_limit: int):
+    """Ratings and replicated factor blocks keyed by cell group, one group per task."""
+    from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W
 
-    n = int(num_blocks)
-    info, n_groups = groups if groups is not None else cell_groups(cells, n, rows_per_group)
-    if n_groups == 0:
-        return cells.sparkSession.createDataFrame([(0.0, 0, None)], "sse double, n bigint, rmse double")
     if n * n * 32 <= broadcast_limit:
         info = F.broadcast(info)
     ratings = (cells.join(info, ["bx", "by"])
@@ -136,15 +137,68 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
                        "id", F.lit(None).cast("int").alias("y_id"), F.lit(None).cast("double").alias("rating"),
                        F.lit(None).cast("bigint").alias("ord"), "block", "vec")
                .withColumn("pos", F.col("pos").cast("int")))
-    per_group = (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
-                 .repartitionById(n_groups, "pos")
-                 .sortWithinPartitions("pos", "kind", "id")
-                 .groupBy("pos").applyInArrow(make_error_kernel(), "sse double, n long"))
+    return (fac.unionByName(ratings).select(*KERNEL_INPUT_COLUMNS)
+               .repartitionById(n_groups, "pos")
+               .sortWithinPartitions("pos", "kind", "id")
+               .groupBy("pos"))
+
+
+def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
+                  rows_per_group: int = 1 << 24, groups: tuple[DataFrame, int] | None = None,
+                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """Squared error, count and RMSE over triples already laid on the grid.
+
+    One job, one group per (stratum, x-block) cell - or several for a large
+    cell: evaluation does not depend on order, so a cell with more than
+    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
+    groups and its two factor blocks are sent to each.  Every group streams its
+    narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
+    ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
+    consistent with the factors' ``block`` column; ``groups`` (from
+    ``cell_groups``) may be passed to reuse the cell table across calls.
+    """
+    from gridmf.operators.kernel import make_error_kernel
+
+    n = int(num_blocks)
+    info, n_groups = groups if groups is not None else cell_groups(cells, n, rows_per_group)
+    if n_groups == 0:
+        return cells.sparkSession.createDataFrame([(0.0, 0, None)], "sse double, n bigint, rmse double")
+    per_group = _grouped_by_cell(cells, factors, n, info, n_groups, broadcast_limit) \
+        .applyInArrow(make_error_kernel(), "sse double, n long")
     return (per_group.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"),
                           F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
                      .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))
 
 
+def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_ids: int,
+                 num_blocks: int, rows_per_group: int = 1 << 24,
+                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """Per-triple ``prediction`` without shipping vectors with the ratings.
+
+    The scale form of ``predict`` when factor sides are too big to broadcast:
+    ratings and factor rows are both (re)blocked into ``num_blocks`` id ranges
+    (any N: the factors' stored ``block`` is not used), each cell group streams
+    its narrow rows against its two blocks in numpy and streams predictions
+    out.  Choose N so that a W block plus an H block fits a task
+    (``plans.train.min_num_blocks``); the factor rows are copied N times.
+    """
+    from gridmf.operators.blocks import assign_grid
+    from gridmf.operators.kernel import make_predict_kernel
+
+    n = int(num_blocks)
+    cells = assign_grid(ratings.select("x_id", "y_id", "rating"), num_x_ids, num_y_ids, n)
+    w_block = bm.block_id(num_x_ids, n, "id")
+    h_block = bm.block_id(num_y_ids, n, "id")
+    reblocked = factors.select("matrix", "id", F.when(F.col("matrix") == F.lit("W"), w_block)
+                               .otherwise(h_block).alias("block"), "vec")
+    info, n_groups = cell_groups(cells, n, rows_per_group)
+    schema = "x_id int, y_id int, rating double, prediction double"
+    if n_groups == 0:
+        return ratings.sparkSession.createDataFrame([], schema)
+    return _grouped_by_cell(cells, reblocked, n, info, n_groups, broadcast_limit) \
+        .applyInArrow(make_predict_kernel(), schema)
+
+
 def materialize_small(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small, bounded helper table (written to the checkpoint folder)."""
     from gridmf.session import scratch_path

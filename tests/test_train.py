@@ -216,3 +216,32 @@ def test_min_num_blocks():
     n = train.min_num_blocks(10**9, 10**8, 64, 4 << 30)
     assert n == 394   # ceil(3 * 8 * 64 * 1.1e9 / 4 GiB) = ceil(393.39)
     assert train.min_num_blocks(10, 10, 2, 1 << 30) == 1
+
+
+def test_predict_grid_equals_join(spark):
+    from gridmf.operators.domain import domain_sizes
+    from gridmf.operators.score import predict, predict_grid
+
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    f = init_factors(spark, nx, ny, 5, 4, 7)    # stored blocks for N = 4; the grid re-blocks
+    a = sorted((x.x_id, x.y_id, x.rating, round(x.prediction, 9))
+               for x in predict_grid(r, f, nx, ny, 3, rows_per_group=400).collect())
+    b = sorted((x.x_id, x.y_id, x.rating, round(x.prediction, 9)) for x in predict(r, f).collect())
+    assert a == b and len(a) == 6000
+
+
+def test_predict_switches_to_grid_over_the_bound(spark):
+    from gridmf.operators.domain import domain_sizes
+    from gridmf.operators.score import predict
+
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    f = init_factors(spark, nx, ny, 5, 4, 7)
+    big = predict(r, f, num_x_ids=nx, num_y_ids=ny, rank=5, broadcast_limit=0, grid_blocks=3)
+    plan = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "aggregate(" not in plan
+    small = predict(r, f, num_x_ids=nx, num_y_ids=ny, rank=5)
+    a = sorted((x.x_id, x.y_id, round(x.sq_error, 9)) for x in big.collect())
+    b = sorted((x.x_id, x.y_id, round(x.sq_error, 9)) for x in small.collect())
+    assert a == b
