@@ -42,14 +42,15 @@ OUTPUT_ROWS = 8192
 
 def conflict_levels(rows_w: np.ndarray, rows_h: np.ndarray, last_w: list, last_h: list) -> np.ndarray:
     """Level of each sample; ``last_w``/``last_h`` carry levels across chunks."""
-    out = np.empty(len(rows_w), dtype=np.int64)
-    for i, (a, b) in enumerate(zip(rows_w.tolist(), rows_h.tolist())):
+    out = []
+    append = out.append
+    for a, b in zip(rows_w.tolist(), rows_h.tolist()):
         la, lb = last_w[a], last_h[b]
         lvl = (la if la > lb else lb) + 1
         last_w[a] = lvl
         last_h[b] = lvl
-        out[i] = lvl
-    return out
+        append(lvl)
+    return np.asarray(out, dtype=np.int64)
 
 
 def sgd_sequential(W: np.ndarray, H: np.ndarray, rw: np.ndarray, rh: np.ndarray,
