@@ -46,10 +46,16 @@ def read_ratings_csv(spark: SparkSession, path: str, strict: bool = False) -> Da
     bad = (n_fields != 3) if strict else (n_fields < 3)
     checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed ratings line: "),
                                                   F.col("value"))))
+    def field(i: int, kind: str):
+        # ANSI casts already fail on bad text; the guard makes it fail without ANSI too
+        value = parts.getItem(i).cast(kind)
+        return F.coalesce(value, F.raise_error(F.concat(F.lit("malformed ratings line: "),
+                                                         F.col("value"))).cast(kind))
+
     return lines.select(
-        F.coalesce(checked.cast("int"), parts.getItem(0).cast("int")).alias("x_id"),
-        parts.getItem(1).cast("int").alias("y_id"),
-        parts.getItem(2).cast("double").alias("rating"),
+        F.coalesce(checked.cast("int"), field(0, "int")).alias("x_id"),
+        field(1, "int").alias("y_id"),
+        field(2, "double").alias("rating"),
     )
 
 

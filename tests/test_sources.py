@@ -130,3 +130,14 @@ def test_cell_lines_bucketed_ranks_equal_unbucketed(spark, monkeypatch):
                 for x in celltext.cell_lines(spark, dup, 3, max_triples=50).collect()}
     assert bucketed == plain
     assert max(k[2] for k in plain) > 5
+
+
+def test_csv_bad_field_raises_without_ansi(spark):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception):
+            read_ratings_csv(spark, write_lines(["1,a,3.0"])).collect()
+        assert triples(read_ratings_csv(spark, write_lines(["1,2,3.0"]))) == [(1, 2, 3.0)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
