@@ -150,7 +150,8 @@ class Grid:
 
 
 def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, seed: int,
-               schedule: str, num_ratings: int, rows_per_file: int = ROWS_PER_FILE) -> Grid:
+               schedule: str, num_ratings: int, rows_per_file: int = ROWS_PER_FILE,
+               balance_cells: bool = False) -> Grid:
     """Grid layout written once: partitioned by ``step`` (stratum or wave) and
     bucketed by x-block into ``N`` buckets.
 
@@ -163,7 +164,10 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     task writes one file of one cell and a cell gets ``ceil(rows / rows_per_file)``
     files - not one file per (input task, step, bucket).  The salt is
     round-robin over row positions, so even a cell of one repeated triple
-    spreads over its files.
+    spreads over its files.  Files per cell come from the average cell size,
+    or - with ``balance_cells`` - from exact per-cell counts (one more pass,
+    reading only the ids; at most steps*N result rows), so that a hot cell is
+    written by as many tasks as its size needs.
     """
     spark = ratings.sparkSession
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
@@ -174,12 +178,30 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     step = F.col("stratum") if schedule == STRATIFIED else F.col("bx") + F.col("by")
     cells = cells.select("x_id", "y_id", "rating", "ord", "bx", "by", step.cast("int").alias("step"),
                          _key_of(keys, F.col("bx")).alias("bkey"))
-    per_cell = -(-int(num_ratings) // (n_steps * num_blocks))
-    files_per_cell = max(1, -(-per_cell // int(rows_per_file)))
-    slot = ((F.col("step") * num_blocks + F.col("bx")) * files_per_cell
-            + F.pmod(F.monotonically_increasing_id(), F.lit(files_per_cell)))
-    cells = (cells.withColumn("slot", slot.cast("int"))
-                  .repartitionById(n_steps * num_blocks * files_per_cell, "slot").drop("slot"))
+    if balance_cells:
+        from pyspark.sql import Window
+
+        counts = (cells.groupBy("step", "bx").agg(F.count(F.lit(1)).alias("cnt"))
+                       .withColumn("files", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(int(rows_per_file))))
+                                   .cast("int"))
+                       .withColumn("base", F.coalesce(F.sum("files").over(
+                           Window.orderBy("step", "bx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                                   .cast("int"))
+                       .select("step", "bx", "files", "base"))
+        counts = materialize(counts, "grid-cells")
+        n_slots = int(counts.agg(F.sum("files")).first()[0] or 1)
+        if n_steps * num_blocks * 32 <= (64 << 20):
+            counts = F.broadcast(counts)
+        slot = F.col("base") + F.pmod(F.monotonically_increasing_id(), F.col("files"))
+        cells = (cells.join(counts, ["step", "bx"]).withColumn("slot", slot.cast("int"))
+                      .drop("files", "base").repartitionById(n_slots, "slot").drop("slot"))
+    else:
+        per_cell = -(-int(num_ratings) // (n_steps * num_blocks))
+        files_per_cell = max(1, -(-per_cell // int(rows_per_file)))
+        slot = ((F.col("step") * num_blocks + F.col("bx")) * files_per_cell
+                + F.pmod(F.monotonically_increasing_id(), F.lit(files_per_cell)))
+        cells = (cells.withColumn("slot", slot.cast("int"))
+                      .repartitionById(n_steps * num_blocks * files_per_cell, "slot").drop("slot"))
     path = scratch_path(spark, "grid")
     table = "gridmf_grid_" + os.path.basename(path).replace("-", "_")
     try:
@@ -290,7 +312,8 @@ class FitResult:
 def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = STEP_SIZE,
         decay: float = STEP_DECAY, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
-        sub_epochs: int | None = None, checkpoint_every: int = 8) -> FitResult:
+        sub_epochs: int | None = None, checkpoint_every: int = 8,
+        balance_cells: bool = False) -> FitResult:
     """Train ``ratings ≈ W·Hᵀ``.
 
     ``num_blocks`` fixes the visiting order and thus the result; it is always
@@ -304,7 +327,9 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     next step's exchange directly, saving a write and a job per step.  Lineage
     and plan depth stay bounded by 8 steps by default; after a failure Spark
     replays at most that many steps' lost shuffle output.  1 cuts after every
-    step.
+    step.  ``balance_cells`` sizes the grid's files per cell from exact counts
+    (one more pass over the ids), for inputs where some cells are much larger
+    than others.
     """
     if checkpoint_every < 1:
         raise ValueError("checkpoint_every must be >= 1")
@@ -316,7 +341,8 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     ensure_checkpoint_dir(spark)
     nx, ny, n_ratings = domain_stats(ratings)
     split = blocks.BALANCED if schedule == STRATIFIED else blocks.CEIL
-    grid = write_grid(ratings, nx, ny, num_blocks, seed, schedule, n_ratings)
+    grid = write_grid(ratings, nx, ny, num_blocks, seed, schedule, n_ratings,
+                      balance_cells=balance_cells)
     cells = grid.cells
     factors = init if init is not None else init_factors(
         spark, nx, ny, rank, num_blocks, seed, split, signed_init)

@@ -105,3 +105,31 @@ def test_dot_product_computed_once(spark):
     for name in ("sgd_matching_step", "predict", "residuals", "embedding_predict"):
         optimized = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert optimized.count("aggregate(") == 1, name
+
+
+def test_balanced_grid_splits_a_hot_cell(spark):
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    r = ratings_view(spark, SF_SMALL)
+    hot = spark.range(3000).select(F.lit(0).alias("x_id"), F.lit(0).alias("y_id"), F.lit(4.5).alias("rating"))
+    r = r.unionByName(hot)
+    nx, ny = domain_sizes(r)
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=9000, rows_per_file=500,
+                            balance_cells=True)
+    root = grid.path.replace("file:", "")
+    sizes = {}
+    for f in glob.glob(os.path.join(root, "step=*", "*.parquet")):
+        df = spark.read.parquet(f)
+        cell = df.select("bx").distinct().collect()
+        assert len(cell) == 1
+        key = (os.path.basename(os.path.dirname(f)), cell[0].bx)
+        sizes.setdefault(key, []).append(df.count())
+    # the hot cell (x-block 0 of stratum 0) is spread over ceil(rows / 500) files
+    hot_rows = sum(sizes[("step=0", 0)])
+    assert len(sizes[("step=0", 0)]) == -(-hot_rows // 500) and hot_rows > 3000
+    assert max(max(v) for v in sizes.values()) <= 500 + 1
+    assert grid.cells.count() == 9000
+    train.drop_grid(spark, grid)

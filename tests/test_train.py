@@ -260,3 +260,13 @@ def test_fit_without_catalog_uses_plain_grid(spark, ratings_small, monkeypatch):
         W, H = as_arrays(res.factors, res.num_x_ids, res.num_y_ids, 4)
         rW, rH, _ = replay(triples(ratings_small), 4, 3, 2, schedule=schedule)
         assert np.allclose(W, rW, atol=1e-12) and np.allclose(H, rH, atol=1e-12)
+
+
+def test_fit_balanced_cells_equals_replay(spark):
+    base = [(x % 7, (x * 3) % 5, 1.0 + (x % 4)) for x in range(60)]
+    hot = [(1, 2, 4.5)] * 400
+    df = spark.createDataFrame(base + hot, "x_id INT, y_id INT, rating DOUBLE")
+    res = train.fit(df, rank=3, num_blocks=2, epochs=2, step=0.0005, balance_cells=True)
+    W, H = as_arrays(res.factors, 7, 5, 3)
+    rW, rH, _ = replay(base + hot, 3, 2, 2, step=0.0005)
+    assert np.allclose(W, rW, atol=1e-10) and np.allclose(H, rH, atol=1e-10)
