@@ -121,7 +121,7 @@ def _grouped_by_cell(cells: DataFrame, factors: DataFrame, n: int, info: DataFra
     if n * n * 32 <= broadcast_limit:
         info = F.broadcast(info)
     ratings = (cells.join(info, ["bx", "by"])
-                    .select((F.col("base") + F.pmod(F.monotonically_increasing_id(), F.col("salts")))
+                    .select((F.col("base") + F.pmod(F.xxhash64("x_id", "y_id", "rating"), F.col("salts")))
                             .cast("int").alias("pos"),
                             F.lit(KIND_RATING).alias("kind"), F.col("x_id").alias("id"), "y_id", "rating",
                             F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("int").alias("block"),
@@ -150,8 +150,9 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
 
     One job, one group per (stratum, x-block) cell - or several for a large
     cell: evaluation does not depend on order, so a cell with more than
-    ``rows_per_group`` triples is split round-robin into ``ceil(n / rows_per_group)``
-    groups and its two factor blocks are sent to each.  Every group streams its
+    ``rows_per_group`` triples is split by a hash of the triple into
+    ``ceil(n / rows_per_group)`` groups (deterministic, so a retried task routes
+    rows as before) and its two factor blocks are sent to each.  Every group streams its
     narrow ``(x, y, rating)`` rows against one W block and one H block in numpy;
     ratings move once and without vectors.  ``cells`` needs ``bx``/``by``
     consistent with the factors' ``block`` column; ``groups`` (from

@@ -136,6 +136,11 @@ def bucket_keys(spark, num_blocks: int) -> list[int]:
         m *= 4
 
 
+def _row_hash() -> Column:
+    """Deterministic per-row salt: the same row goes to the same slot on every attempt."""
+    return F.xxhash64("x_id", "y_id", "rating")   # used under pmod, so the sign is harmless
+
+
 def _key_of(keys: list[int], block_col) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in keys]), block_col + 1)
 
@@ -162,9 +167,9 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     written and steps exchange both sides instead.  Rows are
     first routed with ``repartitionById`` on ``(step, x-block, salt)``, so each
     task writes one file of one cell and a cell gets ``ceil(rows / rows_per_file)``
-    files - not one file per (input task, step, bucket).  The salt is
-    round-robin over row positions, so even a cell of one repeated triple
-    spreads over its files.  Files per cell come from the average cell size,
+    files - not one file per (input task, step, bucket).  The salt is a hash
+    of the triple, so a re-run task after an executor loss routes every row
+    exactly as before (exact duplicates of one triple share a file).  Files per cell come from the average cell size,
     or - with ``balance_cells`` - from exact per-cell counts (one more pass,
     reading only the ids; at most steps*N result rows), so that a hot cell is
     written by as many tasks as its size needs.
@@ -192,14 +197,14 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
         n_slots = int(counts.agg(F.sum("files")).first()[0] or 1)
         if n_steps * num_blocks * 32 <= (64 << 20):
             counts = F.broadcast(counts)
-        slot = F.col("base") + F.pmod(F.monotonically_increasing_id(), F.col("files"))
+        slot = F.col("base") + F.pmod(_row_hash(), F.col("files"))
         cells = (cells.join(counts, ["step", "bx"]).withColumn("slot", slot.cast("int"))
                       .drop("files", "base").repartitionById(n_slots, "slot").drop("slot"))
     else:
         per_cell = -(-int(num_ratings) // (n_steps * num_blocks))
         files_per_cell = max(1, -(-per_cell // int(rows_per_file)))
         slot = ((F.col("step") * num_blocks + F.col("bx")) * files_per_cell
-                + F.pmod(F.monotonically_increasing_id(), F.lit(files_per_cell)))
+                + F.pmod(_row_hash(), F.lit(files_per_cell)))
         cells = (cells.withColumn("slot", slot.cast("int"))
                       .repartitionById(n_steps * num_blocks * files_per_cell, "slot").drop("slot"))
     path = scratch_path(spark, "grid")
