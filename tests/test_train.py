@@ -270,3 +270,20 @@ def test_fit_balanced_cells_equals_replay(spark):
     W, H = as_arrays(res.factors, 7, 5, 3)
     rW, rH, _ = replay(base + hot, 3, 2, 2, step=0.0005)
     assert np.allclose(W, rW, atol=1e-10) and np.allclose(H, rH, atol=1e-10)
+
+
+def test_zero_epochs_returns_initial_model(spark, ratings_small):
+    res = train.fit(ratings_small, rank=3, num_blocks=2, epochs=0)
+    assert res.log.count() == 0
+    init = init_factors(spark, res.num_x_ids, res.num_y_ids, 3, 2, 7)
+    got = {(r.matrix, r.id): list(r.vec) for r in res.factors.collect()}
+    assert got == {(r.matrix, r.id): list(r.vec) for r in init.collect()}
+
+
+def test_signed_init_range(spark):
+    plain = {(r.matrix, r.id): np.array(r.vec) for r in init_factors(spark, 50, 40, 6, 3, 7).collect()}
+    signed = {(r.matrix, r.id): np.array(r.vec)
+              for r in init_factors(spark, 50, 40, 6, 3, 7, signed=True).collect()}
+    allv = np.concatenate(list(signed.values()))
+    assert allv.min() >= -1.0 and allv.max() < 1.0 and allv.min() < -0.5
+    assert all(np.allclose(signed[k], 2 * plain[k] - 1) for k in plain)
