@@ -14,11 +14,6 @@ def dot(w: Column, h: Column) -> Column:
     return F.aggregate(F.zip_with(w, h, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def axpy(alpha: Column, x: Column, y: Column) -> Column:
-    """``y + alpha * x`` element-wise."""
-    return F.zip_with(x, y, lambda a, b: b + alpha * a)
-
-
 def hash_uniform(*parts: Column) -> Column:
     """Uniform [0, 1) from md5 of ``seed|...`` - equal in Spark and DuckDB.
 
