@@ -134,6 +134,7 @@ ORACLE_SQL: dict[str, str] = {
     "init_factors": _with(DOM, INIT) + INIT_LONG,
     "init_factors_signed": _with(DOM, f"wl AS ({longf('W', 'nx', True)})", f"hl AS ({longf('H', 'ny', True)})") + INIT_LONG,
     "predict": _with(DOM, INIT, PRED) + f"SELECT x_id, y_id, rating, round(prediction, {DIGITS}) AS prediction FROM scored",
+    "predict_grid": _with(DOM, INIT, PRED) + f"SELECT x_id, y_id, rating, round(prediction, {DIGITS}) AS prediction FROM scored",
     "residuals": _with(DOM, INIT, PRED) + f"""SELECT x_id, y_id, rating, round(residual, {DIGITS}) AS residual,
         round(sq_error, {DIGITS}) AS sq_error FROM scored""",
     "sse": _with(DOM, INIT, PRED, SUMMARY) + "SELECT round(sse, 4) AS sse, n FROM summ",

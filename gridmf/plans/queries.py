@@ -17,7 +17,7 @@ from gridmf.operators.domain import domain_sizes, id_domain
 from gridmf.operators.factors import embeddings_as_factors, factors_long, init_factors, side
 from gridmf.operators.relabel import permute_ids, relabel
 from gridmf.operators.score import (DEFAULT_BROADCAST_LIMIT, _maybe_broadcast, attach_factors,
-                                    error_summary, evaluate_grid, predict)
+                                    error_summary, evaluate_grid, predict, predict_grid)
 from gridmf.plans import train
 from gridmf.session import scratch_path
 from gridmf.sources import celltext, factortext, files
@@ -210,6 +210,13 @@ def q_predict(spark, sf):
     return _scored(spark, sf).select("x_id", "y_id", "rating", _r6(F.col("prediction")).alias("prediction"))
 
 
+def q_predict_grid(spark, sf):
+    """Per-triple predictions by the grid form (no vectors on rating rows)."""
+    r, nx, ny = _ctx(spark, sf)
+    out = predict_grid(r, _init(spark, nx, ny), nx, ny, N)
+    return out.select("x_id", "y_id", "rating", _r6(F.col("prediction")).alias("prediction"))
+
+
 def q_residuals(spark, sf):
     return _scored(spark, sf).select("x_id", "y_id", "rating", _r6(F.col("residual")).alias("residual"),
                                      _r6(F.col("sq_error")).alias("sq_error"))
@@ -389,6 +396,7 @@ QUERIES = {
     "init_factors": q_init_factors,
     "init_factors_signed": q_init_factors_signed,
     "predict": q_predict,
+    "predict_grid": q_predict_grid,
     "residuals": q_residuals,
     "sse": q_sse,
     "rmse": q_rmse,
