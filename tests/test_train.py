@@ -287,3 +287,14 @@ def test_signed_init_range(spark):
     allv = np.concatenate(list(signed.values()))
     assert allv.min() >= -1.0 and allv.max() < 1.0 and allv.min() < -0.5
     assert all(np.allclose(signed[k], 2 * plain[k] - 1) for k in plain)
+
+
+def test_fit_accepts_bigint_ids_and_float_ratings(spark):
+    rows = [(x % 7, (x * 3) % 5, float(1 + (x % 4))) for x in range(80)]
+    a = spark.createDataFrame(rows, "x_id INT, y_id INT, rating DOUBLE")
+    b = spark.createDataFrame(rows, "x_id BIGINT, y_id BIGINT, rating FLOAT")
+    ra = train.fit(a, rank=3, num_blocks=2, epochs=1, step=0.01)
+    rb = train.fit(b, rank=3, num_blocks=2, epochs=1, step=0.01)
+    Wa, Ha = as_arrays(ra.factors, 7, 5, 3)
+    Wb, Hb = as_arrays(rb.factors, 7, 5, 3)
+    assert np.array_equal(Wa, Wb) and np.array_equal(Ha, Hb)   # small integers: exact in float
