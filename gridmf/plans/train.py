@@ -31,6 +31,7 @@ Schedules
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -318,7 +319,7 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
         decay: float = STEP_DECAY, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
         sub_epochs: int | None = None, checkpoint_every: int = 8,
-        balance_cells: bool = False) -> FitResult:
+        balance_cells: bool = False, verbose: bool = False) -> FitResult:
     """Train ``ratings ≈ W·Hᵀ``.
 
     ``num_blocks`` fixes the visiting order and thus the result; it is always
@@ -334,7 +335,9 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     replays at most that many steps' lost shuffle output.  1 cuts after every
     step.  ``balance_cells`` sizes the grid's files per cell from exact counts
     (one more pass over the ids), for inputs where some cells are much larger
-    than others.
+    than others.  ``verbose`` prints one line per epoch as it finishes
+    (iteration, seconds since the first step, sse, rmse, n), read back from
+    the one-row log table just written.
     """
     if checkpoint_every < 1:
         raise ValueError("checkpoint_every must be >= 1")
@@ -357,6 +360,9 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     eval_groups = cell_groups(cells, num_blocks) if evaluate_epochs and epochs > 0 else None
     logs = []
     superseded = []
+    started = time.time()
+    if verbose:
+        print("iteration\ttime (sec)\terror\trmse\tcount", flush=True)
     try:
         for epoch in range(epochs):
             eta = step_size(step, decay, epoch)
@@ -381,6 +387,10 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
                     F.lit(epoch).cast("int").alias("iteration"),
                     F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),
                     f"log-e{epoch}"))
+                if verbose:
+                    row = logs[-1].first()
+                    print(f"{row['iteration']}\t{time.time() - started:.4f}\t{row['sse']:.4f}\t"
+                          f"{row['rmse']:.4f}\t{row['n']}", flush=True)
     finally:
         # intermediate tables go whether training finished or failed
         for path in superseded:

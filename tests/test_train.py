@@ -298,3 +298,11 @@ def test_fit_accepts_bigint_ids_and_float_ratings(spark):
     Wa, Ha = as_arrays(ra.factors, 7, 5, 3)
     Wb, Hb = as_arrays(rb.factors, 7, 5, 3)
     assert np.array_equal(Wa, Wb) and np.array_equal(Ha, Hb)   # small integers: exact in float
+
+
+def test_verbose_prints_one_line_per_epoch(spark, ratings_small, capsys):
+    train.fit(ratings_small, rank=2, num_blocks=2, epochs=2, verbose=True)
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0].startswith("iteration") and len(lines) == 3
+    assert [ln.split("\t")[0] for ln in lines[1:]] == ["0", "1"]
+    assert all(ln.split("\t")[-1] == "105" for ln in lines[1:])
