@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from gridmf.llm.fingerprint import op8_fingerprints
+from gridmf.llm.packing import op9_packing
+from gridmf.llm.tokenfile import op10_token_file
 
 QUERIES = {
     "op8_fingerprints": op8_fingerprints,
+    "op9_packing": op9_packing,
+    "op10_token_file": op10_token_file,
 }
 
 ORACLE_SQL: dict[str, str] = {}
