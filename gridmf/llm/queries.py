@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from gridmf.llm.decontaminate import op5_decontamination
 from gridmf.llm.fingerprint import op8_fingerprints
+from gridmf.llm.langid import op6_language_id
 from gridmf.llm.packing import op9_packing
 from gridmf.llm.tokenfile import op10_token_file
+from gridmf.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_token_file": op10_token_file,
