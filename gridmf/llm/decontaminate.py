@@ -34,7 +34,7 @@ from gridmf.llm.words import LOWER, SPACE, Table, hash_runs, mix, runs, seeds, s
 ANCHORS = 16
 WALKS = 2
 SAMPLES = 20
-BITS = 4
+BITS = 5
 MAX_EDIT_RATE = 0.15
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
