@@ -40,7 +40,7 @@ P_MIN = 1e-5
 DIVERGENCE = 10.0
 PRIOR = 2.0
 MIX = 0.9
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 STOP, RARE = LETTERS, LETTERS + 1
 SYMBOLS = LETTERS + 2
 START = 63  # only ever a context
@@ -79,7 +79,7 @@ def code_texts(docs: DataFrame, held: str) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             out_of = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, buf, offs in slices(batch.column("text")):
+            for lo, buf, offs in slices(batch.column("text"), 4 << 20):
                 h, s, e, first = words(buf, offs)
                 uniq, at = np.unique(h, return_index=True)
                 raw = LOWER[buf].tobytes()
