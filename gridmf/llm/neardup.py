@@ -13,8 +13,10 @@ Equal sets are one class from the start, so copies are never expanded.  Buckets
 pairs either: every member meets the bucket's leaders (its least and its greatest member, then
 a hash-picked one), confirmed links join components, and only members of one bucket that are still in different
 components are compared pairwise at the end, inside a join whose condition looks at set sizes and at one bit of 256
-registers (at similarity 0.75 fewer than ``LEAST_BITS`` agree with odds of 1 in 100,000).  Links between components that are already one change nothing, so the
-components are exactly those of all links between bucket mates.
+registers (at similarity 0.75 fewer than ``LEAST_BITS`` agree with odds of 1 in 100,000).  Such a comparison is between a member of the
+smaller component and the whole larger one, in chunks of ``CHUNK`` full sets, and yields one link a chunk: a component has
+many members close to the bound, but one link joins it.  Links between components that are already one change
+nothing, so the components are exactly those of all links between bucket mates.
 
 Nothing is gathered on the driver or in one task: buckets, classes and components are aggregates and equi-joins
 (adaptive execution splits hot keys); intermediate tables are written to the shared folder.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmf.llm.common import stored, table
-from gridmf.llm.words import mix, seeds, shingles, slices, words
+from gridmf.llm.words import find, mix, seeds, shingles, slices, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -45,6 +47,7 @@ SURE = 12.0
 STAR_ROUNDS = 1
 BIT_WORDS, LEAST_BITS = 4, 200
 BROADCAST_ROWS = 100_000
+CHUNK = 64
 _MULT = (seeds(M, 41) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (seeds(M, 43) >> np.uint64(32)).astype(np.uint32)
 _BAND = seeds(BANDS, 47)
@@ -228,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n_shingles, component_id, kept, n_class_links) of every row; h is the text's xxhash64."""
+    """(doc_id, h, n_shingles, component_id, kept) of every row; h is the text's xxhash64."""
     rows = stored(document_classes(docs), "classes")
     nodes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n").alias("n"),
                                                           F.first("regs").alias("regs"))
@@ -253,24 +256,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("key", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
         star = members.join(lead, "key").where("label <> lead_label").select(*pair(F.col("node"), F.col("lead"))).distinct()
         links, label = _more(links, label, _confirmed(star, sketches, sets, f"star{turn}"))
-    words_ = [f"b{i}" for i in range(BIT_WORDS)]
-    rest = _open_buckets(members, label).join(sketches.select("node", "n", *words_), "node")
-    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", *words_)])
-    agree = sum((F.lit(64) - F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in words_), F.lit(0))
-    near = (F.col("label") < F.col("label_2")) & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2")) & (agree >= LEAST_BITS)
-    cross = rest.join(other, (rest["key"] == other["key"]) & near).select(*pair(F.col("node"), F.col("node_2"))).distinct()
-    links, label = _more(links, label, _confirmed(cross, sketches, sets, "cross"))
+    links, label = _more(links, label, _between(_open_buckets(members, label), label, sketches, sets))
     of_node = nodes.select("node", "cls", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
-    n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_class_links"))
-    of_class = of_node.join(least, "label").join(n_links, "node", "left") \
-        .select("cls", "component_id", F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"))
+    of_class = of_node.join(least, "label").select("cls", "component_id")
     out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links")) \
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _between(rest: DataFrame, label: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that share buckets: ``rest`` has the members of open buckets and their labels."""
+    bits = [f"b{i}" for i in range(BIT_WORDS)]
+    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    rest = rest.join(sketches.select("node", "n", *bits), "node").join(size, "label", "left") \
+        .withColumn("size", F.coalesce("size", F.lit(1)))
+    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "size", *bits)])
+    agree = sum((F.lit(64) - F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in bits), F.lit(0))
+    into = F.struct("size", "label") < F.struct(F.col("size_2").alias("size"), F.col("label_2").alias("label"))
+    near = into & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2")) & (agree >= LEAST_BITS)
+    asked = stored(rest.join(other, (rest["key"] == other["key"]) & near)
+                   .select(F.col("node").alias("a"), F.col("label_2").alias("label"), "size_2").distinct(), "asked")
+    targets = asked.select("label", "size_2").distinct()
+    # a component's members, or the node alone where it has no links yet
+    members = label.join(targets, "label").select("label", "node", "size_2") \
+        .union(targets.where("size_2 = 1").select("label", F.col("label").alias("node"), "size_2")).distinct()
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size_2") / CHUNK)).alias("chunk")
+    chunks = members.select("label", chunk, "node").join(sets, "node").groupBy("label", "chunk") \
+        .agg(F.collect_list(F.struct("node", "s")).alias("m")).select("label", "m")
+
+    def confirm(batches):
+        for batch in batches:
+            out = []
+            for a, s, m in zip(batch.column("a").to_pylist(), batch.column("s"), batch.column("m")):
+                x = np.frombuffer(s.as_py(), np.uint64)
+                nodes = m.values.field("node").to_numpy(zero_copy_only=False)
+                each = [np.frombuffer(y, np.uint64) for y in m.values.field("s").to_pylist()]
+                n = np.array([len(y) for y in each])
+                fits = np.flatnonzero(100 * np.minimum(n, len(x)) >= PERCENT * np.maximum(n, len(x)))
+                if not len(fits):
+                    continue
+                hit = find(x, np.concatenate([each[i] for i in fits])) >= 0
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[fits]) - n[fits])
+                linked = fits[100 * both >= PERCENT * (n[fits] + len(x) - both)]
+                if len(linked):
+                    out.append((a, int(nodes[linked[0]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    own = asked.select("a", "label").join(sets.select(F.col("node").alias("a"), "s"), "a")
+    return stored(own.join(chunks, "label").select("a", "s", "m").mapInArrow(confirm, "a long, b long"), "between-links")
+
+
 def _more(links: DataFrame, label: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and component labels with new links added."""
     if new.isEmpty():
@@ -312,4 +350,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_class_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
