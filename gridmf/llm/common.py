@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from gridmf.session import scratch_path
 
 
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows in this session: rows here hold whole texts, sets or sketches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder (``spark.checkpoint.dir``) and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ SURE = 12.0
 STAR_ROUNDS = 1
 BIT_WORDS, LEAST_BITS = 4, 200
 BROADCAST_ROWS = 100_000
-CHUNK = 64
+CHUNK = 16
 _MULT = (seeds(M, 41) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (seeds(M, 43) >> np.uint64(32)).astype(np.uint32)
 _BAND = seeds(BANDS, 47)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import table
+from gridmf.llm.common import small_batches, table
 from gridmf.llm.tokens import default_path, encoder, with_end
 
 MAX_LEN = 2048
@@ -45,6 +45,8 @@ def cut(counts: np.ndarray, max_len: int = MAX_LEN) -> tuple[np.ndarray, np.ndar
 
 def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): ids little-endian unsigned 32-bit."""
+    small_batches(docs.sparkSession)
+
     def each(batches):
         enc = encoder(path)
         for batch in batches:

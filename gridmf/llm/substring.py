@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import table
+from gridmf.llm.common import small_batches, table
 from gridmf.llm.words import SPACE, hash_runs, seeds, slices
 
 REACH = 20
@@ -102,6 +102,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(digest, id, h, place) of every chunk; place packs start (32 bits), length (20) and words (12)."""
+    small_batches(docs.sparkSession)
+
     def each(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
