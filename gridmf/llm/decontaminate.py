@@ -182,6 +182,8 @@ class Block:
         # of equal windows the first stands for all
         keep = np.flatnonzero(backed & ~same)
         doc, item, start = doc[keep], item[keep], start[keep]
+        if not len(start):
+            return
         keys = self.lsh(text, start, self.size[item])
         hit = (keys == self.keys[item]).any(axis=1)
         raw = text.tobytes() if hit.any() else b""
