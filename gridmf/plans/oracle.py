@@ -2,8 +2,9 @@
 
 Written independently of the Spark code, from the same definitions: the rating
 view, block arithmetic with integer division, the md5 hash init and order key.
-Training queries have no SQL here (they are checked against a sequential
-replay in the tests), and ``factor_lines`` neither: its text depends on each
+Training runs over the whole table as a dataflow recursion: all visits are numbered in schedule
+order and ranked per x and per y; each round applies every visit that is next for both its ids
+(``USING KEY`` keeps one vector per id).  ``factor_lines`` has no SQL: its text depends on each
 engine's double-to-string rendering; its decoded values are checked instead.
 """
 
@@ -99,6 +100,47 @@ def cell_line_sql(ctes: str) -> str:
                    FROM allc a LEFT JOIN lines l ON a.bx = l.bx AND a."by" = l."by")""") + ctes)
 
 
+def trained(name: str, epochs: int) -> str:
+    """CTEs of the factors ``name(matrix, id, nxt, vec)`` after ``epochs`` over ``c`` (with ``e, pass`` and ``place``)."""
+    lists = {m: "[" + ", ".join(uni(m, "i", str(k)) for k in range(K)) + "]" for m in "WH"}
+    return f"""{name}_q AS MATERIALIZED (SELECT x_id, y_id, rating, {STEP!r} * pow({DECAY!r}, e) AS eta,
+       row_number() OVER (PARTITION BY x_id ORDER BY t) AS rx, row_number() OVER (PARTITION BY y_id ORDER BY t) AS ry
+       FROM (SELECT *, row_number() OVER (ORDER BY e, p1, p2, ord, x_id, y_id, rating) AS t FROM c, range(0, {epochs}) ep(e)) v),
+{name}(matrix, id, nxt, vec) USING KEY (matrix, id) AS (
+  (SELECT 'W' AS matrix, i AS id, CAST(1 AS BIGINT) AS nxt, {lists['W']} AS vec FROM (SELECT unnest(range(0, nx)) AS i FROM dom) w
+   UNION ALL SELECT 'H', i, CAST(1 AS BIGINT), {lists['H']} FROM (SELECT unnest(range(0, ny)) AS i FROM dom) h)
+  UNION
+  (SELECT u.m, u.id, u.nxt, u.v FROM
+    (SELECT *, list_transform(wv, lambda a, k: a + g * hv[k]) AS nw FROM
+      (SELECT q.x_id, q.y_id, q.rx, q.ry, w.vec AS wv, h.vec AS hv, 2.0 * q.eta * (q.rating - list_dot_product(w.vec, h.vec)) AS g
+       FROM {name}_q q JOIN recurring.{name} w ON w.matrix = 'W' AND w.id = q.x_id AND w.nxt = q.rx
+                       JOIN recurring.{name} h ON h.matrix = 'H' AND h.id = q.y_id AND h.nxt = q.ry) a) b,
+    LATERAL (SELECT 'W' AS m, b.x_id AS id, b.rx + 1 AS nxt, b.nw AS v
+             UNION ALL SELECT 'H', b.y_id, b.ry + 1, list_transform(b.hv, lambda a, k: a + b.g * b.nw[k])) u))"""
+
+
+def visits(sweep: bool = False, first_stratum: bool = False) -> str:
+    """CTE ``c``: every triple with its order key and the two keys of its place in an epoch."""
+    xb, yb = ((f"CAST(x_id // {cdim('nx')} AS INTEGER)", f"CAST(y_id // {cdim('ny')} AS INTEGER)") if sweep
+              else (bid("x_id", "nx"), bid("y_id", "ny")))
+    stratum = f"((yb - xb) % {N} + {N}) % {N}"
+    keys = "xb AS p1, yb AS p2" if sweep else f"{stratum} AS p1, xb AS p2"
+    return f"""c AS MATERIALIZED (SELECT *, {keys} FROM (SELECT x_id, y_id, rating, {ORD} AS ord, {xb} AS xb, {yb} AS yb FROM rv, dom) b
+       WHERE {stratum + ' = 0' if first_stratum else 'true'})"""
+
+
+def _train(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join((RV, DOM) + ctes) + "\n"
+
+
+TRAINED_LONG = f"""SELECT matrix, CAST(id AS INTEGER) AS id, CAST(k AS INTEGER) AS k, round(vec[k + 1], {DIGITS}) AS value
+    FROM st, range(0, {K}) kk(k)"""
+EPOCH_LOG = " UNION ALL ".join(f"""SELECT CAST({e} AS INTEGER) AS iteration, round({STEP!r} * pow({DECAY!r}, {e}), 12) AS step_size,
+    round(sum(pow(rating - list_dot_product(w.vec, h.vec), 2)), 4) AS sse, count(*) AS n,
+    round(sqrt(sum(pow(rating - list_dot_product(w.vec, h.vec), 2)) / count(*)), 9) AS rmse
+    FROM rv JOIN st{e} w ON w.matrix = 'W' AND w.id = x_id JOIN st{e} h ON h.matrix = 'H' AND h.id = y_id""" for e in range(EPOCHS))
+
+
 ORACLE_SQL: dict[str, str] = {
     "ratings_view": _with() + "SELECT x_id, y_id, rating FROM rv",
     "ratings_scan": _with() + "SELECT x_id, y_id, rating FROM rv",
@@ -153,7 +195,7 @@ ORACLE_SQL: dict[str, str] = {
         """pp AS (SELECT p.x_id, p.y_id, sum(w.value * h.value) AS prediction FROM pairs p
             JOIN el w ON w.id = p.x_id JOIN el h ON h.id = p.y_id AND h.k = w.k GROUP BY p.x_id, p.y_id)""")
         + f"""SELECT rv.x_id, rv.y_id, rv.rating, round(pp.prediction, {DIGITS}) AS prediction
-        FROM rv JOIN pp ON rv.x_id = pp.x_id AND rv.y_id = pp.y_id""",
+        FROM rv LEFT JOIN pp ON rv.x_id = pp.x_id AND rv.y_id = pp.y_id""",
     "sgd_matching_step": _with(DOM, INIT, f"ro AS (SELECT x_id, y_id, rating, {ORD} AS ord FROM rv)",
         """px AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY ord, y_id, rating) AS rn FROM ro) WHERE rn = 1)""",
         """m AS (SELECT x_id, y_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY y_id ORDER BY ord, x_id, rating) AS rn2 FROM px) WHERE rn2 = 1)""",
@@ -185,4 +227,8 @@ ORACLE_SQL: dict[str, str] = {
     "cell_lines_decode": _with() + "SELECT x_id, y_id, rating FROM rv",
     "factor_lines_decode": _with(DOM, INIT) + INIT_LONG,
     "model_write_read": _with(DOM, INIT) + INIT_LONG,
+    "dsgd_subepoch": _train(visits(first_stratum=True), trained("st", 1)) + TRAINED_LONG,
+    "dsgd_train": _train(visits(), trained("st", EPOCHS)) + TRAINED_LONG,
+    "sweep_train": _train(visits(sweep=True), trained("st", EPOCHS)) + TRAINED_LONG,
+    "training_log": _train(visits(), *[trained(f"st{e}", e + 1) for e in range(EPOCHS)]) + EPOCH_LOG,
 }

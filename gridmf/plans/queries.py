@@ -179,15 +179,15 @@ def _h_ids(spark, ny):
 def q_rotate_h(spark, sf):
     _, _, ny = _ctx(spark, sf)
     h = _h_ids(spark, ny).withColumn("sub_epoch", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
-    return (h.withColumn("pos", F.expr(f"pmod(block - sub_epoch, {N})").cast("int"))
-             .withColumn("next_pos", F.expr(f"pmod(pos - 1, {N})").cast("int")))
+    return (h.withColumn("pos", bm.rotated_position("block", "sub_epoch", N))
+             .withColumn("next_pos", bm.rotated_position("block", "(sub_epoch + 1)", N)))
 
 
 def q_realign_h(spark, sf):
     r, nx, ny = _ctx(spark, sf)
     g = blocks.cell_counts(blocks.assign_grid(r, nx, ny, N))
     return (g.withColumn("sub_epoch", bm.stratum("bx", "by", N))
-             .withColumn("pos", F.expr(f"pmod(by - sub_epoch, {N})").cast("int"))
+             .withColumn("pos", bm.rotated_position("by", "sub_epoch", N))
              .select("bx", "by", "sub_epoch", "pos"))
 
 
@@ -264,11 +264,11 @@ def q_cell_factor_join(spark, sf):
 
 
 def q_embedding_predict(spark, sf):
-    """Embeddings as both factor matrices: 64-wide dot products per triple."""
+    """Embeddings as both factor matrices: 64-wide dot products; NULL where an id has no embedding."""
     r = _rv(spark, sf)
-    emb = table(spark, sf, "embeddings")
-    f = embeddings_as_factors(emb, 1, 1)
-    j = attach_factors(r, f)
+    f = embeddings_as_factors(table(spark, sf, "embeddings"), 1, 1)
+    j = (r.join(side(f, "W").select(F.col("id").alias("x_id"), F.col("vec").alias("w")), "x_id", "left")
+          .join(side(f, "H").select(F.col("id").alias("y_id"), F.col("vec").alias("h")), "y_id", "left"))
     return j.select("x_id", "y_id", "rating", _r6(dot(F.col("w"), F.col("h"))).alias("prediction"))
 
 
@@ -337,10 +337,9 @@ def q_relabeled_csv(spark, sf):
 def q_step_schedule(spark, sf):
     """Step size of each epoch and the updates made at it (every triple once)."""
     n = _rv(spark, sf).agg(F.count(F.lit(1)).alias("updates"))
-    it = n.select(F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("iteration"), "updates") \
-        .withColumn("iteration", F.col("iteration").cast("int"))
-    rate = F.lit(float(STEP)) * F.pow(F.lit(float(DECAY)), F.col("iteration"))
-    return it.select("iteration", F.round(rate, 12).alias("step_size"), "updates")
+    sizes = train.step_schedule(_rv(spark, sf), EPOCHS, STEP, DECAY)
+    per_epoch = n.select(F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("iteration"), "updates")
+    return sizes.join(per_epoch, "iteration").select("iteration", F.round("step_size", 12).alias("step_size"), "updates")
 
 
 def _fit(spark, sf, **kw):
@@ -357,7 +356,9 @@ def q_dsgd_train(spark, sf):
 
 
 def q_training_log(spark, sf):
-    return _fit(spark, sf).log
+    log = _fit(spark, sf).log
+    return log.select("iteration", F.round("step_size", 12).alias("step_size"), F.round("sse", 4).alias("sse"), "n",
+                      F.round("rmse", 9).alias("rmse"))
 
 
 def q_sweep_train(spark, sf):

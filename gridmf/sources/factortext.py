@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmf.functions import blockmath as bm
+from gridmf.operators.blocks import BALANCED, _offset_of
 
 DEFAULT_MAX_ROWS = 100_000
 
@@ -32,19 +32,24 @@ def factor_lines(factors: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
 
 
 def decode_factor_lines(lines: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int,
-                        max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Back to ``(matrix, id, block, vec)``; blanks between separators are skipped."""
+                        max_rows: int = DEFAULT_MAX_ROWS, split: str = BALANCED) -> DataFrame:
+    """Back to ``(matrix, id, block, vec)``; blanks between separators take no place.
+
+    ``split`` says how the writer cut ids into blocks (``blocks.BALANCED`` or ``blocks.CEIL``, the
+    sweep's).  Rows beyond the number of ids (padding of the last block) are skipped.
+    """
     m = int(max_rows)
-    offset = F.when(F.col("matrix") == "W", bm.block_offset(num_x_ids, num_blocks, "block")) \
-        .otherwise(bm.block_offset(num_y_ids, num_blocks, "block"))
+    is_w = F.col("matrix") == "W"
+    offset = F.when(is_w, _offset_of(split, num_x_ids, num_blocks, "block")) \
+        .otherwise(_offset_of(split, num_y_ids, num_blocks, "block"))
     start = F.greatest(offset, F.col("part") * m)
-    rows = lines.select("matrix", "block", start.alias("start"),
-                        F.posexplode(F.split(F.col("line"), ";")).alias("k", "row"))
-    rows = rows.where(F.trim(F.col("row")) != "")
+    filled = F.filter(F.split(F.col("line"), ";"), lambda r: F.trim(r) != "")
+    rows = lines.select("matrix", "block", start.alias("start"), F.posexplode(filled).alias("k", "row"))
     vec = F.transform(F.filter(F.split(F.col("row"), ","), lambda e: F.trim(e) != ""),
                       lambda e: e.cast("double"))
     return rows.select("matrix", (F.col("start") + F.col("k")).cast("int").alias("id"),
-                       F.col("block").cast("int"), vec.alias("vec"))
+                       F.col("block").cast("int"), vec.alias("vec")) \
+        .where(F.col("id") < F.when(is_w, F.lit(num_x_ids)).otherwise(F.lit(num_y_ids)))
 
 
 def write_factor_lines(lines: DataFrame, path: str) -> None:
