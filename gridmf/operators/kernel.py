@@ -154,14 +154,26 @@ class _CellState:
         self.ready = True
 
     @staticmethod
-    def _rows_of(ids: np.ndarray, wanted: np.ndarray, what: str) -> np.ndarray:
+    def _present(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pos = np.searchsorted(ids, wanted)
-        ok = (pos < len(ids)) & (ids[np.minimum(pos, max(len(ids) - 1, 0))] == wanted) \
-            if len(ids) else np.zeros(len(wanted), dtype=bool)
+        if not len(ids):
+            return pos, np.zeros(len(wanted), dtype=bool)
+        return pos, (pos < len(ids)) & (ids[np.minimum(pos, len(ids) - 1)] == wanted)
+
+    @classmethod
+    def _rows_of(cls, ids: np.ndarray, wanted: np.ndarray, what: str) -> np.ndarray:
+        pos, ok = cls._present(ids, wanted)
         if not np.all(ok):
-            raise RuntimeError(f"rating refers to a {what} id without a factor row in its block")
+            raise RuntimeError(f"rating refers to an id without a factor row ({what})")
         return pos
 
+    def known_rows(self, rows: pa.RecordBatch) -> np.ndarray:
+        """Which ratings of a batch have both factor rows."""
+        if not self.ready:
+            self._finalize_factors()
+        return (self._present(self.mats[KIND_W][0], _column(rows, "id", np.int64))[1]
+                & self._present(self.mats[KIND_H][0], _column(rows, "y_id", np.int64))[1])
+
     def rating_rows(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Block-local row numbers of x and y, and the ratings, of a batch."""
         if not self.ready:
@@ -248,8 +260,12 @@ def make_error_kernel():
     return cell_error
 
 
-def make_predict_kernel():
-    """Grouped-map function: ``(x_id, y_id, rating, prediction)`` per triple of a cell."""
+def make_predict_kernel(missing: str = "error"):
+    """Grouped-map function: ``(x_id, y_id, rating, prediction)`` per triple of a cell.
+
+    A triple whose id has no factor row fails the job, or, with
+    ``missing="null"``, keeps its row with a NULL prediction.
+    """
 
     def cell_predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _CellState(0.0)
@@ -258,12 +274,15 @@ def make_predict_kernel():
             if factors is not None:
                 state.add_factors(factors)
             if ratings is not None:
-                rw, rh, r = state.rating_rows(ratings)
+                known = state.known_rows(ratings) if missing == "null" else np.ones(ratings.num_rows, bool)
+                rw, rh, _ = state.rating_rows(ratings.filter(pa.array(known)))
                 W, H = state.mats[KIND_W][2], state.mats[KIND_H][2]
-                pred = np.einsum("ij,ij->i", W[rw], H[rh])
+                pred = np.zeros(ratings.num_rows)
+                if len(rw):
+                    pred[known] = np.einsum("ij,ij->i", W[rw], H[rh])
                 yield pa.RecordBatch.from_arrays(
                     [ratings.column("id").cast(pa.int32()), ratings.column("y_id").cast(pa.int32()),
-                     pa.array(r), pa.array(pred)],
+                     ratings.column("rating").cast(pa.float64()), pa.array(pred, mask=~known)],
                     names=["x_id", "y_id", "rating", "prediction"])
 
     return cell_predict

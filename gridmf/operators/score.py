@@ -50,37 +50,63 @@ def attach_factors(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | N
                          .withColumnRenamed("vec", "w"), num_x_ids, rank, broadcast_limit)
     h = _maybe_broadcast(side(factors, "H").withColumnRenamed("id", "y_id")
                          .withColumnRenamed("vec", "h"), num_y_ids, rank, broadcast_limit)
-    return ratings.join(w, "x_id").join(h, "y_id")
+    return ratings.join(w, "x_id", "left").join(h, "y_id", "left")
+
+
+NO_FACTOR = "rating refers to an id without a factor row"
+
+
+def _check_missing(missing: str) -> None:
+    if missing not in ("error", "null"):
+        raise ValueError(f"missing must be 'error' or 'null', not {missing!r}")
+
+
+def _or_missing(known, value, missing: str):
+    """``value`` where ``known``; else NULL or a failing job."""
+    _check_missing(missing)
+    other = F.raise_error(F.lit(NO_FACTOR)).cast("double") if missing == "error" else F.lit(None).cast("double")
+    return F.when(known, value).otherwise(other)
 
 
 def predict(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | None = None,
             num_y_ids: int | None = None, rank: int | None = None,
             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
-            grid_blocks: int | None = None) -> DataFrame:
+            grid_blocks: int | None = None, missing: str = "error") -> DataFrame:
     """``prediction = w . h``, ``residual = rating - prediction``, ``sq_error``.
 
     By join, broadcasting factor sides under the size bound.  When a side is
     over it and ``grid_blocks`` is given, the grid form (``predict_grid``) is
     used instead, so rating rows never travel with K-vectors attached.
+
+    Every triple is scored.  One that has no factor row for either id (NULL ids
+    too) fails the job wherever its prediction is computed; with
+    ``missing="null"`` it keeps its row with a NULL prediction.  Both forms
+    follow the same rule.
     """
     sizes_known = None not in (num_x_ids, num_y_ids, rank)
     too_big = sizes_known and max(factor_side_bytes(num_x_ids, rank),
                                   factor_side_bytes(num_y_ids, rank)) > broadcast_limit
     if grid_blocks and too_big:
         base = predict_grid(ratings, factors, num_x_ids, num_y_ids, grid_blocks,
-                            broadcast_limit=broadcast_limit)
+                            broadcast_limit=broadcast_limit, missing=missing)
     else:
         joined = attach_factors(ratings, factors, num_x_ids=num_x_ids, num_y_ids=num_y_ids,
                                 rank=rank, broadcast_limit=broadcast_limit)
-        base = joined.select("x_id", "y_id", "rating", dot(F.col("w"), F.col("h")).alias("prediction"))
+        known = F.col("w").isNotNull() & F.col("h").isNotNull()
+        base = joined.select("x_id", "y_id", "rating",
+                             _or_missing(known, dot(F.col("w"), F.col("h")), missing).alias("prediction"))
     return (base.withColumn("residual", F.col("rating") - F.col("prediction"))
                 .withColumn("sq_error", F.col("residual") * F.col("residual")))
 
 
 def error_summary(scored: DataFrame) -> DataFrame:
-    """``(sse DOUBLE, n BIGINT, rmse DOUBLE)``; rmse NULL when n = 0."""
+    """``(sse DOUBLE, n BIGINT, rmse DOUBLE)``; rmse NULL when n = 0.
+
+    ``n`` counts the triples that have an error, so triples left unscored by
+    ``missing="null"`` are in neither the sum nor the count.
+    """
     return (scored.agg(F.coalesce(F.sum("sq_error"), F.lit(0.0)).alias("sse"),
-                       F.count(F.lit(1)).cast("bigint").alias("n"))
+                       F.count("sq_error").cast("bigint").alias("n"))
                   .withColumn("rmse", F.when(F.col("n") > 0,
                                              F.sqrt(F.col("sse") / F.col("n")))))
 
@@ -173,7 +199,7 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
 
 def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_ids: int,
                  num_blocks: int, rows_per_group: int = 1 << 24,
-                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, missing: str = "error") -> DataFrame:
     """Per-triple ``prediction`` without shipping vectors with the ratings.
 
     The scale form of ``predict`` when factor sides are too big to broadcast:
@@ -182,12 +208,22 @@ def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_i
     its narrow rows against its two blocks in numpy and streams predictions
     out.  Choose N so that a W block plus an H block fits a task
     (``plans.train.min_num_blocks``); the factor rows are copied N times.
+    Ids outside the domain (NULL too) have no cell and go by ``missing`` as in
+    ``predict``, like ids inside it that lack a factor row.
     """
     from gridmf.operators.blocks import assign_grid
     from gridmf.operators.kernel import make_predict_kernel
 
     n = int(num_blocks)
-    cells = assign_grid(ratings.select("x_id", "y_id", "rating"), num_x_ids, num_y_ids, n)
+    ratings = ratings.select("x_id", "y_id", "rating")
+    inside = F.coalesce(F.col("x_id").between(0, int(num_x_ids) - 1)
+                        & F.col("y_id").between(0, int(num_y_ids) - 1), F.lit(False))
+    stray = ratings.where(~inside).select(
+        F.col("x_id").cast("int").alias("x_id"), F.col("y_id").cast("int").alias("y_id"),
+        F.col("rating").cast("double").alias("rating"),
+        _or_missing(F.col("x_id").isNull() & F.col("x_id").isNotNull(), F.lit(None).cast("double"), missing)
+        .alias("prediction"))
+    cells = assign_grid(ratings.where(inside), num_x_ids, num_y_ids, n)
     w_block = bm.block_id(num_x_ids, n, "id")
     h_block = bm.block_id(num_y_ids, n, "id")
     reblocked = factors.select("matrix", "id", F.when(F.col("matrix") == F.lit("W"), w_block)
@@ -195,9 +231,9 @@ def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_i
     info, n_groups = cell_groups(cells, n, rows_per_group)
     schema = "x_id int, y_id int, rating double, prediction double"
     if n_groups == 0:
-        return ratings.sparkSession.createDataFrame([], schema)
+        return stray
     return _grouped_by_cell(cells, reblocked, n, info, n_groups, broadcast_limit) \
-        .applyInArrow(make_predict_kernel(), schema)
+        .applyInArrow(make_predict_kernel(missing), schema).unionByName(stray)
 
 
 def materialize_small(df: DataFrame) -> DataFrame:

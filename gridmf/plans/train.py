@@ -33,15 +33,16 @@ from __future__ import annotations
 import os
 import time
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException, UnsupportedOperationException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmf.operators import blocks
 from gridmf.operators.domain import domain_stats
 from gridmf.operators.factors import FACTOR_SCHEMA, init_factors
-from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_sgd_kernel
-from gridmf.operators.score import cell_groups, evaluate_grid
+from gridmf.operators.kernel import KERNEL_INPUT_COLUMNS, KIND_H, KIND_RATING, KIND_W, make_error_kernel, make_sgd_kernel
 from gridmf.session import ensure_checkpoint_dir, scratch_path
 
 # Fixed values of the original programs (results depend on them): the initial
@@ -53,7 +54,6 @@ STRATIFIED = "stratified"
 SWEEP = "sweep"
 LOG_SCHEMA = "iteration INT, step_size DOUBLE, sse DOUBLE, n BIGINT, rmse DOUBLE"
 ROWS_PER_FILE = 1 << 23
-MIN_ROWS_PER_FILE = 1 << 14
 
 
 def min_num_blocks(num_x_ids: int, num_y_ids: int, rank: int, task_memory_bytes: int,
@@ -210,15 +210,31 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
                       .repartitionById(n_steps * num_blocks * files_per_cell, "slot").drop("slot"))
     path = scratch_path(spark, "grid")
     table = "gridmf_grid_" + os.path.basename(path).replace("-", "_")
-    try:
+    if catalog_takes_buckets(spark):
         (cells.write.format("parquet").option("path", path).partitionBy("step")
               .bucketBy(num_blocks, "bkey").saveAsTable(table))
         return Grid(spark.table(table), path, table, keys)
-    except Exception:  # noqa: BLE001 - no catalog write allowed: plain files, exchange path
-        path = scratch_path(spark, "grid")
-        cells.write.partitionBy("step").parquet(path)
-        plain = spark.read.schema(cells.schema).option("basePath", path).parquet(path)
-        return Grid(plain, path, None, None)
+    cells.write.partitionBy("step").parquet(path)
+    plain = spark.read.schema(cells.schema).option("basePath", path).parquet(path)
+    return Grid(plain, path, None, None)
+
+
+def catalog_takes_buckets(spark) -> bool:
+    """Whether the session catalog accepts an external bucketed table: an empty one is made and dropped.
+
+    Only the catalog's refusal counts; every other failure, and any failure of the
+    grid write itself, is raised.
+    """
+    path = scratch_path(spark, "grid-probe")
+    table = "gridmf_probe_" + os.path.basename(path).replace("-", "_")
+    try:
+        spark.sql(f"CREATE TABLE {table} (bkey INT) USING parquet CLUSTERED BY (bkey) INTO 2 BUCKETS "
+                  f"LOCATION '{path}'")
+    except (AnalysisException, UnsupportedOperationException):
+        return False
+    spark.sql(f"DROP TABLE {table}")
+    drop_table(spark, path)
+    return True
 
 
 def drop_grid(spark, grid: Grid) -> None:
@@ -248,7 +264,7 @@ def _factor_rows(factors: DataFrame, pos) -> DataFrame:
 
 
 def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
-              eta: float, keys: list | None = None) -> DataFrame:
+              kernel, schema: str, keys: list | None = None) -> DataFrame:
     """One parallel step: every position ``p`` streams its cell through the kernel.
 
     With ``keys`` (ratings read from a written, bucketed grid) only the factor
@@ -256,19 +272,18 @@ def run_cells(factor_rows: DataFrame, rating_rows: DataFrame, num_blocks: int,
     by - and the union keeps that partitioning.  Without them, both sides are
     exchanged with ``repartitionById(N, pos)``.
     """
-    kernel = make_sgd_kernel(eta)
     if keys is not None and "bkey" in rating_rows.columns:
         fac = (factor_rows.withColumn("bkey", _key_of(keys, F.col("pos")))
                           .repartition(num_blocks, "bkey"))
         union = fac.unionByName(rating_rows).select(*KERNEL_INPUT_COLUMNS, "bkey")
         return (union.sortWithinPartitions("bkey", "kind", "ord", "id", "y_id", "rating")
-                     .groupBy("bkey").applyInArrow(kernel, FACTOR_SCHEMA))
+                     .groupBy("bkey").applyInArrow(kernel, schema))
     union = factor_rows.select(*KERNEL_INPUT_COLUMNS).unionByName(
         rating_rows.select(*KERNEL_INPUT_COLUMNS))
     return (union.repartitionById(num_blocks, "pos")
                  .sortWithinPartitions("pos", "kind", "ord", "id", "y_id", "rating")
                  .groupBy("pos")
-                 .applyInArrow(kernel, FACTOR_SCHEMA))
+                 .applyInArrow(kernel, schema))
 
 
 def _active(cells: DataFrame, step: int, derived) -> DataFrame:
@@ -280,16 +295,28 @@ def _active(cells: DataFrame, step: int, derived) -> DataFrame:
 def dsgd_subepoch(cells: DataFrame, factors: DataFrame, sub_epoch: int, num_blocks: int,
                   eta: float, keys: list | None = None) -> DataFrame:
     """Stratified sub-epoch ``s`` (T2): all factor rows, the cells of stratum ``s``."""
+    return stratum_step(cells, factors, sub_epoch, num_blocks, make_sgd_kernel(eta), FACTOR_SCHEMA, keys)
+
+
+def stratum_step(cells: DataFrame, factors: DataFrame, sub_epoch: int, num_blocks: int,
+                 kernel, schema: str, keys: list | None = None) -> DataFrame:
+    """The cells of stratum ``s``, each with its W and H block, through ``kernel``."""
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w, F.col("block")).otherwise(
         F.expr(f"pmod(block - {int(sub_epoch)}, {int(num_blocks)})"))
     active = _active(cells, sub_epoch, F.col("stratum") if "stratum" in cells.columns else None)
-    return run_cells(_factor_rows(factors, pos), _rating_rows(active), num_blocks, eta, keys)
+    return run_cells(_factor_rows(factors, pos), _rating_rows(active), num_blocks, kernel, schema, keys)
 
 
 def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
                eta: float, keys: list | None = None) -> DataFrame:
-    """Anti-diagonal ``d`` of the row-major sweep (T6): cells with ``bx + by = d``.
+    """Anti-diagonal ``d`` of the row-major sweep (T6): cells with ``bx + by = d``."""
+    return wave_step(cells, factors, wave, num_blocks, make_sgd_kernel(eta), FACTOR_SCHEMA, keys)
+
+
+def wave_step(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
+              kernel, schema: str, keys: list | None = None) -> DataFrame:
+    """The cells of anti-diagonal ``d``, each with its W and H block, through ``kernel``.
 
     Every factor row goes through the kernel, so each step reads only the one
     before it (no bypass branch that would make a pipelined chain of steps
@@ -304,7 +331,26 @@ def sweep_wave(cells: DataFrame, factors: DataFrame, wave: int, num_blocks: int,
     is_w = F.col("matrix") == F.lit("W")
     pos = F.when(is_w | ~in_wave, F.col("block")).otherwise(F.lit(wave) - F.col("block"))
     active_cells = _active(cells, wave, F.col("bx") + F.col("by"))
-    return run_cells(_factor_rows(factors, pos), _rating_rows(active_cells), num_blocks, eta, keys)
+    return run_cells(_factor_rows(factors, pos), _rating_rows(active_cells), num_blocks, kernel, schema, keys)
+
+
+def evaluate_steps(cells: DataFrame, factors: DataFrame, num_blocks: int, schedule: str,
+                   keys: list | None = None, steps_per_job: int = 8) -> DataFrame:
+    """``(sse, n, rmse)`` over all cells of a written grid, with training's own steps.
+
+    Each step reads its cells by the bucketed scan and exchanges the factor rows
+    only, so ratings are never shuffled.  ``steps_per_job`` steps are one job of
+    one result row; a cell is one task, as in training.
+    """
+    step = stratum_step if schedule == STRATIFIED else wave_step
+    n_steps = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
+    got = []
+    for lo in range(0, n_steps, steps_per_job):
+        parts = [step(cells, factors, t, num_blocks, make_error_kernel(), "sse double, n long", keys)
+                 for t in range(lo, min(lo + steps_per_job, n_steps))]
+        got.append(reduce(DataFrame.unionByName, parts).agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).first())
+    sse, n = sum(r.sse or 0.0 for r in got), sum(r.n or 0 for r in got)
+    return cells.sparkSession.createDataFrame([(sse, n, (sse / n) ** 0.5 if n else None)], "sse double, n bigint, rmse double")
 
 
 @dataclass
@@ -357,7 +403,6 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     factors, current = materialize(factors.select("matrix", "id", "block", "vec"),
                                    "factors-init", with_path=True)
     steps_per_epoch = num_blocks if schedule == STRATIFIED else 2 * num_blocks - 1
-    eval_groups = cell_groups(cells, num_blocks) if evaluate_epochs and epochs > 0 else None
     logs = []
     superseded = []
     started = time.time()
@@ -380,7 +425,7 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
             if sub_epochs is not None:
                 break
             if evaluate_epochs:
-                metrics = evaluate_grid(cells, factors, num_blocks, groups=eval_groups)
+                metrics = evaluate_steps(cells, factors, num_blocks, schedule, grid.keys)
                 logs.append(materialize(metrics.select(
                     F.lit(epoch).cast("int").alias("iteration"),
                     F.lit(eta).cast("double").alias("step_size"), "sse", "n", "rmse"),

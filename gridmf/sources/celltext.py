@@ -72,20 +72,33 @@ def cell_lines(spark: SparkSession, cells: DataFrame, num_blocks: int,
                         F.coalesce("line", F.lit("")).alias("line")))
 
 
-def decode_cell_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Triples of cell lines: strip, split on ``;``, drop blanks, split on ``,``."""
-    items = lines.select(F.explode(F.split(F.trim(F.col(column)), ";")).alias("item"))
+def decode_cell_lines(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Triples of cell lines: strip, split on ``;``, drop blanks, split on ``,``; ``keep`` names columns of the line."""
+    items = lines.select(*keep, F.explode(F.split(F.trim(F.col(column)), ";")).alias("item"))
     fields = F.split(F.col("item"), ",")
     return (items.where(F.trim(F.col("item")) != "")
-                 .select(fields.getItem(0).cast("int").alias("x_id"),
+                 .select(*keep, fields.getItem(0).cast("int").alias("x_id"),
                          fields.getItem(1).cast("int").alias("y_id"),
                          fields.getItem(2).cast("double").alias("rating")))
 
 
 def write_cell_lines(lines: DataFrame, path: str) -> None:
-    """One text file set, lines in row-major ``(bx, by, part)`` order."""
-    lines.orderBy("bx", "by", "part").select("line").write.text(path)
+    """One text file set in row-major ``(bx, by, part)`` order; each line is ``bx,by,part``, a tab and the triples.
+
+    The prefix keeps a cell's lines together however many ``max_triples`` makes of it.
+    """
+    lines.orderBy("bx", "by", "part").select(
+        F.concat(F.concat_ws(",", "bx", "by", "part"), F.lit("\t"), "line")).write.text(path)
 
 
 def read_cell_lines(spark: SparkSession, path: str) -> DataFrame:
-    return decode_cell_lines(spark.read.text(path), "value")
+    """``(bx, by, part, x_id, y_id, rating)`` of written cell lines.
+
+    Files without the prefix are read by ``decode_cell_lines(spark.read.text(path), "value")``.
+    """
+    halves = F.split(F.col("value"), "\t", 2)
+    cell = F.split(halves.getItem(0), ",")
+    lines = spark.read.text(path).select(
+        *[cell.getItem(i).cast("int").alias(name) for i, name in enumerate(("bx", "by", "part"))],
+        halves.getItem(1).alias("line"))
+    return decode_cell_lines(lines, keep=("bx", "by", "part"))

@@ -85,6 +85,14 @@ def test_cell_lines_empty_cells(spark):
     path = os.path.join(scratch(), "cells")
     celltext.write_cell_lines(celltext.cell_lines(spark, cells, 2), path)
     assert sorted(triples(celltext.read_cell_lines(spark, path))) == [(0, 0, 1.0), (3, 3, 2.0)]
+    path = os.path.join(os.path.dirname(path), "parts")
+    rows = spark.createDataFrame([(i % 4, 3 - i % 4, float(i)) for i in range(40)], "x_id INT, y_id INT, rating DOUBLE")
+    cells = blocks.with_order(blocks.assign_grid(rows, 4, 4, 2), 7)
+    celltext.write_cell_lines(celltext.cell_lines(spark, cells, 2, max_triples=3), path)
+    back = celltext.read_cell_lines(spark, path)
+    want = sorted((x.bx, x.by, x.x_id, x.y_id, x.rating) for x in cells.collect())
+    assert sorted((x.bx, x.by, x.x_id, x.y_id, x.rating) for x in back.collect()) == want
+    assert back.agg({"part": "max"}).first()[0] > 2
 
 
 def test_factor_lines_lossless_roundtrip(spark):

@@ -249,12 +249,7 @@ def test_predict_switches_to_grid_over_the_bound(spark):
 
 def test_fit_without_catalog_uses_plain_grid(spark, ratings_small, monkeypatch):
     """Where the catalog refuses the bucketed table, training still matches the replay."""
-    from pyspark.sql.readwriter import DataFrameWriter
-
-    def refuse(self, *args, **kwargs):
-        raise RuntimeError("catalog is read-only")
-
-    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    monkeypatch.setattr(train, "catalog_takes_buckets", lambda spark: False)
     for schedule in ("stratified", "sweep"):
         res = train.fit(ratings_small, rank=4, num_blocks=3, epochs=2, schedule=schedule)
         W, H = as_arrays(res.factors, res.num_x_ids, res.num_y_ids, 4)
@@ -262,6 +257,64 @@ def test_fit_without_catalog_uses_plain_grid(spark, ratings_small, monkeypatch):
         assert np.allclose(W, rW, atol=1e-12) and np.allclose(H, rH, atol=1e-12)
 
 
+def test_failing_grid_write_raises_once(spark, ratings_small, monkeypatch):
+    """Only the catalog's refusal changes the plan; a write that fails is raised, not tried again."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    calls = []
+
+    def fail(self, *args, **kwargs):
+        calls.append(args)
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", fail)
+    with pytest.raises(RuntimeError, match="disk full"):
+        train.fit(ratings_small, rank=4, num_blocks=3, epochs=1)
+    assert len(calls) == 1
+
+
+def test_evaluate_steps_reads_buckets_and_equals_the_join(spark, ratings_small):
+    """Per schedule: the log's error is the join's, and no exchange lies above the ratings scan."""
+    from gridmf.operators.kernel import make_error_kernel
+    from gridmf.operators.score import evaluate
+
+    for schedule in ("stratified", "sweep"):
+        res = train.fit(ratings_small, rank=4, num_blocks=3, epochs=2, schedule=schedule)
+        want = evaluate(ratings_small, res.factors).first()
+        got = res.log.orderBy("iteration").collect()[-1]
+        assert got.n == want.n and got.sse == pytest.approx(want.sse, rel=1e-10)
+    nx, ny, n = train.domain_stats(ratings_small)
+    grid = train.write_grid(ratings_small, nx, ny, 3, 7, "stratified", n)
+    try:
+        f = train.materialize(init_factors(spark, nx, ny, 4, 3, 7), "f")
+        part = train.stratum_step(grid.cells, f, 1, 3, make_error_kernel(), "sse double, n long", grid.keys)
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    finally:
+        train.drop_grid(spark, grid)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_missing_factor_rows_go_by_one_rule(spark, limit):
+    """Join form and grid form: NULL ids, unknown ids and lost factor rows fail, or keep their row unscored."""
+    from gridmf.operators.score import evaluate, predict
+
+    rows = [(0, 0, 1.0), (1, 1, 2.0), (None, 1, 3.0), (1, 99, 4.0), (2, 2, 5.0)]
+    r = spark.createDataFrame(rows, "x_id INT, y_id INT, rating DOUBLE")
+    f = init_factors(spark, 4, 4, 3, 2, 7).where("NOT (matrix = 'H' AND id = 2)")
+    kw = dict(num_x_ids=4, num_y_ids=4, rank=3, broadcast_limit=limit, grid_blocks=2)
+    out = predict(r, f, missing="null", **kw).collect()
+    assert sorted((x.rating, x.prediction is None) for x in out) == [
+        (1.0, False), (2.0, False), (3.0, True), (4.0, True), (5.0, True)]
+    assert evaluate(r, f, missing="null", **kw).first().n == 2
+    for bad in rows[2:]:
+        one = spark.createDataFrame([rows[0], bad], "x_id INT, y_id INT, rating DOUBLE")
+        with pytest.raises(Exception, match="without a factor row"):
+            predict(one, f, **kw).collect()
+    with pytest.raises(ValueError):
+        predict(r, f, missing="drop", **kw)
+
+
 def test_fit_balanced_cells_equals_replay(spark):
     base = [(x % 7, (x * 3) % 5, 1.0 + (x % 4)) for x in range(60)]
     hot = [(1, 2, 4.5)] * 400
