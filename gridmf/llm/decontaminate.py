@@ -1,17 +1,19 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification.
 
 Texts are compared as UTF-8 bytes after lower-casing A-Z and Latin-1 letters and folding each run of white space to one
-space.  An item of L bytes is looked for in windows of L bytes of every whole document.  Windows lie
-where one of the item's ``ANCHORS`` rarest words (by a count of the benchmark's words over all documents;
-ties: the longer, then by hash) occurs in the document, at the offset that word has in the item; a
-window needs 3 anchors within the allowed shift (2 for items of under 10 anchors, 1 under 4), so an item
-is missed here only if more of its anchors are damaged.  Windows and
+space.  An item of L bytes is looked for in windows of L bytes of every whole document.  Windows lie where
+one of the item's anchors occurs in the document, at the offset it has in the item.  Anchors are stretches of
+``GRAM`` bytes (``SHORT_GRAM`` in items under ``LONG`` bytes, the whole of a shorter item), wherever they stand, so scripts
+without spaces, quoted words and joined or split words have them too: of twice ``ANCHORS`` places spread evenly over the
+item the ``ANCHORS`` that are rarest in all documents.  A window needs 3 anchors within the allowed shift (2 for items of under
+10 anchors, 1 under 4).  Windows and
 items are CGK-embedded: a random walk reads the string with 3 L steps, copying the current byte and
 moving on by a random bit that depends on step and byte, which turns edits into Hamming distance.
 ``WALKS`` walks with ``SAMPLES`` samples of ``BITS`` positions each are the LSH: a window is a candidate if it
 agrees with the item in all positions of some sample.  Positions where the walk already ran off both strings
-are not sampled, so exact copies always collide; the recall for edited copies is measured
-in tests/llm.  Candidates are verified exactly: the least edit distance of the whole item to any
+are not sampled, so exact copies always collide.  An item of under ``SHORT_GRAM`` bytes counts only where no
+letter or digit goes on beside it.
+Candidates are verified exactly: the least edit distance of the whole item to any
 stretch of the window widened by the allowed edits must be at most ``max_edit_rate`` * L.
 
 The benchmark is read in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes (a longer item alone); a
@@ -29,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmf.llm.common import table
-from gridmf.llm.words import LOWER, SPACE, Table, hash_runs, mix, runs, seeds, slices, words
+from gridmf.llm.words import LOWER, SPACE, Table, find, mix, seeds, slices
 
-ANCHORS = 16
+ANCHORS = 32
+GRAM = 8
+SHORT_GRAM = 5
+LONG = 64
 WALKS = 2
 SAMPLES = 20
 BITS = 5
@@ -60,20 +65,43 @@ def normal(buf: np.ndarray, offs: np.ndarray):
     return low[keep], at[offs], np.flatnonzero(keep)
 
 
+def grams(text: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (up to 8) bytes from each place of a text on, as scattered 64-bit keys (one to one); zeros beyond the end."""
+    raw = text.tobytes() + bytes(8)
+    x = np.ndarray(len(text), "<u8", raw, strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+    return x * np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_size(n: int) -> int:
+    return GRAM if n >= LONG else min(SHORT_GRAM, n)
+
+
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of an item's possible anchors."""
+    q = gram_size(len(text))
+    last = len(text) - q
+    at = np.unique(np.linspace(0, last, min(last + 1, 2 * ANCHORS)).astype(np.int64))
+    return at, grams(np.frombuffer(text, np.uint8), q)[at]
+
+
+def normal_items(items: list[tuple[int, str]]) -> list[tuple[int, bytes]]:
+    out = []
+    for item_id, text in items:
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        raw = normal(buf, np.array([0, len(buf)]))[0].tobytes().strip(b" ")
+        if raw:
+            out.append((item_id, raw))
+    return out
+
+
 class Block:
     """Some items, their anchors and their LSH keys."""
 
-    def __init__(self, items: list[tuple[int, str]], seen: dict[int, int] | None = None,
+    def __init__(self, items: list[tuple[int, str]], seen: dict[int, tuple[np.ndarray, np.ndarray]] | None = None,
                  max_edit_rate: float = MAX_EDIT_RATE, seed: int = 5):
         self.rate = max_edit_rate
-        self.ids, self.texts = [], []
-        for item_id, text in items:
-            buf = np.frombuffer((text or "").encode(), np.uint8)
-            n, _, _ = normal(buf, np.array([0, len(buf)]))
-            raw = n.tobytes().strip(b" ")
-            if raw:
-                self.ids.append(item_id)
-                self.texts.append(raw)
+        known = normal_items(items)
+        self.ids, self.texts = [i for i, _ in known], [t for _, t in known]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.walk_seed = seeds(WALKS, seed)
         self.flips = [self._flips(w) for w in range(WALKS)]
@@ -83,27 +111,26 @@ class Block:
         flat = np.frombuffer(b"".join(self.texts), np.uint8) if self.texts else np.zeros(0, np.uint8)
         first = np.cumsum(self.size) - self.size
         self.keys = self.lsh(flat, first, self.size) if len(self.size) else np.zeros((0, WALKS * SAMPLES), np.uint64)
-        word, item, off = [], [], []
+        found: dict[int, list] = {}
+        self.anchors = np.zeros(len(self.texts), np.int64)
         for i, t in enumerate(self.texts):
-            buf = np.frombuffer(t, np.uint8)
-            s, e, _ = runs(buf != 32, np.array([0, len(buf)]))
-            h = hash_runs(buf, s, e)
-            order = np.lexsort((h, s - e, [(seen or {}).get(x, 0) for x in h.tolist()]))
-            picked: dict[int, int] = {}
-            for j in order.tolist():
-                if len(picked) == ANCHORS:
-                    break
-                picked.setdefault(int(h[j]), j)
-            for j in picked.values():
-                word.append(h[j])
-                item.append(i)
-                off.append(s[j])
-        word = np.array(word, np.uint64)
-        order = np.argsort(word, kind="stable")
-        self.item, self.off = np.array(item, np.int64)[order], np.array(off, np.int64)[order]
-        self.anchors = np.bincount(self.item, minlength=len(self.texts))
-        self.table = Table(np.unique(word))
-        self.from_ = np.append(np.searchsorted(word[order], self.table.keys), len(word))
+            q = gram_size(len(t))
+            at, key = anchors(t)
+            at, key = at[np.sort(np.unique(key, return_index=True)[1])], key[np.sort(np.unique(key, return_index=True)[1])]
+            if seen:
+                where = find(seen[q][0], key)
+                often = np.where(where >= 0, seen[q][1][where], 0)
+            else:
+                often = np.zeros(len(key), np.int64)
+            pick = np.lexsort((mix(key), often))[:ANCHORS]
+            self.anchors[i] = len(pick)
+            found.setdefault(q, []).append((key[pick], np.full(len(pick), i), at[pick]))
+        self.tables = {}
+        for q, parts in found.items():
+            key, item, off = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            known = Table(np.unique(key))
+            self.tables[q] = (known, np.append(np.searchsorted(key[order], known.keys), len(key)), item[order], off[order])
 
     def _flips(self, w: int) -> np.ndarray:
         """The walk's random bit for (step modulo 1024, byte)."""
@@ -141,24 +168,27 @@ class Block:
     def matches(self, buf: np.ndarray, offs: np.ndarray):
         """(text, item, edits, start, stop) in bytes of the slice's texts: each item's best stretch in each text."""
         text, at, place = normal(buf, offs)
-        s, e, first = runs(text != 32, at)
-        pos, which = self.table.find(hash_runs(text, s, e))
-        n = self.from_[which + 1] - self.from_[which]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        cut = np.append(0, np.cumsum(n))
-        doc_of = np.searchsorted(first, np.arange(len(s)), side="right") - 1 if len(s) else s
-        lo = 0
-        while lo < len(pos):  # windows in groups, so a very common anchor takes no memory
-            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + PAIRS, side="right")) - 1)
-            # from as far back as a window reaches, so a window's anchors meet in some group
-            back = int(np.searchsorted(s[pos], s[pos[lo]] - 2 * int(self.size.max())))
-            m = n[back:hi]
-            word = np.repeat(pos[back:hi], m)
-            entry = np.repeat(self.from_[which[back:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            item, doc = self.item[entry], doc_of[word]
-            start = np.maximum(s[word] - self.off[entry], at[doc])
-            self._verify(text, at, start, item, doc, best)
-            lo = hi
+        for q, (known, from_, items, offsets) in self.tables.items():
+            pos, which = known.find(grams(text, q))
+            doc_of = np.searchsorted(at, pos, side="right") - 1
+            whole = pos + q <= at[doc_of + 1]
+            pos, which, doc_of = pos[whole], which[whole], doc_of[whole]
+            n = from_[which + 1] - from_[which]
+            cut = np.append(0, np.cumsum(n))
+            longest = int(self.size[items].max())
+            lo = 0
+            while lo < len(pos):  # windows in groups, so a very common anchor takes no memory
+                hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + PAIRS, side="right")) - 1)
+                # from as far back as a window reaches, so a window's anchors meet in some group
+                back = int(np.searchsorted(pos, pos[lo] - 2 * longest))
+                m = n[back:hi]
+                place_of = np.repeat(np.arange(back, hi), m)
+                entry = np.repeat(from_[which[back:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                item, doc = items[entry], doc_of[place_of]
+                start = np.maximum(pos[place_of] - offsets[entry], at[doc])
+                self._verify(text, at, start, item, doc, best)
+                lo = hi
         for (doc, item), (edits, a, b) in sorted(best.items()):
             yield doc, item, edits, int(place[a] - offs[doc]), int(place[b - 1] + 1 - offs[doc])
 
@@ -193,11 +223,18 @@ class Block:
                 continue
             a, b = max(int(at[d]), p - allowed), min(int(at[d + 1]), p + int(self.size[i]) + allowed)
             edits, stop = infix_distance(self.texts[i], raw[a:b])
+            if edits == 0 and len(self.texts[i]) < SHORT_GRAM and goes_on(raw, int(at[d]), p, p + int(self.size[i]), int(at[d + 1])):
+                continue
             if edits <= allowed and edits < best.get((d, i), (allowed + 1,))[0]:
                 back = infix_distance(self.texts[i][::-1], raw[a:a + stop][::-1])[1]
                 best[d, i] = (edits, a + stop - back, a + stop)
 
 
+def goes_on(raw: bytes, lo: int, start: int, stop: int, hi: int) -> bool:
+    """Whether the word at either edge of a stretch goes on outside it."""
+    return (start > lo and raw[start - 1:start + 1].isalnum()) or (stop < hi and raw[stop - 1:stop + 1].isalnum())
+
+
 def infix_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     """(least edit distance of the whole pattern to any stretch of text, end of the first such stretch); bit-parallel."""
     m = len(pattern)
@@ -240,25 +277,36 @@ def blocks(benchmark: DataFrame):
         yield rows
 
 
-def word_counts(docs: DataFrame, items: list[tuple[int, str]]) -> dict[int, int]:
-    """How often each word of the items (a block's) occurs in all documents; one sum a word and task is shuffled."""
+def gram_counts(docs: DataFrame, items: list[tuple[int, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size, the possible anchors of the items (a block's), sorted, and how often each occurs in all documents."""
     spark = docs.sparkSession
-    buf = np.frombuffer(" ".join(t for _, t in items).encode(), np.uint8)
-    text, at, _ = normal(buf, np.array([0, len(buf)]))
-    s, e, _ = runs(text != 32, at)
-    shared = spark.sparkContext.broadcast(Table(np.unique(hash_runs(text, s, e))))
+    keys: dict[int, list] = {}
+    for _, t in normal_items(items):
+        keys.setdefault(gram_size(len(t)), []).append(anchors(t)[1])
+    tables = {q: Table(np.unique(np.concatenate(k))) for q, k in keys.items()}
+    shared = spark.sparkContext.broadcast(tables)  # at most 2 * ANCHORS keys an item
 
     def each(batches):
-        keys = shared.value
-        n = np.zeros(len(keys.keys), np.int64)
+        n = {q: np.zeros(len(k.keys), np.int64) for q, k in shared.value.items()}
         for batch in batches:
             for _, buf, offs in slices(batch.column("text"), SLICE):
-                n += np.bincount(keys.find(words(buf, offs)[0])[1], minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.keys.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "h long, n long") \
-        .where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r.h % 2**64: r.n for r in rows}
+                text = normal(buf, offs)[0]
+                for q, k in shared.value.items():
+                    n[q] += np.bincount(k.find(grams(text, q))[1], minlength=len(n[q]))
+        for q, k in shared.value.items():
+            some = np.flatnonzero(n[q])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q, np.int32)), pa.array(k.keys[some].view(np.int64)), pa.array(n[q][some])],
+                                             names=["q", "h", "n"])
+
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "q int, h long, n long") \
+        .groupBy("q", "h").agg(F.sum("n").alias("n")).toArrow()
+    q, h, n = (got.column(c).to_numpy() for c in ("q", "h", "n"))
+    out = {}
+    for size, k in tables.items():
+        total = np.zeros(len(k.keys), np.int64)
+        total[find(k.keys, h[q == size].view(np.uint64))] = n[q == size]
+        out[size] = (k.keys, total)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = MAX_EDIT_RATE) -> DataFrame:
@@ -267,7 +315,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = MAX_EDIT
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], SCHEMA)
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Block(items, word_counts(docs, items), max_edit_rate))  # bounded by BLOCK_ITEMS and BLOCK_BYTES
+        shared = spark.sparkContext.broadcast(Block(items, gram_counts(docs, items), max_edit_rate))  # bounded by BLOCK_ITEMS and BLOCK_BYTES
 
         def each(batches, shared=shared):
             for batch in batches:
@@ -288,7 +336,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit_rate: floa
     """The rows of ``docs``, all columns, that hold no item."""
     spark = docs.sparkSession
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Block(items, word_counts(docs, items), max_edit_rate))
+        shared = spark.sparkContext.broadcast(Block(items, gram_counts(docs, items), max_edit_rate))
 
         def each(batches, shared=shared):
             for batch in batches:
