@@ -11,7 +11,8 @@ items are CGK-embedded: a random walk reads the string with 3 L steps, copying t
 moving on by a random bit that depends on step and byte, which turns edits into Hamming distance.
 ``WALKS`` walks with ``SAMPLES`` samples of ``BITS`` positions each are the LSH: a window is a candidate if it
 agrees with the item in all positions of some sample.  Positions where the walk already ran off both strings
-are not sampled, so exact copies always collide.  An item of under ``SHORT_GRAM`` bytes counts only where no
+are not sampled, so exact copies always collide.  The target is a recall of ``TARGET`` over items of ``LONG`` bytes and more
+edited by up to ``max_edit_rate``; tests/llm/test_recall.py measures it.  An item of under ``SHORT_GRAM`` bytes counts only where no
 letter or digit goes on beside it.
 Candidates are verified exactly: the least edit distance of the whole item to any
 stretch of the window widened by the allowed edits must be at most ``max_edit_rate`` * L.
@@ -38,8 +39,9 @@ GRAM = 8
 SHORT_GRAM = 5
 LONG = 64
 WALKS = 2
-SAMPLES = 20
-BITS = 5
+SAMPLES = 40
+BITS = 3
+TARGET = 0.95
 MAX_EDIT_RATE = 0.15
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20

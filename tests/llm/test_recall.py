@@ -31,6 +31,18 @@ def found(items, texts):
     return {(doc, block.ids[i]) for doc, i, *_ in block.matches(buf, offs)}
 
 
+@pytest.mark.parametrize("rate", [0.02, 0.05, 0.10, 0.14])
+@pytest.mark.parametrize("words", [15, 40])
+def test_recall_of_edited_items(rate, words):
+    items = [prose(words) for _ in range(200)]
+    copies = [edited(t, rate) for t in items]
+    within = {(i, i) for i, (t, c) in enumerate(zip(items, copies))
+              if dc.infix_distance(" ".join(t.split()).encode(), " ".join(c.split()).encode())[0] <= int(dc.MAX_EDIT_RATE * len(t))}
+    got = found(items, [prose(30) + " " + c + " " + prose(30) for c in copies])
+    assert len(within) > 150 and len(got & within) >= dc.TARGET * len(within), len(got & within) / len(within)
+    assert got <= {(i, i) for i in range(200)}
+
+
 def test_items_without_spaces_around_them():
     han = ["".join(chr(R.randint(0x4E00, 0x9000)) for _ in range(n)) for n in (12, 30, 200, 200)]
     items = [han[0], han[1], "https://example.org/a/b?c=1", "E=mc2", prose(30), "x=y"]
