@@ -6,18 +6,19 @@ nearby bytes only, so text inserted elsewhere shifts no chunk; chunks hold about
 bytes.  Where a text offers no cut for ``LONGEST`` bytes (a repeated character, say), cuts are set every
 ``LONGEST`` bytes.  No cut splits a character.
 
-A chunk is known by its 64-bit digest; its first document is the smallest doc_id that holds it.  In
-every other document it repeats, and a run of adjoining repeated chunks of at least ``MIN_WORDS`` words is a
+A chunk is known by its 64-bit digest; it comes first in the smallest doc_id that holds it, at its least place
+there.  Everywhere else it repeats, later in the same document too, and a run of adjoining repeated chunks of
+at least ``MIN_WORDS`` words or ``MIN_BYTES`` bytes (scripts without spaces, tables, encoded data) is a
 repeated passage.  A passage loses at either end up to the chunk its edge falls in, so passages of over 50
-words hold such a run, while repeated lines and common phrases do not.  ``repeats`` lists the passages,
-``drop_repeats`` cuts them out of all documents but the first.
+words hold such a run, while short repeated lines and common phrases do not.  ``repeats`` lists the passages,
+``drop_repeats`` cuts out all but the first.
 
 Scale: each chunk is one row of four numbers; first documents come from a partially aggregated groupBy,
 and the join that brings them back is an equi-join whose hot digests adaptive execution can split.
 
 Null or empty texts have no chunks and stay as they are.  Rows with one doc_id and one text are one
 document: each is cut alike and they do not count as repeats of each other; a null doc_id comes before all
-others.  Repeats within one document stay.  Empty tables give empty results; extra columns are kept.
+others.  Empty tables give empty results; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from gridmf.llm.words import SPACE, hash_runs, seeds, slices
 REACH = 20
 LONGEST = 1024
 MIN_WORDS = 20
+MIN_BYTES = 120
 GEAR = (seeds(256, 31) >> np.uint64(20)).astype(np.uint16)
 
 
@@ -128,15 +130,19 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 def _passages(parts: list, min_words: int):
     """Runs of adjoining chunks [(place, first id)] sorted by place: (start, length, words, first id)."""
     out, run = [], None
+
+    def enough():
+        return run and (run[2] >= min_words or run[1] >= MIN_BYTES)
+
     for place, src in parts:
         start, length, n = place >> 32, (place >> 12) & 0xFFFFF, place & 0xFFF
         if run and run[0] + run[1] == start:
             run = (run[0], run[1] + length, run[2] + n, run[3])
         else:
-            if run and run[2] >= min_words:
+            if enough():
                 out.append(run)
             run = (start, length, n, src)
-    if run and run[2] >= min_words:
+    if enough():
         out.append(run)
     return out
 
@@ -144,11 +150,11 @@ def _passages(parts: list, min_words: int):
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, spans): repeated passages of each document that has any; spans of (start, length, words, first_id) in UTF-8 bytes."""
     rows = chunk_rows(docs)
-    key = F.struct("id", "h")
+    key = F.struct("id", "h", "place")
     first = (rows.groupBy("digest").agg(F.min(key).alias("a"), F.max(key).alias("z"))
              .where("a <> z").select("digest", "a"))
-    again = rows.join(first, "digest").where("id <> a.id OR h <> a.h")
-    per_doc = again.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("place", F.col("a.id").alias("src")))).alias("parts"))
+    again = rows.join(first, "digest").where("id <> a.id OR h <> a.h OR place <> a.place")
+    per_doc = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("place", F.col("a.id").alias("src")))).alias("parts"))
     kind = "array<struct<start:bigint,length:bigint,words:bigint,first_id:bigint>>"
 
     def each(batches):

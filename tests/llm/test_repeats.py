@@ -1,0 +1,42 @@
+"""Repeated passages without spaces, within one document, and in repeated rows."""
+
+import random
+
+from gridmf.llm import substring
+
+R = random.Random(21)
+
+
+def han(n):
+    return "".join(chr(R.randint(0x4E00, 0x9000)) for _ in range(n))
+
+
+def prose(n):
+    return " ".join("".join(R.choice("abcdefghij") for _ in range(R.randint(2, 8))) for _ in range(n))
+
+
+def cut(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r.doc_id, r.text) for r in substring.drop_repeats(docs).collect())
+
+
+def test_a_passage_without_spaces_is_cut(spark):
+    same, blob = han(400), "".join(R.choice("ABCDEFabcdef0123456789+/") for _ in range(1500))
+    out = dict(cut(spark, [(1, han(90) + same + han(90)), (2, han(90) + same + han(90)), (3, "a " + blob), (4, "b " + blob)]))
+    assert same in out[1] and same[100:300] not in out[2] and len(out[2]) < 300
+    assert blob in out[3] and len(out[4]) < 300
+
+
+def test_a_notice_repeated_within_one_document_stays_once(spark):
+    notice = prose(60)
+    (_, text), = cut(spark, [(1, " ".join(prose(40) + " " + notice for _ in range(50)))])
+    middle = " ".join(notice.split()[20:40])
+    assert text.count(middle) == 1
+
+
+def test_repeated_rows_are_cut_alike(spark):
+    passage = prose(80)
+    later = prose(30) + " " + passage + " " + prose(30)
+    out = cut(spark, [(1, passage + " " + prose(30)), (2, later), (2, later)])
+    assert out[1] == out[2] and len(out[1][1]) < len(later) - 200
+    assert passage in out[0][1]
