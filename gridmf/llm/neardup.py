@@ -69,7 +69,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     for i in range(0, len(x), 256):
         low = np.minimum(low, (x[i:i + 256, None] * _MULT + _ADD).min(axis=0))
     e = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32)
-    return np.clip(np.floor(1 - np.log(A * e) / np.log(BASE)), 0, Q + 1).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(e / A) / np.log(BASE)), 0, Q + 1).astype(np.uint16)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
