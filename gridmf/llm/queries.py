@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridmf.llm.chat import OP11_SQL, op11_chat_formatting
 from gridmf.llm.decontaminate import op5_decontamination
 from gridmf.llm.fingerprint import op8_fingerprints
 from gridmf.llm.langid import op6_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_token_file": op10_token_file,
+    "op11_chat_formatting": op11_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_chat_formatting": OP11_SQL}
