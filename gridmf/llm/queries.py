@@ -10,6 +10,7 @@ from gridmf.llm.license import op7_license_scan
 from gridmf.llm.lm import op2_suffix_tree_scores
 from gridmf.llm.neardup import op1_near_dedup
 from gridmf.llm.packing import op9_packing
+from gridmf.llm.runs import op13_periodic_runs
 from gridmf.llm.substring import op4_substring_dedup
 from gridmf.llm.tokenfile import op10_token_file
 from gridmf.llm.toxicity import op3_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_file": op10_token_file,
     "op11_chat_formatting": op11_chat_formatting,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_chat_formatting": OP11_SQL}
