@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridmf.llm.align import op12_tokenizer_alignment
 from gridmf.llm.chat import OP11_SQL, op11_chat_formatting
 from gridmf.llm.decontaminate import op5_decontamination
 from gridmf.llm.fingerprint import op8_fingerprints
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_file": op10_token_file,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
