@@ -50,3 +50,52 @@ def test_hot_pair_chain():
     sequential(W1, H1, rw, rh, r, 0.01)
     sgd_levels(W2, H2, rw, rh, r, conflict_levels(rw, rh, [0] * 2, [0] * 2), 0.01)
     assert np.allclose(W1, W2, atol=1e-12) and np.allclose(H1, H2, atol=1e-12)
+
+
+def levels_by_loop(rw, rh, lw, lh):
+    out = []
+    for a, b in zip(rw, rh):
+        lw[a] = lh[b] = max(lw[a], lh[b]) + 1
+        out.append(lw[a])
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(nw=st.integers(1, 60), nh=st.integers(1, 60), n=st.integers(0, 1500), skew=st.booleans(), seed=st.integers(0, 10_000))
+def test_levels_equal_the_recurrence(nw, nh, n, skew, seed):
+    """Peeled and relaxed levels are those of a loop, across chunks, for uniform and for hot rows."""
+    rng = np.random.default_rng(seed)
+    draw = (lambda k: np.minimum(rng.zipf(1.3, n) - 1, k - 1)) if skew else (lambda k: rng.integers(0, k, n))
+    rw, rh = draw(nw), draw(nh)
+    want = levels_by_loop(rw, rh, [0] * nw, [0] * nh)
+    for cuts in ([0, n], [0, n // 4, n // 2, n]):
+        lw, lh = np.zeros(nw, np.int64), [0] * nh
+        got = [conflict_levels(rw[s:e], rh[s:e], lw, lh) for s, e in zip(cuts[:-1], cuts[1:])]
+        assert np.concatenate(got).tolist() == want
+
+
+def test_levels_of_a_zigzag():
+    """A path that changes the row of W and of H at every sample: one level each."""
+    i = np.arange(3000)
+    assert conflict_levels((i + 1) // 2, i // 2, np.zeros(1501, np.int64), np.zeros(1501, np.int64)).tolist() == (i + 1).tolist()
+
+
+def test_pieces_of_levels_give_the_same_bits():
+    """However the samples, sorted by level, are cut into calls: 1 by 1, 500, 10,000 or at once."""
+    from gridmf.operators.kernel import apply_levels
+
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 8, 33, 64, 129):
+        n = 4000
+        rw, rh = np.minimum(rng.zipf(1.3, n) - 1, 299), rng.integers(0, 200, n)
+        r, W, H = rng.random(n), rng.random((300, k)), rng.random((200, k))
+        lv = conflict_levels(rw, rh, [0] * 300, [0] * 200)
+        order = np.argsort(lv, kind="stable")
+        out = []
+        for size in (1, 7, 500, 10_000):
+            W1, H1 = W.copy(), H.copy()
+            for s in range(0, n, size):
+                o = order[s:s + size]
+                apply_levels(W1, H1, rw[o], rh[o], r[o], lv[o], 0.01)
+            out.append((W1, H1))
+        assert all(np.array_equal(out[0][0], w) and np.array_equal(out[0][1], h) for w, h in out[1:])

@@ -46,7 +46,7 @@ def test_grid_write_one_file_per_cell_slot(spark):
 
     r = ratings_view(spark, SF_SMALL)
     nx, ny = domain_sizes(r)
-    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000, rows_per_file=500)
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, rows_per_file=500)
     root = grid.path.replace("file:", "")
     files = glob.glob(os.path.join(root, "step=*", "*.parquet"))
     per_step = {}
@@ -66,7 +66,7 @@ def test_grid_write_one_file_per_cell_slot(spark):
 def test_bucketed_step_exchanges_only_factors(spark):
     r = ratings_view(spark, SF_SMALL)
     nx, ny = domain_sizes(r)
-    grid = train.write_grid(r, nx, ny, 4, 7, train.STRATIFIED, num_ratings=6000)
+    grid = train.write_grid(r, nx, ny, 4, 7, train.STRATIFIED)
     f = init_factors(spark, nx, ny, 4, 4, 7)
     p = plan(train.dsgd_subepoch(grid.cells, f, 2, 4, 0.001, grid.keys))
     assert p.count("Exchange") == 1
@@ -85,7 +85,7 @@ def test_bucketed_and_exchange_paths_agree(spark):
 
     r = ratings_view(spark, SF_SMALL)
     nx, ny = domain_sizes(r)
-    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=6000)
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED)
     f = init_factors(spark, nx, ny, 4, 3, 7)
     out = {}
     for tag, keys in (("bucketed", grid.keys), ("exchange", None)):
@@ -119,8 +119,7 @@ def test_balanced_grid_splits_a_hot_cell(spark):
                                    (F.col("id") / 1000.0).alias("rating"))
     r = r.unionByName(hot)
     nx, ny = domain_sizes(r)
-    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, num_ratings=9000, rows_per_file=500,
-                            balance_cells=True)
+    grid = train.write_grid(r, nx, ny, 3, 7, train.STRATIFIED, rows_per_file=500)
     root = grid.path.replace("file:", "")
     sizes = {}
     for f in glob.glob(os.path.join(root, "step=*", "*.parquet")):

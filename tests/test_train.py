@@ -284,7 +284,7 @@ def test_evaluate_steps_reads_buckets_and_equals_the_join(spark, ratings_small):
         got = res.log.orderBy("iteration").collect()[-1]
         assert got.n == want.n and got.sse == pytest.approx(want.sse, rel=1e-10)
     nx, ny, n = train.domain_stats(ratings_small)
-    grid = train.write_grid(ratings_small, nx, ny, 3, 7, "stratified", n)
+    grid = train.write_grid(ratings_small, nx, ny, 3, 7, "stratified")
     try:
         f = train.materialize(init_factors(spark, nx, ny, 4, 3, 7), "f")
         part = train.stratum_step(grid.cells, f, 1, 3, make_error_kernel(), "sse double, n long", grid.keys)
@@ -315,11 +315,11 @@ def test_missing_factor_rows_go_by_one_rule(spark, limit):
         predict(r, f, missing="drop", **kw)
 
 
-def test_fit_balanced_cells_equals_replay(spark):
+def test_fit_hot_cell_equals_replay(spark):
     base = [(x % 7, (x * 3) % 5, 1.0 + (x % 4)) for x in range(60)]
     hot = [(1, 2, 4.5)] * 400
     df = spark.createDataFrame(base + hot, "x_id INT, y_id INT, rating DOUBLE")
-    res = train.fit(df, rank=3, num_blocks=2, epochs=2, step=0.0005, balance_cells=True)
+    res = train.fit(df, rank=3, num_blocks=2, epochs=2, step=0.0005)
     W, H = as_arrays(res.factors, 7, 5, 3)
     rW, rH, _ = replay(base + hot, 3, 2, 2, step=0.0005)
     assert np.allclose(W, rW, atol=1e-10) and np.allclose(H, rH, atol=1e-10)
