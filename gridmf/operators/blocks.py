@@ -110,6 +110,16 @@ def block_table(spark: SparkSession, num_x_ids: int, num_y_ids: int, num_blocks:
     return axis("x", num_x_ids).unionByName(axis("y", num_y_ids))
 
 
+def block_ratings(cells: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int, split: str = BALANCED) -> DataFrame:
+    """``(axis, block, first_id, dim, n)``: the blocks of both axes with their id range and ratings (S3), empty ones too."""
+    ends = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("bx").alias("block")),
+                             F.struct(F.lit("y").alias("axis"), F.col("by").alias("block"))))
+    counts = cell_counts(cells).select(ends.alias("e"), "n").groupBy("e.axis", "e.block").agg(F.sum("n").alias("n"))
+    table = block_table(cells.sparkSession, num_x_ids, num_y_ids, num_blocks, split)
+    return (table.join(counts, ["axis", "block"], "left")
+                 .select("axis", "block", F.col("offset").alias("first_id"), "dim", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
 def replicate_h_blocks(spark: SparkSession, num_blocks: int) -> DataFrame:
     """Every H block tagged with every sub-epoch and the position it meets (P10).
 

@@ -403,6 +403,56 @@ def make_predict_kernel(missing: str = "error"):
     return cell_predict
 
 
+def _filled(texts: pa.Array, mark: str) -> pa.Array:
+    """The parts of texts between ``mark``s that are not blank, one after another."""
+    parts = pc.split_pattern(texts, mark).flatten()
+    return parts.filter(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(parts)), 0))
+
+
+def _line_rows(lines: pa.Array) -> np.ndarray:
+    """The matrix of factor lines ``v,v,;v,v,;`` that follow each other."""
+    rows = _filled(lines, ";")
+    values = _filled(rows, ",").cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values.reshape(len(rows), -1) if len(rows) else np.empty((0, 0))
+
+
+def make_line_kernel():
+    """Grouped-map function: ``(bx, by, sse, n)`` of one cell from its text lines.
+
+    Input rows ``(kind, part, bx, by, x0, y0, line)`` sorted by kind and part: W lines of block ``bx``, H lines of
+    block ``by``, then the cell's lines.  Two factor blocks and a batch of lines are held; a rating is two row
+    numbers, never a vector.
+    """
+
+    def cell_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, mats, cell = {KIND_W: [], KIND_H: []}, None, None
+        sse, n = 0.0, 0
+        for batch in batches:
+            for kind, rows in _runs_of_kind(batch):
+                cell = [rows.column(c)[0].as_py() for c in ("bx", "by", "x0", "y0")]
+                if kind != KIND_RATING:
+                    parts[kind].append(_line_rows(rows.column("line")))
+                    continue
+                if mats is None:
+                    mats = [np.concatenate(parts[k]) if parts[k] else np.empty((0, 0)) for k in (KIND_W, KIND_H)]
+                fields = pc.split_pattern(_filled(rows.column("line"), ";"), ",")
+                if not len(fields):
+                    continue
+                x, y, r = (pc.list_element(fields, i).cast(t).to_numpy(zero_copy_only=False)
+                           for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
+                a, b = x - cell[2], y - cell[3]
+                if min(a.min(), b.min()) < 0 or a.max() >= len(mats[0]) or b.max() >= len(mats[1]):
+                    raise RuntimeError("rating refers to an id without a factor row (line)")
+                diff = r - np.einsum("ij,ij->i", mats[0][a], mats[1][b])
+                sse += float(np.dot(diff, diff))
+                n += len(diff)
+        yield pa.RecordBatch.from_arrays([pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()),
+                                          pa.array([sse], pa.float64()), pa.array([n], pa.int64())],
+                                         names=["bx", "by", "sse", "n"])
+
+    return cell_lines
+
+
 def _ship_by_value() -> None:
     """Pickle this module's code with the function that Spark sends to workers.
 

@@ -3,13 +3,11 @@
 Two forms, both one job over all triples:
 
 * by join (``predict``, ``evaluate``): ``ratings ⋈ W on x_id ⋈ H on y_id``, a
-  dot product per row, and a global aggregate with map-side partial sums.  It
-  gives per-triple predictions and works on any triples.  A factor side is
-  broadcast only when its size, bounded from the driver-side facts
-  ``rows * (8*K + overhead)``, is below ``broadcast_limit``; otherwise the join is
-  left to Catalyst/AQE (sort-merge, skew splitting) - and then each rating row
-  carries a K-vector through the second shuffle.
-* on the grid (``evaluate_grid``): triples already carrying their cell are
+  dot product per row, and a global aggregate with map-side partial sums, where
+  both factor sides, bounded by ``rows * (8*K + overhead)``, are below
+  ``broadcast_limit``.  Sizes that the caller does not give are read from the factor table (two
+  rows reach the driver), so no call ships K-vectors with the ratings.
+* on the grid (``predict_grid``, also ``predict`` past the bound; ``evaluate_grid``): triples already carrying their cell are
   grouped per cell, each group streaming narrow ``(x, y, rating)`` rows against
   its two factor blocks in numpy.  Factor rows are copied once per cell of their
   block (the reference's replication of H to every position, for both sides);
@@ -23,11 +21,14 @@ from pyspark.sql import functions as F
 
 from gridmf.functions import blockmath as bm
 from gridmf.functions.vectors import dot
+from gridmf.operators.blocks import BALANCED, _offset_of
 from gridmf.operators.factors import side
 
 # Bytes per factor row beyond the K doubles (id, array header, row overhead).
 ROW_OVERHEAD_BYTES = 48
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+# A W block and an H block together, as a task of the grid form holds them.
+GRID_TASK_BYTES = 256 * 1024 * 1024
 
 
 def factor_side_bytes(num_ids: int, rank: int) -> int:
@@ -53,6 +54,13 @@ def attach_factors(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | N
     return ratings.join(w, "x_id", "left").join(h, "y_id", "left")
 
 
+def factor_sizes(factors: DataFrame) -> tuple[int, int, int]:
+    """``(num_x_ids, num_y_ids, rank)`` of a factor table, from one aggregate."""
+    rows = factors.groupBy("matrix").agg(F.max("id").alias("top"), F.max(F.size("vec")).alias("k")).collect()
+    top = {r["matrix"]: int(r["top"]) + 1 for r in rows if r["top"] is not None}
+    return top.get("W", 0), top.get("H", 0), max([int(r["k"] or 0) for r in rows], default=0)
+
+
 NO_FACTOR = "rating refers to an id without a factor row"
 
 
@@ -74,19 +82,23 @@ def predict(ratings: DataFrame, factors: DataFrame, *, num_x_ids: int | None = N
             grid_blocks: int | None = None, missing: str = "error") -> DataFrame:
     """``prediction = w . h``, ``residual = rating - prediction``, ``sq_error``.
 
-    By join, broadcasting factor sides under the size bound.  When a side is
-    over it and ``grid_blocks`` is given, the grid form (``predict_grid``) is
-    used instead, so rating rows never travel with K-vectors attached.
+    By join with broadcast factor sides where both are under the size bound, else by ``predict_grid`` in
+    ``grid_blocks`` blocks a side (by default as many as keep a pair of blocks under ``GRID_TASK_BYTES``),
+    so rating rows never travel with K-vectors attached.  Sizes not given are read from ``factors``.
 
     Every triple is scored.  One that has no factor row for either id (NULL ids
     too) fails the job wherever its prediction is computed; with
     ``missing="null"`` it keeps its row with a NULL prediction.  Both forms
     follow the same rule.
     """
-    sizes_known = None not in (num_x_ids, num_y_ids, rank)
-    too_big = sizes_known and max(factor_side_bytes(num_x_ids, rank),
-                                  factor_side_bytes(num_y_ids, rank)) > broadcast_limit
-    if grid_blocks and too_big:
+    if None in (num_x_ids, num_y_ids, rank):
+        sizes = factor_sizes(factors)
+        num_x_ids, num_y_ids, rank = (own if given is None else given
+                                      for given, own in zip((num_x_ids, num_y_ids, rank), sizes))
+    too_big = max(factor_side_bytes(num_x_ids, rank), factor_side_bytes(num_y_ids, rank)) > broadcast_limit
+    if too_big:
+        both = factor_side_bytes(num_x_ids, rank) + factor_side_bytes(num_y_ids, rank)
+        grid_blocks = grid_blocks or max(1, -(-both // GRID_TASK_BYTES))
         base = predict_grid(ratings, factors, num_x_ids, num_y_ids, grid_blocks,
                             broadcast_limit=broadcast_limit, missing=missing)
     else:
@@ -119,7 +131,8 @@ def evaluate(ratings: DataFrame, factors: DataFrame, **kw) -> DataFrame:
 def cell_groups(cells: DataFrame, num_blocks: int, rows_per_group: int = 1 << 24) -> tuple[DataFrame, int]:
     """Group ranges of the blocked evaluation: ``(bx, by, salts, base)`` per non-empty cell.
 
-    A cell gets ``ceil(rows / rows_per_group)`` groups, numbered by (stratum, x-block).
+    A cell gets ``ceil(rows / rows_per_group)`` groups, numbered by (stratum, x-block): a running sum within
+    each stratum on top of the strata before it, whose N totals are all that reaches the driver.
     Needs only ``bx``/``by`` (column pruning); at most N*N rows, written to the
     checkpoint folder so it is computed once and can be reused across epochs.
     """
@@ -129,14 +142,18 @@ def cell_groups(cells: DataFrame, num_blocks: int, rows_per_group: int = 1 << 24
     info = (cells.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
                  .withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(int(rows_per_group))))
                              .cast("int"))
-                 .withColumn("s", F.expr(f"pmod(by - bx, {n})"))
+                 .withColumn("s", F.expr(f"pmod(by - bx, {n})").cast("int"))
                  .withColumn("base", F.coalesce(F.sum("salts").over(
-                     Window.orderBy("s", "bx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                             .cast("int"))
-                 .select("bx", "by", "salts", "base"))
+                     Window.partitionBy("s").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                 .select("bx", "by", "s", "salts", "base"))
     info = materialize_small(info)
-    groups = info.agg(F.sum("salts")).first()[0] or 0
-    return info, int(groups)
+    totals = {r["s"]: int(r["t"]) for r in info.groupBy("s").agg(F.sum("salts").alias("t")).collect()}
+    before, starts = 0, []
+    for s in range(n):
+        starts.append(before)
+        before += totals.get(s, 0)
+    start = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("s") + 1)
+    return info.select("bx", "by", "salts", (F.col("base") + start).cast("int").alias("base")), before
 
 
 def _grouped_by_cell(cells: DataFrame, factors: DataFrame, n: int, info: DataFrame,
@@ -236,6 +253,28 @@ def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_i
         .applyInArrow(make_predict_kernel(missing), schema).unionByName(stray)
 
 
+def evaluate_lines(cell_lines: DataFrame, factor_lines: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: int,
+                   split: str = BALANCED) -> DataFrame:
+    """``(bx, by, sse, n)`` of every cell that has ratings, from serialized blocks joined by line.
+
+    Cell lines ``(bx, by, part, line)`` meet the W lines of block ``bx`` and the H lines of block ``by`` in one group
+    per cell (the original's two nested cursors), where all three are decoded side by side; lines are copied
+    once per cell of their block, ratings move once, as text.
+    """
+    from gridmf.operators.kernel import KIND_H, KIND_RATING, KIND_W, make_line_kernel
+
+    n = int(num_blocks)
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    w = factor_lines.where("matrix = 'W'").select(F.lit(KIND_W).alias("kind"), "part", F.col("block").alias("bx"), all_blocks.alias("by"), "line")
+    h = factor_lines.where("matrix = 'H'").select(F.lit(KIND_H).alias("kind"), "part", all_blocks.alias("bx"), F.col("block").alias("by"), "line")
+    rows = w.unionByName(h).unionByName(cell_lines.select(F.lit(KIND_RATING).alias("kind"), "part", "bx", "by", "line"))
+    rows = rows.select((F.col("bx") * n + F.col("by")).cast("int").alias("pos"), "kind", F.col("part").cast("int").alias("part"),
+                       F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "line")
+    rows = (rows.withColumn("x0", _offset_of(split, num_x_ids, n, "bx")).withColumn("y0", _offset_of(split, num_y_ids, n, "by")))
+    return (rows.repartitionById(n * n, "pos").sortWithinPartitions("pos", "kind", "part").groupBy("pos")
+                .applyInArrow(make_line_kernel(), "bx int, by int, sse double, n long").where("n > 0"))
+
+
 def materialize_small(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small, bounded helper table (written to the checkpoint folder)."""
     from gridmf.session import scratch_path

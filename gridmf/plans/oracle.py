@@ -4,8 +4,7 @@ Written independently of the Spark code, from the same definitions: the rating
 view, block arithmetic with integer division, the md5 hash init and order key.
 Training runs over the whole table as a dataflow recursion: all visits are numbered in schedule
 order and ranked per x and per y; each round applies every visit that is next for both its ids
-(``USING KEY`` keeps one vector per id).  ``factor_lines`` has no SQL: its text depends on each
-engine's double-to-string rendering; its decoded values are checked instead.
+(``USING KEY`` keeps one vector per id).
 """
 
 from __future__ import annotations
@@ -119,14 +118,15 @@ def trained(name: str, epochs: int) -> str:
              UNION ALL SELECT 'H', b.y_id, b.ry + 1, list_transform(b.hv, lambda a, k: a + b.g * b.nw[k])) u))"""
 
 
-def visits(sweep: bool = False, first_stratum: bool = False) -> str:
-    """CTE ``c``: every triple with its order key and the two keys of its place in an epoch."""
+def visits(sweep: bool = False, first_stratum: bool = False, hole: int | None = None) -> str:
+    """CTE ``c``: every triple (of the first stratum, not of x-block ``hole``) with its order key and the two keys of its place in an epoch."""
     xb, yb = ((f"CAST(x_id // {cdim('nx')} AS INTEGER)", f"CAST(y_id // {cdim('ny')} AS INTEGER)") if sweep
               else (bid("x_id", "nx"), bid("y_id", "ny")))
     stratum = f"((yb - xb) % {N} + {N}) % {N}"
     keys = "xb AS p1, yb AS p2" if sweep else f"{stratum} AS p1, xb AS p2"
+    wanted = [f"{stratum} = 0"] * first_stratum + ([f"xb <> {hole}"] if hole is not None else [])
     return f"""c AS MATERIALIZED (SELECT *, {keys} FROM (SELECT x_id, y_id, rating, {ORD} AS ord, {xb} AS xb, {yb} AS yb FROM rv, dom) b
-       WHERE {stratum + ' = 0' if first_stratum else 'true'})"""
+       WHERE {' AND '.join(wanted) or 'true'})"""
 
 
 def _train(*ctes: str) -> str:
@@ -146,8 +146,11 @@ ORACLE_SQL: dict[str, str] = {
     "ratings_scan": _with() + "SELECT x_id, y_id, rating FROM rv",
     "ratings_scan_extra_fields": _with() + "SELECT x_id, y_id, rating FROM rv",
     "id_domain": _with(DOM) + "SELECT nx AS num_x_ids, ny AS num_y_ids FROM dom",
-    "block_ids": _with(DOM) + f"""SELECT a.axis, CAST(b AS INTEGER) AS block
-        FROM (VALUES ('x'), ('y')) a(axis), range(0, {N}) t(b)""",
+    "block_ids": _with(DOM, GRID) + f"""SELECT a.axis, CAST(b AS INTEGER) AS block,
+        CASE a.axis WHEN 'x' THEN {boff('b', 'nx')} ELSE {boff('b', 'ny')} END AS first_id,
+        CASE a.axis WHEN 'x' THEN {bdim('b', 'nx')} ELSE {bdim('b', 'ny')} END AS dim,
+        (SELECT count(*) FROM grid g WHERE CASE a.axis WHEN 'x' THEN g.bx ELSE g."by" END = b) AS n
+        FROM (VALUES ('x'), ('y')) a(axis), range(0, {N}) t(b), dom""",
     "block_dim": _with(DOM) + f"""SELECT 'x' AS axis, CAST(b AS INTEGER) AS block, {bdim('b', 'nx')} AS dim FROM dom, range(0, {N}) t(b)
         UNION ALL SELECT 'y', CAST(b AS INTEGER), {bdim('b', 'ny')} FROM dom, range(0, {N}) t(b)""",
     "block_offset": _with(DOM) + f"""SELECT 'x' AS axis, CAST(b AS INTEGER) AS block, {boff('b', 'nx')} AS "offset" FROM dom, range(0, {N}) t(b)
@@ -205,9 +208,7 @@ ORACLE_SQL: dict[str, str] = {
                FROM g JOIN wl w ON w.id = g.x_id JOIN hl h ON h.id = g.y_id AND h.k = w.k)""")
         + f"""SELECT 'W' AS matrix, x_id AS id, k, round(wv, {DIGITS}) AS value FROM w2
         UNION ALL SELECT 'H', y_id, k, round(hv + g * wv, {DIGITS}) FROM w2""",
-    "empty_cell_passthrough": _with(DOM, INIT) + f"""SELECT matrix, id, k, round(value, {DIGITS}) AS value FROM (
-        SELECT w.* FROM wl w, dom WHERE {bid('w.id', 'dom.nx')} = {HOLE_BLOCK}
-        UNION ALL SELECT h.* FROM hl h, dom WHERE {bid('h.id', 'dom.ny')} = {HOLE_BLOCK}) f""",
+    "empty_cell_passthrough": _train(visits(first_stratum=True, hole=HOLE_BLOCK), trained("st", 1)) + TRAINED_LONG,
     "permute_ids": _with(DOM) + f"{perm('x', 'nx')} UNION ALL {perm('y', 'ny')}",
     "relabel_ids": _with(DOM, f"px AS ({perm('x', 'nx')})", f"py AS ({perm('y', 'ny')})")
         + """SELECT px.new_id AS x_id, py.new_id AS y_id, rv.rating FROM rv
@@ -223,6 +224,13 @@ ORACLE_SQL: dict[str, str] = {
         + f"""SELECT {bid('rl.x_id', 'dom.nx')} AS bx, {bid('rl.y_id', 'dom.ny')} AS "by", count(*) AS n
         FROM rl, dom GROUP BY 1, 2""",
     "cells_write_read": _with(DOM, GRID) + 'SELECT x_id, y_id, rating, bx, "by" FROM grid',
+    "cells_csv_write_read": _with(DOM, GRID) + 'SELECT x_id, y_id, rating, bx, "by" FROM grid',
+    "factor_lines": _with(DOM, INIT) + f"""SELECT matrix, block, part, string_agg(txt, '' ORDER BY id) AS line FROM (
+        SELECT matrix, id, CASE matrix WHEN 'W' THEN {bid('id', 'nx')} ELSE {bid('id', 'ny')} END AS block, CAST(id // 100000 AS INTEGER) AS part,
+               string_agg(CAST(u // {10**DIGITS} AS VARCHAR) || '.' || lpad(CAST(u % {10**DIGITS} AS VARCHAR), {DIGITS}, '0') || ',', '' ORDER BY k) || ';' AS txt
+        FROM (SELECT matrix, id, k, CAST(round(value * {float(10**DIGITS)}::DOUBLE) AS BIGINT) AS u FROM (SELECT * FROM wl UNION ALL SELECT * FROM hl) f) v, dom
+        GROUP BY matrix, id, nx, ny) r GROUP BY matrix, block, part""",
+    "factor_lines_ceil_decode": _with(DOM, INIT) + INIT_LONG,
     "cell_lines": cell_line_sql('SELECT bx, "by", part, line FROM cl'),
     "cell_lines_decode": _with() + "SELECT x_id, y_id, rating FROM rv",
     "factor_lines_decode": _with(DOM, INIT) + INIT_LONG,

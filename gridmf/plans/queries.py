@@ -17,7 +17,7 @@ from gridmf.operators.domain import domain_sizes, id_domain
 from gridmf.operators.factors import embeddings_as_factors, factors_long, init_factors, side
 from gridmf.operators.relabel import permute_ids, relabel
 from gridmf.operators.score import (DEFAULT_BROADCAST_LIMIT, _maybe_broadcast, attach_factors,
-                                    error_summary, evaluate_grid, predict, predict_grid)
+                                    error_summary, evaluate_grid, evaluate_lines, predict, predict_grid)
 from gridmf.plans import train
 from gridmf.session import scratch_path
 from gridmf.sources import celltext, factortext, files
@@ -30,6 +30,7 @@ EPOCHS = 2
 STEP = train.STEP_SIZE
 DECAY = train.STEP_DECAY
 HOLE_BLOCK = 1
+LINE_BLOCKS, LINE_ROWS = 7, 1000
 DIGITS = 6
 
 
@@ -89,9 +90,28 @@ def q_cell_lines_decode(spark, sf):
     return celltext.decode_cell_lines(q_cell_lines(spark, sf))
 
 
+def q_cells_csv_write_read(spark, sf):
+    """Cells through routed CSV files and their typed reader."""
+    r, nx, ny = _ctx(spark, sf)
+    path = scratch_path(spark, "cells-csv")
+    files.write_cells(blocks.assign_grid(r, nx, ny, N), path, fmt="csv", rows_per_file=1 << 12)
+    return files.read_cells(spark, path, fmt="csv")
+
+
 def q_factor_lines(spark, sf):
+    """Factor lines as text, with fixed decimals."""
+    _, nx, ny = _ctx(spark, sf)
+    return factortext.factor_lines(_init(spark, nx, ny), digits=DIGITS)
+
+
+def q_factor_lines_ceil_decode(spark, sf):
+    """Lossless lines of the ceiling split in ``LINE_BLOCKS`` blocks, through files and back."""
     _, nx, ny = _ctx(spark, sf)
-    return factortext.factor_lines(_init(spark, nx, ny))
+    path = scratch_path(spark, "factor-lines")
+    f = init_factors(spark, nx, ny, K, LINE_BLOCKS, SEED, split=blocks.CEIL)
+    factortext.write_factor_lines(factortext.factor_lines(f, max_rows=LINE_ROWS), path)
+    back = factortext.read_factor_lines(spark, path)
+    return factors_long(factortext.decode_factor_lines(back, nx, ny, LINE_BLOCKS, LINE_ROWS, blocks.CEIL))
 
 
 def q_factor_lines_decode(spark, sf):
@@ -114,8 +134,9 @@ def q_id_domain(spark, sf):
 
 
 def q_block_ids(spark, sf):
-    _, nx, ny = _ctx(spark, sf)
-    return blocks.block_table(spark, nx, ny, N).select("axis", "block")
+    """The blocks of both axes: ids they begin with and hold, and their ratings."""
+    r, nx, ny = _ctx(spark, sf)
+    return blocks.block_ratings(blocks.assign_grid(r, nx, ny, N), nx, ny, N)
 
 
 def q_block_dim(spark, sf):
@@ -252,24 +273,18 @@ def q_ratings_join_w(spark, sf):
 
 
 def q_cell_factor_join(spark, sf):
-    """Cell lines decoded, joined with decoded W/H lines, error per cell."""
+    """Cell lines joined with W and H lines by block, error per cell."""
     r, nx, ny = _ctx(spark, sf)
     cells = blocks.with_order(blocks.assign_grid(r, nx, ny, N), SEED)
-    triples = celltext.decode_cell_lines(celltext.cell_lines(spark, cells, N))
-    model = factortext.decode_factor_lines(factortext.factor_lines(_init(spark, nx, ny)), nx, ny, N)
-    scored = predict(triples, model, num_x_ids=nx, num_y_ids=ny, rank=K)
-    g = blocks.assign_grid(scored, nx, ny, N)
-    return (g.groupBy("bx", "by").agg(F.round(F.sum("sq_error"), 4).alias("sse"),
-                                      F.count(F.lit(1)).alias("n")))
+    out = evaluate_lines(celltext.cell_lines(spark, cells, N), factortext.factor_lines(_init(spark, nx, ny)), nx, ny, N)
+    return out.select("bx", "by", F.round("sse", 4).alias("sse"), "n")
 
 
 def q_embedding_predict(spark, sf):
     """Embeddings as both factor matrices: 64-wide dot products; NULL where an id has no embedding."""
-    r = _rv(spark, sf)
     f = embeddings_as_factors(table(spark, sf, "embeddings"), 1, 1)
-    j = (r.join(side(f, "W").select(F.col("id").alias("x_id"), F.col("vec").alias("w")), "x_id", "left")
-          .join(side(f, "H").select(F.col("id").alias("y_id"), F.col("vec").alias("h")), "y_id", "left"))
-    return j.select("x_id", "y_id", "rating", _r6(dot(F.col("w"), F.col("h"))).alias("prediction"))
+    out = predict(_rv(spark, sf), f, missing="null")
+    return out.select("x_id", "y_id", "rating", _r6(F.col("prediction")).alias("prediction"))
 
 
 def q_sgd_matching_step(spark, sf):
@@ -366,13 +381,13 @@ def q_sweep_train(spark, sf):
 
 
 def q_empty_cell_passthrough(spark, sf):
-    """Ratings without x-block 1: after sub-epoch 0 the factors met by the empty
-    cell (W block 1, H block 1) are unchanged."""
+    """Ratings without x-block 1, after sub-epoch 0: the blocks that meet the empty cell (W 1, H 1) are
+    as they were, all others trained."""
     r, nx, ny = _ctx(spark, sf)
     hole = r.where(bm.block_id(nx, N, "x_id") != HOLE_BLOCK)
     res = train.fit(hole, rank=K, num_blocks=N, epochs=1, step=STEP, decay=DECAY, seed=SEED,
                     sub_epochs=1, init=_init(spark, nx, ny))
-    return factors_long(res.factors.where(F.col("block") == HOLE_BLOCK))
+    return factors_long(res.factors)
 
 
 QUERIES = {
@@ -412,10 +427,12 @@ QUERIES = {
     "relabeled_csv": q_relabeled_csv,
     "relabeled_cell_counts": q_relabeled_cell_counts,
     "cells_write_read": q_cells_write_read,
+    "cells_csv_write_read": q_cells_csv_write_read,
     "cell_lines": q_cell_lines,
     "cell_lines_decode": q_cell_lines_decode,
     "factor_lines": q_factor_lines,
     "factor_lines_decode": q_factor_lines_decode,
+    "factor_lines_ceil_decode": q_factor_lines_ceil_decode,
     "model_write_read": q_model_write_read,
     "step_schedule": q_step_schedule,
     "dsgd_subepoch": q_dsgd_subepoch,

@@ -76,7 +76,7 @@ def decode_cell_lines(lines: DataFrame, column: str = "line", keep: tuple[str, .
     """Triples of cell lines: strip, split on ``;``, drop blanks, split on ``,``; ``keep`` names columns of the line."""
     items = lines.select(*keep, F.explode(F.split(F.trim(F.col(column)), ";")).alias("item"))
     fields = F.split(F.col("item"), ",")
-    return (items.where(F.trim(F.col("item")) != "")
+    return (items.where(F.col("item").rlike(r"\S"))
                  .select(*keep, fields.getItem(0).cast("int").alias("x_id"),
                          fields.getItem(1).cast("int").alias("y_id"),
                          fields.getItem(2).cast("double").alias("rating")))

@@ -44,19 +44,16 @@ def read_ratings_csv(spark: SparkSession, path: str, strict: bool = False) -> Da
     parts = F.split(F.col("value"), ",")
     n_fields = F.size(parts)
     bad = (n_fields != 3) if strict else (n_fields < 3)
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed ratings line: "),
-                                                  F.col("value"))))
+    malformed = F.raise_error(F.concat(F.lit("malformed ratings line: "), F.col("value")))
+
     def field(i: int, kind: str):
-        # ANSI casts already fail on bad text; the guard makes it fail without ANSI too
-        value = parts.getItem(i).cast(kind)
-        return F.coalesce(value, F.raise_error(F.concat(F.lit("malformed ratings line: "),
-                                                         F.col("value"))).cast(kind))
-
-    return lines.select(
-        F.coalesce(checked.cast("int"), field(0, "int")).alias("x_id"),
-        field(1, "int").alias("y_id"),
-        field(2, "double").alias("rating"),
-    )
+        # the line is checked by every column, so by whichever of them a query keeps; ANSI casts
+        # already fail on bad text, the guard makes it fail without ANSI too
+        text = F.when(bad, malformed.cast("string")).otherwise(parts.getItem(i))
+        return F.coalesce(text.cast(kind), malformed.cast(kind))
+
+    return lines.select(field(0, "int").alias("x_id"), field(1, "int").alias("y_id"),
+                        field(2, "double").alias("rating"))
 
 
 def write_ratings_csv(ratings: DataFrame, path: str, mode: str = "error") -> None:

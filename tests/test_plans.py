@@ -134,3 +134,35 @@ def test_balanced_grid_splits_a_hot_cell(spark):
     assert max(max(v) for v in sizes.values()) <= 2 * 500   # hash salts: about even
     assert grid.cells.count() == 9000
     train.drop_grid(spark, grid)
+
+
+def test_predict_without_sizes_ships_no_vectors_with_ratings(spark):
+    """Sizes come from the factor table: broadcast sides, or past the bound narrow rows on a grid; the same rows."""
+    from gridmf.operators import score
+
+    r = spark.createDataFrame(ratings_view(spark, SF_SMALL).collect(), "x_id INT, y_id INT, rating DOUBLE")
+    nx, ny = domain_sizes(r)
+    f = init_factors(spark, nx, ny, 5, 4, 7)
+    assert score.factor_sizes(f) == (nx, ny, 5)
+    small, big = score.predict(r, f), score.predict(r, f, broadcast_limit=0)
+    p = plan(small)
+    assert p.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in p and "hashpartitioning" not in p
+    p = plan(big)
+    # rating rows reach the kernel with an empty vector, and no join looks up factors for them
+    assert "FlatMapGroupsInArrow" in p and "zip_with" not in p and "[x_id" not in p.split("Join [", 1)[1].split("]")[0]
+    assert "cast(array() as array<double>) AS vec" in big._jdf.queryExecution().analyzed().toString()
+    key = lambda x: (x.x_id, x.y_id, x.rating, round(x.prediction, 9))
+    assert sorted(map(key, small.collect())) == sorted(map(key, big.collect()))
+
+
+def test_slots_need_no_window_over_everything(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from gridmf.operators import score
+
+    monkeypatch.setattr(Window, "orderBy", staticmethod(lambda *a: 1 / 0))
+    r = ratings_view(spark, SF_SMALL)
+    nx, ny = domain_sizes(r)
+    info, groups = score.cell_groups(blocks.assign_grid(r, nx, ny, 4), 4, rows_per_group=100)
+    rows = sorted((x.base, x.salts) for x in info.collect())
+    assert rows[0][0] == 0 and all(a + s == b for (a, s), (b, _) in zip(rows, rows[1:])) and sum(rows[-1]) == groups

@@ -149,3 +149,93 @@ def test_csv_bad_field_raises_without_ansi(spark):
         assert triples(read_ratings_csv(spark, write_lines(["1,2,3.0"]))) == [(1, 2, 3.0)]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_strict_csv_checks_the_line_by_every_column(spark):
+    path = write_lines(["1,2,3.5", "1,2,3.5,9"])
+    for column in ("x_id", "y_id", "rating"):
+        with pytest.raises(Exception, match="malformed"):
+            read_ratings_csv(spark, path, strict=True).select(column).collect()
+        assert read_ratings_csv(spark, path).select(column).count() == 2
+    short = write_lines(["1,2,3.5", "1,2"])
+    with pytest.raises(Exception, match="malformed"):
+        read_ratings_csv(spark, short).select("x_id").collect()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_cell_files_are_routed_and_read_back(spark, fmt):
+    import glob
+    import math
+
+    hot = [(0, y % 40, float(y)) for y in range(4000)]
+    rows = [(x % 30, (x * 7) % 40, x / 7) for x in range(1000)] + hot
+    df = spark.createDataFrame(rows, "x_id INT, y_id INT, rating DOUBLE").repartition(16)
+    cells = blocks.assign_grid(df, 30, 40, 3)
+    path = os.path.join(scratch(), "cells")
+    files.write_cells(cells, path, fmt=fmt, rows_per_file=500)
+    for c in blocks.cell_counts(cells).collect():
+        written = glob.glob(f"{path}/bx={c.bx}/by={c.by}/part-*")
+        assert 1 <= len(written) <= math.ceil(c.n / 500)
+    back = files.read_cells(spark, path, fmt=fmt)
+    assert dict(back.dtypes) == {"x_id": "int", "y_id": "int", "rating": "double", "bx": "int", "by": "int"}
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.select("x_id", "y_id", "rating", "bx", "by").collect()))
+    one = files.read_cells(spark, path, bx=1, by=2, fmt=fmt)
+    assert "PartitionFilters: [isnotnull(bx" in one._jdf.queryExecution().executedPlan().toString()
+    assert {(r.bx, r.by) for r in one.collect()} == {(1, 2)}
+
+
+def test_malformed_cell_csv_fails(spark):
+    path = os.path.join(scratch(), "cells")
+    os.makedirs(f"{path}/bx=0/by=0")
+    with open(f"{path}/bx=0/by=0/part-0.csv", "w") as f:
+        f.write("1,2,3.5\n1,x,2.0\n")
+    with pytest.raises(Exception):
+        files.read_cells(spark, path, fmt="csv").collect()
+
+
+@pytest.mark.parametrize("split", [blocks.BALANCED, blocks.CEIL])
+def test_factor_lines_of_both_splits_and_parts(spark, split):
+    f = init_factors(spark, 40, 23, 3, 7, 5, split=split)
+    lines = factortext.factor_lines(f, max_rows=4)
+    back = factortext.decode_factor_lines(lines, 40, 23, 7, max_rows=4, split=split)
+    want = {(r.matrix, r.id): (r.block, tuple(r.vec)) for r in f.collect()}
+    assert {(r.matrix, r.id): (r.block, tuple(r.vec)) for r in back.collect()} == want
+
+
+def test_factor_lines_skip_blanks_and_padding(spark):
+    raw = [("W", 0, 0, " 1.0, ,2.0,; ;3.0,4.0,;;\t;"), ("W", 1, 0, "5.0,6.0,;9.0,9.0,;"), ("H", 0, 0, ""), ("H", 1, 0, "7.5,8.5,; ")]
+    lines = spark.createDataFrame(raw, "matrix string, block int, part int, line string")
+    got = factortext.decode_factor_lines(lines, 3, 2, 2, split=blocks.CEIL)
+    assert sorted((r.matrix, r.id, r.block, list(r.vec)) for r in got.collect()) == [
+        ("H", 1, 1, [7.5, 8.5]), ("W", 0, 0, [1.0, 2.0]), ("W", 1, 0, [3.0, 4.0]), ("W", 2, 1, [5.0, 6.0])]
+
+
+def test_fixed_decimals(spark):
+    f = spark.createDataFrame([("W", 0, 0, [0.5, -0.0000004, -1.25, 12345.678901, 0.9999999])], "matrix string, id int, block int, vec array<double>")
+    assert factortext.factor_lines(f, digits=6).first().line == "0.500000,0.000000,-1.250000,12345.678901,1.000000,;"
+    assert factortext.factor_lines(f, digits=1).first().line == "0.5,0.0,-1.3,12345.7,1.0,;"
+
+
+def test_lines_joined_by_block_equal_the_join(spark):
+    from gridmf.operators.score import evaluate_lines, predict
+
+    rows = [(x % 30, (x * 7) % 23, x / 90) for x in range(900)] + [(29, 22, 1.0)]
+    df = spark.createDataFrame(rows, "x_id INT, y_id INT, rating DOUBLE")
+    for split in (blocks.BALANCED, blocks.CEIL):
+        f = init_factors(spark, 30, 23, 3, 7, 5, split=split)
+        cells = blocks.with_order(blocks.assign_grid(df, 30, 23, 7, split), 7)
+        got = evaluate_lines(celltext.cell_lines(spark, cells, 7, max_triples=10), factortext.factor_lines(f, max_rows=2), 30, 23, 7, split)
+        scored = blocks.assign_grid(predict(df, f), 30, 23, 7, split)
+        want = {(r.bx, r.by): (r.s, r.n) for r in scored.groupBy("bx", "by").agg(F.sum("sq_error").alias("s"), F.count("*").alias("n")).collect()}
+        got = {(r.bx, r.by): (r.sse, r.n) for r in got.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], rel=1e-10) for k in want)
+    lost = factortext.factor_lines(f.where("NOT (matrix = 'H' AND id = 22)"))
+    with pytest.raises(Exception, match="without a factor row"):
+        evaluate_lines(celltext.cell_lines(spark, cells, 7), lost, 30, 23, 7, blocks.CEIL).collect()
+
+
+def test_block_ratings_hold_empty_blocks(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (4, 1, 1.0)], "x_id INT, y_id INT, rating DOUBLE")
+    got = blocks.block_ratings(blocks.assign_grid(df, 5, 2, 3), 5, 2, 3).collect()
+    assert sorted(map(tuple, got)) == [("x", 0, 0, 2, 2), ("x", 1, 2, 2, 0), ("x", 2, 4, 1, 1), ("y", 0, 0, 1, 1), ("y", 1, 1, 1, 2), ("y", 2, 2, 0, 0)]
