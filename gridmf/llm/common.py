@@ -44,3 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """Total bytes of a text column (one aggregate row)."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(col).cast("long")), F.lit(0))).first()[0])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for internal columns that no column has, in any case, nor each other."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

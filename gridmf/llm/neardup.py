@@ -11,12 +11,14 @@ log-likelihood of ``SURE``.  What stays is confirmed on the full sets: 100 |A &
 
 Equal sets are one class from the start, so copies are never expanded.  Buckets are not expanded into all
 pairs either: every member meets the bucket's leaders (its least and its greatest member, then
-a hash-picked one), confirmed links join components, and only members of one bucket that are still in different
-components are compared pairwise at the end, inside a join whose condition looks at set sizes and at one bit of 256
-registers (at similarity 0.75 fewer than ``LEAST_BITS`` agree with odds of 1 in 100,000).  Such a comparison is between a member of the
-smaller component and the whole larger one, in chunks of ``CHUNK`` full sets, and yields one link a chunk: a component has
-many members close to the bound, but one link joins it.  Links between components that are already one change
-nothing, so the components are exactly those of all links between bucket mates.
+a hash-picked one), and confirmed links join components.  Members of one bucket that are still in different
+components are open; open nodes that share buckets are a cluster, so that a pair meets once and not in every bucket they share.
+A cluster is dealt by hash into parts of bounded bytes, a part for about every ``PART_NODES`` square roots of its nodes, and each two
+parts meet in one group, whose rows are the parts' nodes with sketch and full set: rows follow the clusters' sizes,
+not their pairs.  Inside a group numpy compares set sizes and one bit of 256 registers (at similarity 0.75 fewer than ``LEAST_BITS``
+agree with odds of 1 in 100,000), then the joint likelihood, then the full sets, of pairs whose
+components no link of the group has joined yet, and one link for two components comes out.  Links within
+a component change nothing, so the components are exactly those of all links between bucket mates.
 
 Nothing is gathered on the driver or in one task: buckets, classes and components are aggregates and equi-joins
 (adaptive execution splits hot keys); intermediate tables are written to the shared folder.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import stored, table
+from gridmf.llm.common import stored, table, unused
 from gridmf.llm.words import find, mix, seeds, shingles, slices, words
 
 SHINGLE = 5
@@ -47,7 +49,8 @@ SURE = 12.0
 STAR_ROUNDS = 1
 BIT_WORDS, LEAST_BITS = 4, 200
 BROADCAST_ROWS = 100_000
-CHUNK = 16
+PART_NODES, PART_BYTES = 8, 8 << 20
+COMPARED = 1 << 20
 _MULT = (seeds(M, 41) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (seeds(M, 43) >> np.uint64(32)).astype(np.uint32)
 _BAND = seeds(BANDS, 47)
@@ -143,20 +146,6 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(each, "key long, node long")
 
 
-def _with_bits(nodes: DataFrame) -> DataFrame:
-    """(node, n, regs, b0 ...): sketches with their register bits."""
-    def each(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = register_bits(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16))
-            cols = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BIT_WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *(f"b{i}" for i in range(BIT_WORDS))])
-
-    return nodes.select("node", "h", "n", "regs").mapInArrow(
-        each, "node long, h long, n long, regs binary, " + ", ".join(f"b{i} long" for i in range(BIT_WORDS)))
-
-
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose ``node`` is in ``wanted``; the ids are broadcast if a count shows that they are few."""
     few = wanted.count() <= BROADCAST_ROWS
@@ -240,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("size > 1").select("key", "lo", "hi")
     members = stored(_bands(nodes).join(buckets, "key"), "buckets")
     met = members.select("node").distinct()
-    sketches = stored(_with_bits(nodes.join(met, "node", "left_semi")), "sketches")
+    sketches = stored(nodes.join(met, "node", "left_semi").select("node", "h", "n", "regs"), "sketches")
     sets = stored(_full_sets(docs, sketches), "sets")
 
     def pair(x, y):
@@ -255,8 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         lead = members.groupBy("key").agg(F.min(F.struct(pick.alias("p"), "node", "label")).alias("l")) \
             .select("key", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
         star = members.join(lead, "key").where("label <> lead_label").select(*pair(F.col("node"), F.col("lead"))).distinct()
-        links, label = _more(links, label, _confirmed(star, sketches, sets, f"star{turn}"))
-    links, label = _more(links, label, _between(_open_buckets(members, label), label, sketches, sets))
+        label = _joined(label, _confirmed(star, sketches, sets, f"star{turn}"))
+    label = _joined(label, _between(_open_buckets(members, label), sketches, sets))
     of_node = nodes.select("node", "cls", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = of_node.join(least, "label").select("cls", "component_id")
@@ -266,54 +255,82 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _between(rest: DataFrame, label: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the components that share buckets: ``rest`` has the members of open buckets and their labels."""
-    bits = [f"b{i}" for i in range(BIT_WORDS)]
-    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    rest = rest.join(sketches.select("node", "n", *bits), "node").join(size, "label", "left") \
-        .withColumn("size", F.coalesce("size", F.lit(1)))
-    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "size", *bits)])
-    agree = sum((F.lit(64) - F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in bits), F.lit(0))
-    into = F.struct("size", "label") < F.struct(F.col("size_2").alias("size"), F.col("label_2").alias("label"))
-    near = into & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2")) & (agree >= LEAST_BITS)
-    asked = stored(rest.join(other, (rest["key"] == other["key"]) & near)
-                   .select(F.col("node").alias("a"), F.col("label_2").alias("label"), "size_2").distinct(), "asked")
-    targets = asked.select("label", "size_2").distinct()
-    # a component's members, or the node alone where it has no links yet
-    members = label.join(targets, "label").select("label", "node", "size_2") \
-        .union(targets.where("size_2 = 1").select("label", F.col("label").alias("node"), "size_2")).distinct()
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size_2") / CHUNK)).alias("chunk")
-    chunks = members.select("label", chunk, "node").join(sets, "node").groupBy("label", "chunk") \
-        .agg(F.collect_list(F.struct("node", "s")).alias("m")).select("label", "m")
-
-    def confirm(batches):
-        for batch in batches:
-            out = []
-            for a, s, m in zip(batch.column("a").to_pylist(), batch.column("s"), batch.column("m")):
-                x = np.frombuffer(s.as_py(), np.uint64)
-                nodes = m.values.field("node").to_numpy(zero_copy_only=False)
-                each = [np.frombuffer(y, np.uint64) for y in m.values.field("s").to_pylist()]
-                n = np.array([len(y) for y in each])
-                fits = np.flatnonzero(100 * np.minimum(n, len(x)) >= PERCENT * np.maximum(n, len(x)))
-                if not len(fits):
+def _between(rest: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b), one for two components, among the open members ``rest`` (key, node, label) of each cluster."""
+    first = rest.groupBy("key").agg(F.min("node").alias("lead"))
+    cluster = components(rest.join(first, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    nodes = rest.select("node", "label").distinct().join(cluster.select("node", F.col("label").alias("cluster")), "node") \
+        .join(sketches.select("node", "n", "regs"), "node").join(sets, "node")
+    nodes = stored(nodes, "open-nodes")
+    size = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("s") + F.octet_length("regs")).alias("bytes"))
+    parts = F.greatest(F.lit(1), F.ceil(F.sqrt("m") / PART_NODES), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")
+    dealt = nodes.join(size.select("cluster", parts.alias("parts")), "cluster") \
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
+        .select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "n", "regs", "s")
+    return stored(dealt.groupBy("cluster", "lo", "hi").applyInArrow(_links_of_parts, "a long, b long"), "between-links")
+
+
+def _links_of_parts(rows: pa.Table) -> pa.Table:
+    """Links of two parts of a cluster (or of one part), one for two components."""
+    rows = rows.combine_chunks()
+    part, node, label, n = (rows.column(c).to_numpy() for c in ("part", "node", "label", "n"))
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+    bits = register_bits(regs).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("s").to_pylist()]
+    ours = np.flatnonzero(part == part.min())
+    theirs = np.flatnonzero(part != part.min())
+    inside = not len(theirs)
+    if inside:
+        theirs = ours
+    root = {int(x): int(x) for x in np.unique(label)}
+
+    def find_root(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    step = max(1, COMPARED // max(len(theirs), 1))
+    for lo in range(0, len(ours), step):
+        mine = ours[lo:lo + step]
+        near = (100 * np.minimum(n[mine][:, None], n[theirs]) >= PERCENT * np.maximum(n[mine][:, None], n[theirs]))
+        near &= label[mine][:, None] != label[theirs]
+        if inside:
+            near &= mine[:, None] < theirs
+        agree = np.full(near.shape, 64 * BIT_WORDS, np.uint16)
+        for w in range(BIT_WORDS):
+            agree -= np.bitwise_count(bits[mine, w][:, None] ^ bits[theirs, w])
+        i, j = np.nonzero(near & (agree >= LEAST_BITS))
+        i, j = mine[i], theirs[j]
+        for at in range(0, len(i), 2048):
+            x, y = i[at:at + 2048], j[at:at + 2048]
+            maybe = likely(regs[x], regs[y], n[x].astype(float), n[y].astype(float))
+            for a, b in zip(x[maybe].tolist(), y[maybe].tolist()):
+                ra, rb = find_root(int(label[a])), find_root(int(label[b]))
+                if ra == rb:
                     continue
-                hit = find(x, np.concatenate([each[i] for i in fits])) >= 0
-                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[fits]) - n[fits])
-                linked = fits[100 * both >= PERCENT * (n[fits] + len(x) - both)]
-                if len(linked):
-                    out.append((a, int(nodes[linked[0]])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    own = asked.select("a", "label").join(sets.select(F.col("node").alias("a"), "s"), "a")
-    return stored(own.join(chunks, "label").select("a", "s", "m").mapInArrow(confirm, "a long, b long"), "between-links")
+                short, long = sorted((sets[a], sets[b]), key=len)
+                both = int(np.count_nonzero(find(long, short) >= 0))
+                if 100 * both >= PERCENT * (len(short) + len(long) - both):
+                    links.append((int(node[a]), int(node[b])))
+                    root[max(ra, rb)] = min(ra, rb)
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _more(links: DataFrame, label: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and component labels with new links added."""
+def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, label) with the components that new links (a, b) join; nodes in no link yet are their own label."""
     if new.isEmpty():
-        return links, label
-    return links.union(new).distinct(), components(links.union(new))
+        return label
+    ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti")
+    known = label.unionByName(ends.select("node", F.col("node").alias("label")))
+    edges = new
+    for side in ("a", "b"):
+        edges = edges.join(known.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
+    merged = components(edges.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    return stored(known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+                  .select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
 def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -341,12 +358,13 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns: of each component the document with the least doc_id (one row), and all rows without words."""
-    found = near_duplicates(docs).where("kept OR n_shingles = 0").groupBy("doc_id", "h").agg(F.max("n_shingles").alias("_n"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_n")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-    one = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    return kept.withColumn("_turn", F.row_number().over(one)).where("_n = 0 OR _turn = 1").select(*docs.columns)
+    ident, h, n, key, turn = unused(docs.columns, "id", "h", "n", "key", "turn")
+    found = near_duplicates(docs).where("kept OR n_shingles = 0").groupBy("doc_id", "h").agg(F.max("n_shingles").alias(n))
+    found = found.select(F.col("doc_id").alias(ident), F.col("h").alias(h), n)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(h)))
+    one = Window.partitionBy(ident, h).orderBy(F.lit(0))
+    return kept.withColumn(turn, F.row_number().over(one)).where((F.col(n) == 0) | (F.col(turn) == 1)).select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

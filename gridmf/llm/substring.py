@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import small_batches, table
+from gridmf.llm.common import small_batches, table, unused
 from gridmf.llm.words import SPACE, hash_runs, seeds, slices
 
 REACH = 20
@@ -96,10 +96,10 @@ def chunks(buf: np.ndarray, offs: np.ndarray, reach: int = REACH, longest: int =
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the document key: ``_id`` (null: smallest) and ``_h`` (hash of the text)."""
-    return (docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
-            .withColumn("_h", F.xxhash64(F.col("text").cast("string"))))
+def _keyed(docs: DataFrame, ident: str, h: str) -> DataFrame:
+    """Adds the document key: ``ident`` (null: smallest) and ``h`` (hash of the text)."""
+    return (docs.withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
+            .withColumn(h, F.xxhash64(F.col("text").cast("string"))))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     [pa.array(hash_runs(buf, s, e).view(np.int64)), pa.array(ids[lo + doc]), pa.array(hs[lo + doc]), pa.array(place)],
                     names=["digest", "id", "h", "place"])
 
-    return _keyed(docs).select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("text").cast("string").alias("text")) \
+    return _keyed(docs.select("doc_id", "text"), "id", "h").select("id", "h", F.col("text").cast("string").alias("text")) \
         .where("text IS NOT NULL AND text <> ''").mapInArrow(each, "digest long, id long, h long, place long")
 
 
@@ -172,19 +172,20 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every column and row; ``text`` without its repeated passages (and ``n_chars``, if there, recounted)."""
-    spans = repeats(docs, min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"),
-                                            F.col("spans.start").alias("_start"), F.col("spans.length").alias("_length"))
-    joined = _keyed(docs).join(spans, ["_id", "_h"], "left")
+    ident, h, start, length = unused(docs.columns, "id", "h", "start", "length")
+    spans = repeats(docs, min_words).select(F.col("id").alias(ident), F.col("h").alias(h),
+                                            F.col("spans.start").alias(start), F.col("spans.length").alias(length))
+    joined = _keyed(docs, ident, h).join(spans, [ident, h], "left")
     schema = docs.schema
     at = docs.columns.index("text")
 
     def each(batches):
         for batch in batches:
-            hit = np.flatnonzero(batch.column("_start").is_valid().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(batch.column(start).is_valid().to_numpy(zero_copy_only=False))
             out = batch.select(docs_columns)
             if len(hit):
                 texts = out.column(at).to_pylist()
-                starts, lengths = batch.column("_start"), batch.column("_length")
+                starts, lengths = batch.column(start), batch.column(length)
                 for i in hit.tolist():
                     raw, kept, end = texts[i].encode(), [], 0
                     for s, n in zip(starts[i].as_py(), lengths[i].as_py()):
@@ -195,7 +196,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield out
 
     docs_columns = docs.columns
-    cut = joined.select(*docs_columns, "_start", "_length").mapInArrow(each, schema)
+    cut = joined.select(*docs_columns, start, length).mapInArrow(each, schema)
     if "n_chars" in docs_columns:
         kind = schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind)).select(*docs_columns)
