@@ -10,9 +10,9 @@ smaller, equal; set sizes known): a pair goes only if 0.75 is less likely than t
 log-likelihood of ``SURE``.  What stays is confirmed on the full sets: 100 |A & B| >= 75 |A u B|.
 
 Equal sets are one class from the start, so copies are never expanded.  Buckets are not expanded into all
-pairs either: every member meets the bucket's leaders (its least and its greatest member, then
-a hash-picked one), and confirmed links join components.  Members of one bucket that are still in different
-components are open; open nodes that share buckets are a cluster, so that a pair meets once and not in every bucket they share.
+pairs either: in one bucket of ``FIRST`` (by its key) every member meets the least one, and confirmed links join components.
+Then, of all buckets, those whose members are in different components are open, and their members meet a hash-picked
+one of another component, ``STAR_ROUNDS`` times.  What is still open after that is compared in full: open nodes that share buckets are a cluster, so that a pair meets once and not in every bucket they share.
 A cluster is dealt by hash into parts of bounded bytes, a part for about every ``PART_NODES`` square roots of its nodes, and each two
 parts meet in one group, whose rows are the parts' nodes with sketch and full set: rows follow the clusters' sizes,
 not their pairs.  Inside a group numpy compares set sizes and one bit of 256 registers (at similarity 0.75 fewer than ``LEAST_BITS``
@@ -46,7 +46,7 @@ BANDS, ROWS = 64, 6
 M = BANDS * ROWS
 BASE, A, Q = 1.001, 20.0, (1 << 16) - 2
 SURE = 12.0
-STAR_ROUNDS = 1
+FIRST, STAR_ROUNDS = 8, 2
 BIT_WORDS, LEAST_BITS = 4, 200
 BROADCAST_ROWS = 100_000
 PART_NODES, PART_BYTES = 8, 8 << 20
@@ -146,6 +146,11 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(each, "key long, node long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of pairs (a, b), made distinct on either side before they meet."""
+    return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+
+
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose ``node`` is in ``wanted``; the ids are broadcast if a count shows that they are few."""
     few = wanted.count() <= BROADCAST_ROWS
@@ -178,10 +183,10 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     ids = stored(pairs, f"{name}-pairs")
-    wanted = ids.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = _ends(ids)
     maybe = attach(ids, _only(sketches, wanted), ["regs", "n"]).mapInArrow(judge, "a long, b long")
     maybe = stored(maybe, f"{name}-maybe")
-    wanted = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = _ends(maybe)
     return stored(attach(maybe, _only(sets, wanted), ["s"]).mapInArrow(confirm, "a long, b long"), f"{name}-links")
 
 
@@ -225,8 +230,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n").alias("n"),
                                                           F.first("regs").alias("regs"))
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = _bands(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")) \
-        .where("size > 1").select("key", "lo", "hi")
+    buckets = _bands(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")) \
+        .where("size > 1").select("key", "lead")
     members = stored(_bands(nodes).join(buckets, "key"), "buckets")
     met = members.select("node").distinct()
     sketches = stored(nodes.join(met, "node", "left_semi").select("node", "h", "n", "regs"), "sketches")
@@ -235,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    star = members.select("node", F.explode(F.array("lo", "hi")).alias("lead")).where("node <> lead")
+    star = members.where((F.pmod("key", F.lit(FIRST)) == 0) & (F.col("node") != F.col("lead")))
     links = _confirmed(star.select(*pair(F.col("node"), F.col("lead"))).distinct(), sketches, sets, "star")
     label = components(links)
     for turn in range(STAR_ROUNDS):
@@ -323,7 +328,7 @@ def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
     """(node, label) with the components that new links (a, b) join; nodes in no link yet are their own label."""
     if new.isEmpty():
         return label
-    ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti")
+    ends = _ends(new).join(label, "node", "left_anti")
     known = label.unionByName(ends.select("node", F.col("node").alias("label")))
     edges = new
     for side in ("a", "b"):
