@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
     for turn in range(STAR_ROUNDS):
         members = _open_buckets(members, label)
-        pick = F.xxhash64("node", "key", F.lit(turn))
-        lead = members.groupBy("key").agg(F.min(F.struct(pick.alias("p"), "node", "label")).alias("l")) \
+        # one order of nodes for all buckets, so that a node meets few different leads
+        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "label")).alias("l")) \
             .select("key", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
         star = members.join(lead, "key").where("label <> lead_label").select(*pair(F.col("node"), F.col("lead"))).distinct()
         label = _joined(label, _confirmed(star, sketches, sets, f"star{turn}"))
