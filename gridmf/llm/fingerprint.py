@@ -1,19 +1,20 @@
 """Document fingerprints by a homomorphic multiset hash (DataFrame functions only).
 
-A text is a multiset of paragraphs (lines), a paragraph the multiset of its sentences; a
-piece is trimmed, empty pieces do not count.  Each piece is hashed to a wide vector of
-``LANES`` = 80 lanes holding 0 or 1 (bits of two 64-bit hashes), a paragraph's vector is the
-sum over its pieces, a text's the sum over its paragraphs, each lane modulo 2**30.  So the order
-of paragraphs does not matter, a paragraph is inserted by adding its vector and deleted by
-subtracting it (``combine``), and equal multisets have equal sums.  Two lanes share a BIGINT
-word (30 bits each) and words count modulo 2**60: 40 words and the piece count are the
-fingerprint.  No text Spark can hold has 2**30 pieces, so lanes never run over.
-
-``likeness``: lanes centred to +-1 are random signs, so the inner product of two fingerprints
-estimates the number of common pieces; it is divided by the larger piece count and clipped to
+A text is a multiset of paragraphs (lines, trimmed; blank ones do not count).  A fingerprint has two parts:
+
+* equality: each paragraph is hashed whole to ``PARAGRAPH_LANES`` = 8 lanes of 32 bits (four 64-bit hashes), summed
+  modulo 2**32.  'A. B.' over 'C.' and 'A.' over 'B. C.' differ, paragraphs in another order do not.
+* likeness: each sentence of a paragraph is hashed to ``LANES`` = 80 lanes holding 0 or 1 (bits of two 64-bit
+  hashes), summed modulo 2**30.  Two lanes share a BIGINT word: 40 words.  No text Spark can hold has 2**30 sentences.
+
+Both parts are sums over paragraphs: a paragraph is inserted by adding its vector and deleted by subtracting it
+(``combine``), and equal multisets of paragraphs have equal fingerprints.
+
+``likeness``: sentence lanes centred to +-1 are random signs, so the inner product of two fingerprints
+estimates the number of common sentences; it is divided by the larger sentence count and clipped to
 0..1; equal fingerprints give exactly 1, one empty text against a non-empty one 0.
 
-Pieces are exploded and summed by a plain ``groupBy`` (generated code).  In the contract's query
+Sentences are exploded (the first of a paragraph carries the paragraph) and summed by a plain ``groupBy`` (generated code).  In the contract's query
 the texts are shuffled once, by ranges of doc_id; the sums and the neighbours' vectors are
 found inside that partitioning.
 
@@ -34,43 +35,61 @@ LANES = 2 * WORDS_PER_HASH * 2
 MASK = (1 << 60) - 1
 LANE = (1 << BITS) - 1
 ONES = 1 | (1 << BITS)
-SPLIT = r"\n|(?<=[.!?]) "
+SENTENCES = r"(?<=[.!?]) "
 FIELDS = [(h, k, f"v{h}_{k}") for h in (0, 1) for k in range(WORDS_PER_HASH)]
+PARAGRAPH_LANES = 8
+WHOLE = [f"p{k}" for k in range(PARAGRAPH_LANES)]
+WIDE = (1 << 32) - 1
 
 
 def pieces(text: Column) -> Column:
-    """Trimmed, non-empty sentences of all paragraphs."""
-    return F.filter(F.transform(F.split(text, SPLIT), F.trim), lambda x: x != "")
+    """(sentence, paragraph) of all trimmed, non-blank sentences; ``paragraph`` only beside its first sentence."""
+    def solid(parts: Column) -> Column:
+        return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+    return F.flatten(F.transform(solid(F.split(text, "\n")), lambda p: F.transform(
+        solid(F.split(p, SENTENCES)), lambda s, i: F.struct(s.alias("sentence"), F.when(i == 0, p).alias("paragraph")))))
 
 
 def summed(parts: DataFrame, keys: list[str], piece: str = "piece") -> DataFrame:
-    """``keys`` and the summed vector ``vec`` of rows with one piece (or null) each."""
-    h = parts.withColumn("h0", F.xxhash64(piece)).withColumn("h1", F.xxhash64(piece, F.lit("second")))
-    one = F.col(piece).isNotNull()
-    bit = {f: F.when(one, F.shiftrightunsigned(F.col(f"h{i}"), k).bitwiseAND(F.lit(ONES))).otherwise(0)
+    """``keys`` and the summed vector ``vec`` of rows with one of ``pieces`` (or null) each."""
+    sentence, whole = F.col(piece)["sentence"], F.col(piece)["paragraph"]
+    h = parts.select(*keys, sentence.isNotNull().alias("one"), whole.isNotNull().alias("starts"),
+                     F.xxhash64(sentence).alias("h0"), F.xxhash64(sentence, F.lit("second")).alias("h1"),
+                     *[F.xxhash64(F.lit(k), whole).alias(f"w{k}") for k in range(PARAGRAPH_LANES // 2)])
+    bit = {f: F.when(F.col("one"), F.shiftrightunsigned(F.col(f"h{i}"), k).bitwiseAND(F.lit(ONES))).otherwise(0)
            for i, k, f in FIELDS}
-    g = h.groupBy(*keys).agg(F.count(piece).alias("n"), *[F.sum(c).alias(f) for f, c in bit.items()])
-    return g.select(*keys, F.struct("n", *[F.col(f).bitwiseAND(F.lit(MASK)).alias(f) for *_, f in FIELDS]).alias("vec"))
+    # a lane of 32 bits in a BIGINT sum: 2**31 paragraphs do not run over
+    wide = {f: F.when(F.col("starts"), F.shiftrightunsigned(F.col(f"w{k // 2}"), 32 * (k % 2)).bitwiseAND(F.lit(WIDE))).otherwise(0)
+            for k, f in enumerate(WHOLE)}
+    g = h.groupBy(*keys).agg(F.count_if("one").alias("n"), F.count_if("starts").alias("paragraphs"),
+                             *[F.sum(c).alias(f) for f, c in {**bit, **wide}.items()])
+    return g.select(*keys, F.struct("n", "paragraphs", *[F.col(f).bitwiseAND(F.lit(MASK)).alias(f) for *_, f in FIELDS],
+                                    *[F.col(f).bitwiseAND(F.lit(WIDE)).alias(f) for f in WHOLE]).alias("vec"))
 
 
 def combine(a: Column, b: Column, remove: bool = False) -> Column:
     """Vector of a text with another's paragraphs inserted (or deleted), from the vectors alone.
 
-    Lane-wise modulo 2**30: a subtraction borrows from no neighbour.
+    Lane-wise modulo 2**30 and 2**32: a subtraction borrows from no neighbour.
     """
+    def both(f):
+        return a[f] - b[f] if remove else a[f] + b[f]
+
     def word(f):
         lanes_of = [(F.shiftrightunsigned(a[f], BITS * i).bitwiseAND(F.lit(LANE)),
                      F.shiftrightunsigned(b[f], BITS * i).bitwiseAND(F.lit(LANE))) for i in (0, 1)]
         lo, hi = [(x - y if remove else x + y).bitwiseAND(F.lit(LANE)) for x, y in lanes_of]
         return (lo + F.shiftleft(hi, BITS)).alias(f)
 
-    n = a["n"] - b["n"] if remove else a["n"] + b["n"]
-    return F.struct(n.alias("n"), *[word(f) for *_, f in FIELDS])
+    return F.struct(both("n").alias("n"), both("paragraphs").alias("paragraphs"), *[word(f) for *_, f in FIELDS],
+                    *[both(f).bitwiseAND(F.lit(WIDE)).alias(f) for f in WHOLE])
 
 
 def fingerprint(vec: Column) -> Column:
-    """The vector as text: piece count, then 15 hex digits a word."""
-    return F.concat_ws("", F.lower(F.hex(vec["n"])), F.lit("-"),
+    """The vector as text: paragraph count, 8 hex digits a paragraph lane, sentence count, 15 hex digits a sentence word."""
+    return F.concat_ws("", F.lower(F.hex(vec["paragraphs"])), F.lit("-"), *[F.lpad(F.lower(F.hex(vec[f])), 8, "0") for f in WHOLE],
+                       F.lit("-"), F.lower(F.hex(vec["n"])), F.lit("-"),
                        *[F.lpad(F.lower(F.hex(vec[f])), 15, "0") for *_, f in FIELDS])
 
 

@@ -191,6 +191,31 @@ def test_fingerprint_ignores_order_and_updates(spark):
     assert less == f[3]
 
 
+def test_fingerprints_tell_paragraphs_apart(spark):
+    texts = ["A. B.\nC.", "A.\nB. C.", "C.\n\n  A. B. ", "A. B.\nC.\nC.", None, "", " \n "]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    f = {r.doc_id: r.fingerprint for r in fingerprint.document_fingerprints(d).collect()}
+    assert f[0] == f[2] == f[None] and len({f[0], f[1], f[3], f[4]}) == 4 and f[4] == f[5] == f[6]
+
+
+def test_likeness_follows_the_share_of_common_sentences(spark):
+    """Both likenesses against the exact share of common sentences (larger count), within 4.5 standard errors."""
+    def share(a, b):
+        x, y = ([s.strip() for p in t.split("\n") for s in re.split(r"(?<=[.!?]) ", p) if s.strip()] for t in (a, b))
+        return sum(min(x.count(s), y.count(s)) for s in set(x)) / max(len(x), len(y), 1)
+
+    line = [" ".join(prose(6, 700 + i) + "." for i in range(k, k + 3)) for k in range(0, 300, 3)]
+    texts = {9: "\n".join(line[:40]), 8: "\n".join(line[:40]), 7: "\n".join(line[20:60]), 6: "\n".join(line[60:])}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    order = sorted(texts, reverse=True)
+    for r in fingerprint.edited_fingerprints(d).collect():
+        text, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(text) // 2
+        assert r.near_next == pytest.approx(share(text, after), abs=0.5)
+        assert r.near_edited == pytest.approx(share(text, text[:len(text) - half] + after[:half]), abs=0.5)
+        assert (r.near_next == 1.0) == (r.doc_id == 9)
+
+
 def expected_ids(text, end):
     return np.array([*encoder(default_path()).plain(text or ""), end], "<u4")
 
@@ -223,6 +248,23 @@ def test_token_files_round_trip(spark, docs, empty):
         ids = expected_ids(t, 2)
         assert (r.start, r.n_tokens) == (start, len(ids)) and np.array_equal(np.frombuffer(r.ids, "<u4"), ids)
         start += len(ids)
+    path = scratch_path(spark, "tokens-empty")
+    tokenfile.write_token_files(empty, default_path(), path)
+    assert tokenfile.read_token_files(spark, path).count() == 0
+    path = scratch_path(spark, "tokens-null")
+    tokenfile.write_token_files(spark.createDataFrame([(None, "a b"), (-3, "c"), (None, None)], "doc_id long, text string"), default_path(), path)
+    rows = sorted(tokenfile.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -3] and [r.n_tokens for r in rows][0] == 1
+
+
+def test_part_starts_are_prefix_sums(spark):
+    r = random.Random(8)
+    for groups in (1, 3, 1024):
+        rows = [(p, r.randint(1, 2**40)) for p in r.sample(range(200), 60) for _ in range(2)]
+        shards = spark.createDataFrame(rows, "part int, n_ids long")
+        got = {x.part: x.part_start for x in tokenfile.part_starts(shards, groups).collect()}
+        assert got == {p: sum(n for q, n in rows if q < p) for p, _ in rows}
+    assert tokenfile.part_starts(shards.where("false")).count() == 0
 
 
 def test_shard_blocks_with_outliers():
