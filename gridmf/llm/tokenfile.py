@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import shuffle_partitions, table, text_bytes
+from gridmf.llm.common import shuffle_partitions, stored, table, text_bytes
 from gridmf.llm.tokens import default_path, encoder, with_end
 from gridmf.session import scratch_path
 
@@ -41,6 +41,7 @@ PERCENTILE = 0.95
 END_ID = 2
 SHARD_IDS = 1 << 20
 PART_BYTES = 16 << 20
+GROUPS = 1024
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIQQQ")
 NO_ID = -(1 << 63)
@@ -173,12 +174,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
      .write.option("compression", "uncompressed").parquet(out))
 
 
+def part_starts(shards: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(part, part_start): the ids in all parts before each part, by sums within groups of parts and over the groups."""
+    last = shards.agg(F.max("part")).first()[0]
+    size = -(-((last or 0) + 1) // groups)
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("g", F.floor(F.col("part") / size).cast("int"))
+    of_group = {r.g: r.n for r in totals.groupBy("g").agg(F.sum("n").alias("n")).collect()}  # at most ``groups`` rows
+    starts, total = [], 0
+    for g in range(max(of_group, default=0) + 1):
+        starts.append(total)
+        total += of_group.get(g, 0)
+    within = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
+    return totals.select("part", (within + F.get(F.lit(starts).cast("array<bigint>"), F.col("g"))).alias("part_start"))
+
+
 def read_token_files(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, decoded from the shards; ids little-endian unsigned 32-bit."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # one row per part: their number is the number of partitions written
-    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.withColumn("part_start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
+    before = stored(part_starts(shards), "token-parts")
 
     def each(batches):
         for batch in batches:
@@ -194,7 +207,8 @@ def read_token_files(spark, path: str) -> DataFrame:
                     [doc_ids, pa.array(offs[:-1] + start), pa.array(shard.counts), data.cast(pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = shards.join(F.broadcast(before), "part").select((F.col("part_start") + F.col("base")).alias("start"), "payload")
+    # a written table: its size decides whether it is broadcast
+    placed = shards.join(before, "part").select((F.col("part_start") + F.col("base")).alias("start"), "payload")
     return placed.mapInArrow(each, "doc_id long, start long, n_tokens long, ids binary")
 
 
