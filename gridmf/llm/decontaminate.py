@@ -11,9 +11,11 @@ items are CGK-embedded: a random walk reads the string with 3 L steps, copying t
 moving on by a random bit that depends on step and byte, which turns edits into Hamming distance.
 ``WALKS`` walks with ``SAMPLES`` samples of ``BITS`` positions each are the LSH: a window is a candidate if it
 agrees with the item in all positions of some sample.  Positions where the walk already ran off both strings
-are not sampled, so exact copies always collide.  The target is a recall of ``TARGET`` over items of ``LONG`` bytes and more
-edited by up to ``max_edit_rate``; tests/llm/test_recall.py measures it.  An item of under ``SHORT_GRAM`` bytes counts only where no
-letter or digit goes on beside it.
+are not sampled, so exact copies always collide.  Two walks drift apart with the number of edits they have passed, so an
+item of ``2 * PIECE`` bytes or more is embedded in pieces of ``PIECE`` to ``2 * PIECE`` bytes, each against the piece's place in the window
+that the anchor gives; one piece that agrees makes the window a candidate, so recall does not fall with length.
+The target is a recall of ``TARGET`` over items of any length edited by up to ``max_edit_rate``; tests/llm/test_recall.py
+measures it from 5 to 1000 words.  An item of under ``SHORT_GRAM`` bytes counts only where no letter or digit goes on beside it.
 Candidates are verified exactly: the least edit distance of the whole item to any
 stretch of the window widened by the allowed edits must be at most ``max_edit_rate`` * L.
 
@@ -38,6 +40,7 @@ ANCHORS = 32
 GRAM = 8
 SHORT_GRAM = 5
 LONG = 64
+PIECE = 64
 WALKS = 2
 SAMPLES = 40
 BITS = 3
@@ -112,7 +115,14 @@ class Block:
         self.mult = seeds(BITS, seed + 1) | np.uint64(1)
         flat = np.frombuffer(b"".join(self.texts), np.uint8) if self.texts else np.zeros(0, np.uint8)
         first = np.cumsum(self.size) - self.size
-        self.keys = self.lsh(flat, first, self.size) if len(self.size) else np.zeros((0, WALKS * SAMPLES), np.uint64)
+        # piece j of an item of k pieces covers its bytes j * size // k to (j + 1) * size // k
+        self.pieces = np.maximum(self.size // PIECE, 1)
+        self.piece_from = np.append(0, np.cumsum(self.pieces))
+        of = np.repeat(np.arange(len(self.size)), self.pieces)
+        j = np.arange(len(of)) - self.piece_from[of]
+        self.piece_low = j * self.size[of] // self.pieces[of]
+        self.piece_size = (j + 1) * self.size[of] // self.pieces[of] - self.piece_low
+        self.keys = self.lsh(flat, first[of] + self.piece_low, self.piece_size) if len(of) else np.zeros((0, WALKS * SAMPLES), np.uint32)
         found: dict[int, list] = {}
         self.anchors = np.zeros(len(self.texts), np.int64)
         for i, t in enumerate(self.texts):
@@ -141,7 +151,7 @@ class Block:
 
     def lsh(self, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """LSH keys of windows ``text[first : first + size]`` (beyond the text: zero bytes), windows x samples."""
-        out = np.zeros((len(first), WALKS * SAMPLES), np.uint64)
+        out = np.zeros((len(first), WALKS * SAMPLES), np.uint32)
         order = np.argsort(size, kind="stable")
         first, size = first[order].astype(np.int32), size[order].astype(np.int32)
         padded = np.append(text, np.zeros(int(size[-1]) + 1 if len(size) else 1, np.uint8))
@@ -164,7 +174,7 @@ class Block:
                     got[here] = c[rows_of[ends[j]:ends[j + 1]] - live]
                 at[live:] = a + np.where(inside, self.flips[w][j & 1023][c], 0)
             vals = got.reshape(len(size), SAMPLES, BITS).astype(np.uint64) + np.uint64(1)
-            out[order, w * SAMPLES:(w + 1) * SAMPLES] = mix((vals * self.mult).sum(axis=2, dtype=np.uint64))
+            out[order, w * SAMPLES:(w + 1) * SAMPLES] = mix((vals * self.mult).sum(axis=2, dtype=np.uint64)) >> np.uint64(32)
         return out
 
     def matches(self, buf: np.ndarray, offs: np.ndarray):
@@ -188,16 +198,21 @@ class Block:
                 place_of = np.repeat(np.arange(back, hi), m)
                 entry = np.repeat(from_[which[back:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 item, doc = items[entry], doc_of[place_of]
-                start = np.maximum(pos[place_of] - offsets[entry], at[doc])
-                self._verify(text, at, start, item, doc, best)
+                # the piece that holds the anchor's first byte
+                piece = self.piece_from[item] + ((offsets[entry] + 1) * self.pieces[item] - 1) // self.size[item]
+                self._verify(text, at, pos[place_of] - offsets[entry], item, doc, piece, best)
                 lo = hi
         for (doc, item), (edits, a, b) in sorted(best.items()):
             yield doc, item, edits, int(place[a] - offs[doc]), int(place[b - 1] + 1 - offs[doc])
 
-    def _verify(self, text, at, start, item, doc, best):
-        """Windows without a second anchor go; each distinct one left is embedded and its candidates verified."""
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
+    def _verify(self, text, at, origin, item, doc, piece, best):
+        """Windows without enough anchors go; each distinct piece left is embedded and its candidates verified.
+
+        ``origin``: where the item would begin, maybe before the document.
+        """
+        order = np.lexsort((piece, origin, item, doc))
+        doc, item, origin, piece = doc[order], item[order], origin[order], piece[order]
+        start = np.maximum(origin, at[doc])
         reach = (self.rate * self.size[item]).astype(np.int64)
         need = np.where(self.anchors[item] >= 10, 3, np.where(self.anchors[item] >= 4, 2, 1))
         backed = need == 1
@@ -209,20 +224,22 @@ class Block:
             for j in range(k):
                 backed[j:len(doc) - d + j] |= full
         same = np.zeros(len(doc), bool)
-        same[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (start[1:] == start[:-1])
+        same[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (origin[1:] == origin[:-1]) & (piece[1:] == piece[:-1])
         same[1:] &= backed[:-1]
         # of equal windows the first stands for all
         keep = np.flatnonzero(backed & ~same)
-        doc, item, start = doc[keep], item[keep], start[keep]
+        doc, item, start, origin, piece = doc[keep], item[keep], start[keep], origin[keep], piece[keep]
         if not len(start):
             return
-        keys = self.lsh(text, start, self.size[item])
-        hit = (keys == self.keys[item]).any(axis=1)
+        keys = self.lsh(text, np.maximum(origin + self.piece_low[piece], at[doc]), self.piece_size[piece])
+        hit = (keys == self.keys[piece]).any(axis=1)
         raw = text.tobytes() if hit.any() else b""
+        before = None
         for d, i, p in zip(doc[hit].tolist(), item[hit].tolist(), start[hit].tolist()):
             allowed = int(self.rate * self.size[i])
-            if best.get((d, i), (allowed + 1,))[0] == 0:
+            if (d, i, p) == before or best.get((d, i), (allowed + 1,))[0] == 0:
                 continue
+            before = (d, i, p)
             a, b = max(int(at[d]), p - allowed), min(int(at[d + 1]), p + int(self.size[i]) + allowed)
             edits, stop = infix_distance(self.texts[i], raw[a:b])
             if edits == 0 and len(self.texts[i]) < SHORT_GRAM and goes_on(raw, int(at[d]), p, p + int(self.size[i]), int(at[d + 1])):
@@ -302,6 +319,7 @@ def gram_counts(docs: DataFrame, items: list[tuple[int, str]]) -> dict[int, tupl
 
     got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "q int, h long, n long") \
         .groupBy("q", "h").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     q, h, n = (got.column(c).to_numpy() for c in ("q", "h", "n"))
     out = {}
     for size, k in tables.items():

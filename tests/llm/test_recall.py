@@ -13,34 +13,67 @@ R = random.Random(12)
 VOCAB = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(2, 9))) for _ in range(3000)]
 
 
-def prose(n):
-    return " ".join(R.choice(VOCAB) for _ in range(n))
+def prose(n, r=R):
+    return " ".join(r.choice(VOCAB) for _ in range(n))
 
 
-def edited(text, rate):
+def edited(text, rate, r=R):
     out = list(text)
     for _ in range(int(rate * len(text))):
-        at, kind = R.randrange(len(out)), R.randrange(3)
-        out[at:at + (kind < 2)] = [R.choice("abcdefghijklmnop ")] if kind else []
+        at, kind = r.randrange(len(out)), r.randrange(3)
+        out[at:at + (kind < 2)] = [r.choice("abcdefghijklmnop ")] if kind else []
     return "".join(out)
 
 
 def found(items, texts):
     block = dc.Block(list(enumerate(items)))
-    _, buf, offs = next(slices(pa.array(texts), 1 << 30))
-    return {(doc, block.ids[i]) for doc, i, *_ in block.matches(buf, offs)}
+    out = set()
+    for lo, buf, offs in slices(pa.array(texts), 1 << 20):
+        out |= {(lo + doc, block.ids[i]) for doc, i, *_ in block.matches(buf, offs)}
+    return out
 
 
 @pytest.mark.parametrize("rate", [0.02, 0.05, 0.10, 0.14])
-@pytest.mark.parametrize("words", [15, 40])
+@pytest.mark.parametrize("words", [5, 7, 15, 40, 80, 200, 500, 1000])
 def test_recall_of_edited_items(rate, words):
-    items = [prose(words) for _ in range(200)]
-    copies = [edited(t, rate) for t in items]
+    """Every candidate passes the LSH, so this is its recall and the anchors' together."""
+    r = random.Random(1000 * words + int(100 * rate))
+    n = 200 if words <= 80 else 60 if words <= 200 else 30
+    items = [prose(words, r) for _ in range(n)]
+    copies = [edited(t, rate, r) for t in items]
     within = {(i, i) for i, (t, c) in enumerate(zip(items, copies))
               if dc.infix_distance(" ".join(t.split()).encode(), " ".join(c.split()).encode())[0] <= int(dc.MAX_EDIT_RATE * len(t))}
-    got = found(items, [prose(30) + " " + c + " " + prose(30) for c in copies])
-    assert len(within) > 150 and len(got & within) >= dc.TARGET * len(within), len(got & within) / len(within)
-    assert got <= {(i, i) for i in range(200)}
+    got = found(items, [prose(30, r) + " " + c + " " + prose(30, r) for c in copies])
+    assert len(within) > 0.7 * n and len(got & within) >= dc.TARGET * len(within), len(got & within) / len(within)
+    assert got <= {(i, i) for i in range(n)}
+
+
+def test_found_stretches_equal_a_plain_search():
+    """Edits of every pair found are the least over the whole document."""
+    r = random.Random(77)
+    items = [prose(n, r) for n in (6, 20, 60, 120, 300)]
+    texts = [prose(20, r) + " " + edited(t, 0.06, r) + " " + prose(20, r) for t in items] + [t for t in items]
+    block = dc.Block(list(enumerate(items)))
+    _, buf, offs = next(slices(pa.array(texts), 1 << 30))
+    got = {(d, i): e for d, i, e, *_ in block.matches(buf, offs)}
+    want = {(d, i): dc.infix_distance(t.encode(), " ".join(x.split()).encode())[0] for d, x in enumerate(texts) for i, t in enumerate(items)}
+    want = {k: e for k, e in want.items() if e <= int(dc.MAX_EDIT_RATE * len(items[k[1]]))}
+    assert got == want
+
+
+def test_more_than_one_block(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(i, prose(30, r)) for i in range(12)]
+    docs = spark.createDataFrame([(i, prose(20, r) + " " + t + " " + prose(9, r), "x") for i, t in items] + [(99, prose(80, r), "x"), (98, None, None)],
+                                 "doc_id long, text string, item_id string")
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in dc.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
+    left = dc.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(x.doc_id for x in left.collect()) == [98, 99]
+    assert dc.leaks(docs.where("false"), bench).count() == 0
+    twice = dc.leaks(docs.unionByName(docs), bench).collect()
+    assert len(twice) == 24
 
 
 def test_items_without_spaces_around_them():
