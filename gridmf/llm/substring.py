@@ -6,8 +6,8 @@ nearby bytes only, so text inserted elsewhere shifts no chunk; chunks hold about
 bytes.  Where a text offers no cut for ``LONGEST`` bytes (a repeated character, say), cuts are set every
 ``LONGEST`` bytes.  No cut splits a character.
 
-A chunk is known by its 64-bit digest; it comes first in the smallest doc_id that holds it, at its least place
-there.  Everywhere else it repeats, later in the same document too, and a run of adjoining repeated chunks of
+A chunk is known by a 64-bit digest, its length, its number of words and ``CHECK_BITS`` bits of a second hash (about 80
+bits together); it comes first in the smallest doc_id that holds it, at its least place there.  Everywhere else it repeats, later in the same document too, and a run of adjoining repeated chunks of
 at least ``MIN_WORDS`` words or ``MIN_BYTES`` bytes (scripts without spaces, tables, encoded data) is a
 repeated passage.  A passage loses at either end up to the chunk its edge falls in, so passages of over 50
 words hold such a run, while short repeated lines and common phrases do not.  ``repeats`` lists the passages,
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmf.llm.common import small_batches, table, unused
-from gridmf.llm.words import SPACE, hash_runs, seeds, slices
+from gridmf.llm.words import SPACE, hash_runs, mix, powers, seeds, slices
 
 REACH = 20
 LONGEST = 1024
 MIN_WORDS = 20
 MIN_BYTES = 120
+CHECK_BITS = 10
+_SECOND = seeds(256, 37)
 GEAR = (seeds(256, 31) >> np.uint64(20)).astype(np.uint16)
 
 
@@ -102,8 +104,26 @@ def _keyed(docs: DataFrame, ident: str, h: str) -> DataFrame:
             .withColumn(h, F.xxhash64(F.col("text").cast("string"))))
 
 
+def _word_counts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """n + 1 running counts of word starts; a text's first byte starts a word whatever stands before the text."""
+    ws = SPACE[buf]
+    word = ~ws
+    word[1:] &= ws[:-1]
+    at = offs[:-1][np.diff(offs) > 0]
+    word[at] = ~ws[at]
+    return np.append(0, np.cumsum(word))
+
+
+def _check(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``CHECK_BITS`` bits of byte ranges, independent of ``hash_runs``."""
+    pw, ipw = powers(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_SECOND[buf] * pw[:len(buf)], out=total[1:])
+    return (mix((total[ends] - total[starts]) * ipw[starts]) >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(digest, id, h, place) of every chunk; place packs start (32 bits), length (20) and words (12)."""
+    """(digest, id, h, place) of every chunk; place packs start (32 bits), length (12), words (10) and check bits (10)."""
     small_batches(docs.sparkSession)
 
     def each(batches):
@@ -113,12 +133,9 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             for lo, buf, offs in slices(batch.column("text")):
                 s, e, first = chunks(buf, offs)
                 doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-                ws = SPACE[buf]
-                word = ~ws
-                word[1:] &= ws[:-1]
-                n_words = np.append(0, np.cumsum(word))
-                n = np.minimum(n_words[e] - n_words[s], 4095)
-                place = ((s - offs[doc]) << 32) | ((e - s) << 12) | n
+                n_words = _word_counts(buf, offs)
+                # at most LONGEST + 3 bytes and half as many words
+                place = ((s - offs[doc]) << 32) | ((e - s) << 20) | ((n_words[e] - n_words[s]) << CHECK_BITS) | _check(buf, s, e)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hash_runs(buf, s, e).view(np.int64)), pa.array(ids[lo + doc]), pa.array(hs[lo + doc]), pa.array(place)],
                     names=["digest", "id", "h", "place"])
@@ -135,7 +152,7 @@ def _passages(parts: list, min_words: int):
         return run and (run[2] >= min_words or run[1] >= MIN_BYTES)
 
     for place, src in parts:
-        start, length, n = place >> 32, (place >> 12) & 0xFFFFF, place & 0xFFF
+        start, length, n = place >> 32, (place >> 20) & 0xFFF, (place >> CHECK_BITS) & 0x3FF
         if run and run[0] + run[1] == start:
             run = (run[0], run[1] + length, run[2] + n, run[3])
         else:
@@ -153,7 +170,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     key = F.struct("id", "h", "place")
     first = (rows.groupBy("digest").agg(F.min(key).alias("a"), F.max(key).alias("z"))
              .where("a <> z").select("digest", "a"))
-    again = rows.join(first, "digest").where("id <> a.id OR h <> a.h OR place <> a.place")
+    # the low half of place holds length, words and check bits: where they differ, equal digests are a coincidence
+    again = (rows.join(first, "digest").where("id <> a.id OR h <> a.h OR place <> a.place")
+             .where(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("a.place").bitwiseAND(F.lit(0xFFFFFFFF))))
     per_doc = again.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("place", F.col("a.id").alias("src")))).alias("parts"))
     kind = "array<struct<start:bigint,length:bigint,words:bigint,first_id:bigint>>"
 

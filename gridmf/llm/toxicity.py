@@ -15,7 +15,7 @@ most ``MAX_FEATURES`` features (largest chi-square); these bounds make the model
 
 Null text: empty, no features.  No labels, or labels of one kind: nothing is toxic (weights 0).  Null
 labels and labels without a document are ignored; a document with several labels is toxic if one
-says so.  Repeated rows are scored alike; extra columns are kept by ``drop_toxic``, ignored else.
+says so; of a doc_id with several texts the least is learned from.  Repeated rows are scored alike; extra columns are kept by ``drop_toxic``, ignored else.
 """
 
 from __future__ import annotations
@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     if len({bool(r.toxic) for r in rows}) < 2:
         return none
     wanted = spark.createDataFrame([(r.doc_id, int(r.toxic > 0)) for r in rows], "doc_id long, label int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(F.broadcast(wanted), "doc_id")  # at most max_train ids
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .join(F.broadcast(wanted), "doc_id")  # at most max_train ids
+             .groupBy("doc_id", "label").agg(F.min("text").alias("text")))  # and as many rows
 
     def spread(batches):
         for batch in batches:
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
                      pa.array([f[at[i]:at[i + 1]].astype("<u2").tobytes() for i in range(len(offs) - 1)], pa.binary())],
                     names=["label", "f"])
 
-    # at most max_train rows (times repeats of a doc_id) of at most MAX_FEATURES features
+    # at most max_train rows of at most MAX_FEATURES features
     train = texts.select("label", "text").mapInArrow(restrict, "label int, f binary").collect()
     train.sort(key=lambda r: (r.label, bytes(r.f)))
     feats = [np.frombuffer(r.f, "<u2").astype(np.int64) for r in train]
