@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession, name: str):
+    """A fresh name under which ``stored`` tables are put together; they are deleted when the block ends or fails."""
+    path = scratch_path(spark, name)
+    try:
+        yield os.path.basename(path)
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def folded(col: str | object):
     """crc32 of a doc_id as text, the fold key of the contracts."""
     c = F.col(col) if isinstance(col, str) else col

@@ -21,7 +21,8 @@ components no link of the group has joined yet, and one link for two components
 a component change nothing, so the components are exactly those of all links between bucket mates.
 
 Nothing is gathered on the driver or in one task: buckets, classes and components are aggregates and equi-joins
-(adaptive execution splits hot keys); intermediate tables are written to the shared folder.
+(adaptive execution splits hot keys); intermediate tables are written to the shared folder,
+and those that only lead to the components are deleted once the components are written.
 
 Null or blank texts have an empty set and are linked with nothing.  Repeated rows share a component; a null
 doc_id is no representative of a class with other ids.  Empty tables give no rows; extra columns are
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmf.llm.common import stored, table, unused
+from gridmf.llm.common import stored, table, unused, workspace
 from gridmf.llm.words import find, mix, seeds, shingles, slices, words
 
 SHINGLE = 5
@@ -190,7 +191,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, name: str
     return stored(attach(maybe, _only(sets, wanted), ["s"]).mapInArrow(confirm, "a long, b long"), f"{name}-links")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: str = "components") -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label: the component's least node.
 
     Alternates large-star and small-star steps on the edge table until it stays the same; hubs are
@@ -212,10 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
 
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{work}/edges")
     before = mark(e)
     while True:
-        e = stored(star(star(e, True), False), "edges")
+        e = stored(star(star(e, True), False), f"{work}/edges")
         now = mark(e)
         if now == before:
             break
@@ -230,50 +231,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n").alias("n"),
                                                           F.first("regs").alias("regs"))
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    with workspace(docs.sparkSession, "near") as work:
+        label = stored(_labels(docs, nodes, work), "labels")
+    of_node = nodes.select("node", "cls", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_class = of_node.join(least, "label").select("cls", "component_id")
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id")) \
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, work: str) -> DataFrame:
+    """(node, label) of all nodes with links; tables named under ``work`` are needed to read it."""
     buckets = _bands(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")) \
         .where("size > 1").select("key", "lead")
-    members = stored(_bands(nodes).join(buckets, "key"), "buckets")
+    members = stored(_bands(nodes).join(buckets, "key"), f"{work}/buckets")
     met = members.select("node").distinct()
-    sketches = stored(nodes.join(met, "node", "left_semi").select("node", "h", "n", "regs"), "sketches")
-    sets = stored(_full_sets(docs, sketches), "sets")
+    sketches = stored(nodes.join(met, "node", "left_semi").select("node", "h", "n", "regs"), f"{work}/sketches")
+    sets = stored(_full_sets(docs, sketches), f"{work}/sets")
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
     star = members.where((F.pmod("key", F.lit(FIRST)) == 0) & (F.col("node") != F.col("lead")))
-    links = _confirmed(star.select(*pair(F.col("node"), F.col("lead"))).distinct(), sketches, sets, "star")
-    label = components(links)
+    links = _confirmed(star.select(*pair(F.col("node"), F.col("lead"))).distinct(), sketches, sets, f"{work}/star")
+    label = components(links, work)
     for turn in range(STAR_ROUNDS):
-        members = _open_buckets(members, label)
+        members = _open_buckets(members, label, work)
         # one order of nodes for all buckets, so that a node meets few different leads
         lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "label")).alias("l")) \
             .select("key", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
         star = members.join(lead, "key").where("label <> lead_label").select(*pair(F.col("node"), F.col("lead"))).distinct()
-        label = _joined(label, _confirmed(star, sketches, sets, f"star{turn}"))
-    label = _joined(label, _between(_open_buckets(members, label), sketches, sets))
-    of_node = nodes.select("node", "cls", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = of_node.join(least, "label").select("cls", "component_id")
-    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", "n_shingles", component.alias("component_id")) \
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        label = _joined(label, _confirmed(star, sketches, sets, f"{work}/star{turn}"), work)
+    return _joined(label, _between(_open_buckets(members, label, work), sketches, sets, work), work)
 
 
-def _between(rest: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _between(rest: DataFrame, sketches: DataFrame, sets: DataFrame, work: str) -> DataFrame:
     """Links (a, b), one for two components, among the open members ``rest`` (key, node, label) of each cluster."""
     first = rest.groupBy("key").agg(F.min("node").alias("lead"))
-    cluster = components(rest.join(first, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    cluster = components(rest.join(first, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), work)
     nodes = rest.select("node", "label").distinct().join(cluster.select("node", F.col("label").alias("cluster")), "node") \
         .join(sketches.select("node", "n", "regs"), "node").join(sets, "node")
-    nodes = stored(nodes, "open-nodes")
+    nodes = stored(nodes, f"{work}/open-nodes")
     size = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("s") + F.octet_length("regs")).alias("bytes"))
     parts = F.greatest(F.lit(1), F.ceil(F.sqrt("m") / PART_NODES), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")
     dealt = nodes.join(size.select("cluster", parts.alias("parts")), "cluster") \
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
         .select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "n", "regs", "s")
-    return stored(dealt.groupBy("cluster", "lo", "hi").applyInArrow(_links_of_parts, "a long, b long"), "between-links")
+    return stored(dealt.groupBy("cluster", "lo", "hi").applyInArrow(_links_of_parts, "a long, b long"), f"{work}/between-links")
 
 
 def _links_of_parts(rows: pa.Table) -> pa.Table:
@@ -324,7 +331,7 @@ def _links_of_parts(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
+def _joined(label: DataFrame, new: DataFrame, work: str) -> DataFrame:
     """(node, label) with the components that new links (a, b) join; nodes in no link yet are their own label."""
     if new.isEmpty():
         return label
@@ -333,16 +340,16 @@ def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
     edges = new
     for side in ("a", "b"):
         edges = edges.join(known.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
-    merged = components(edges.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    merged = components(edges.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), work)
     return stored(known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
-                  .select("node", F.coalesce("least", "label").alias("label")), "labels")
+                  .select("node", F.coalesce("least", "label").alias("label")), f"{work}/labels")
 
 
-def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, label: DataFrame, work: str) -> DataFrame:
     """(key, node, label) of the buckets whose members are in more than one component."""
     m = members.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     still = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return stored(m.join(still, "key", "left_semi").select("key", "node", "label"), "open")
+    return stored(m.join(still, "key", "left_semi").select("key", "node", "label"), f"{work}/open")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:

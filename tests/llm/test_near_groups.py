@@ -57,7 +57,7 @@ def test_rows_follow_the_size_of_an_unlinked_group(spark, monkeypatch):
 
     def counted(df, name):
         out = stored(df, name)
-        sizes.setdefault(name, []).append(out.count())
+        sizes.setdefault(name.rsplit("/", 1)[-1], []).append(out.count())
         return out
 
     monkeypatch.setattr(neardup, "stored", counted)
@@ -84,3 +84,25 @@ def test_user_columns_keep_their_values(spark):
     assert cut.columns == docs.columns
     assert sorted(map(repr, cut.drop("text").collect())) == sorted(map(repr, docs.drop("text").collect()))
     assert {r.doc_id: r.text for r in cut.collect()}[3] != texts[3]
+
+
+def test_work_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from gridmf.llm.common import stored, workspace
+    from gridmf.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    before = set(os.listdir(base))
+    out = neardup.near_duplicates(docs)
+    left = {x.split("-")[0] for x in set(os.listdir(base)) - before}
+    assert left == {"classes", "nodes", "labels"}
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    try:
+        with workspace(spark, "near") as work:
+            stored(docs, f"{work}/x")
+            raise ValueError
+    except ValueError:
+        pass
+    assert work not in os.listdir(base)
