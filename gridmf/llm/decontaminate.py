@@ -1,21 +1,23 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification.
 
 Texts are compared as UTF-8 bytes after lower-casing A-Z and Latin-1 letters and folding each run of white space to one
-space.  An item of L bytes is looked for in windows of L bytes of every whole document.  Windows lie where
-one of the item's anchors occurs in the document, at the offset it has in the item.  Anchors are stretches of
-``GRAM`` bytes (``SHORT_GRAM`` in items under ``LONG`` bytes, the whole of a shorter item), wherever they stand, so scripts
-without spaces, quoted words and joined or split words have them too: of twice ``ANCHORS`` places spread evenly over the
-item the ``ANCHORS`` that are rarest in all documents.  A window needs 3 anchors within the allowed shift (2 for items of under
-10 anchors, 1 under 4).  Windows and
+space.  An item of L bytes is looked for in windows of L bytes of every whole document, and every window that may hold it
+is looked at.  With k allowed edits the item is cut into k // 2 + 1 *groups*, so in any match some group has at
+most one edit; then one half of the group is whole, and of its other half the quarter beside it, or the quarter
+beyond, moved by at most one byte.  These eight *seeds* a group, of 3/4 of its bytes, are looked up at every byte of
+every document; each hit places a window.  Groups stand in *runs* of up to ``RUN`` bytes, runs in pairs of groups: in some run of r groups a match has at most 2 r - 1
+edits, in some pair of it at most 3 and in some group of that at most one; windows with more go (edit distance, 64 bits at once).
+Nothing else takes windows away before the LSH.  (An edit rate above 1/4 leaves groups of under 4 bytes: their halves are the seeds.)
+Windows and
 items are CGK-embedded: a random walk reads the string with 3 L steps, copying the current byte and
 moving on by a random bit that depends on step and byte, which turns edits into Hamming distance.
 ``WALKS`` walks with ``SAMPLES`` samples of ``BITS`` positions each are the LSH: a window is a candidate if it
 agrees with the item in all positions of some sample.  Positions where the walk already ran off both strings
 are not sampled, so exact copies always collide.  Two walks drift apart with the number of edits they have passed, so an
 item of ``2 * PIECE`` bytes or more is embedded in pieces of ``PIECE`` to ``2 * PIECE`` bytes, each against the piece's place in the window
-that the anchor gives; one piece that agrees makes the window a candidate, so recall does not fall with length.
+that the seed gives; one piece that agrees makes the window a candidate, so recall does not fall with length.
 The target is a recall of ``TARGET`` over items of any length edited by up to ``max_edit_rate``; tests/llm/test_recall.py
-measures it from 5 to 1000 words.  An item of under ``SHORT_GRAM`` bytes counts only where no letter or digit goes on beside it.
+measures it from 5 to 1000 words.  An item of under ``SHORT`` bytes counts only where no letter or digit goes on beside it.
 Candidates are verified exactly: the least edit distance of the whole item to any
 stretch of the window widened by the allowed edits must be at most ``max_edit_rate`` * L.
 
@@ -36,19 +38,19 @@ from pyspark.sql import functions as F
 from gridmf.llm.common import table
 from gridmf.llm.words import LOWER, SPACE, Table, find, mix, seeds, slices
 
-ANCHORS = 32
-GRAM = 8
-SHORT_GRAM = 5
-LONG = 64
+RUN = 64
+QUARTER = 4
+SHORT = 5
 PIECE = 64
 WALKS = 2
 SAMPLES = 40
 BITS = 3
 TARGET = 0.95
 MAX_EDIT_RATE = 0.15
-BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 8 << 20
+BLOCK_ITEMS = 5_000
+BLOCK_BYTES = 2 << 20
 PAIRS = 1 << 16
+STRETCH = 1 << 16
 SLICE = 4 << 20
 SCHEMA = "doc_id long, item_id long, edits int, item_bytes int, start long, stop long"
 
@@ -70,23 +72,50 @@ def normal(buf: np.ndarray, offs: np.ndarray):
     return low[keep], at[offs], np.flatnonzero(keep)
 
 
-def grams(text: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` (up to 8) bytes from each place of a text on, as scattered 64-bit keys (one to one); zeros beyond the end."""
-    raw = text.tobytes() + bytes(8)
-    x = np.ndarray(len(text), "<u8", raw, strides=(1,)) & np.uint64((1 << 8 * size) - 1)
-    return x * np.uint64(0x9E3779B97F4A7C15)
+WHOLE, REST = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+NUMBER = 0xBF58476D1CE4E5B9
 
 
-def gram_size(n: int) -> int:
-    return GRAM if n >= LONG else min(SHORT_GRAM, n)
+def seeds_of(kind: tuple[bool, int]) -> list[tuple[int, int, int, int, int]]:
+    """A kind's seeds: (bytes of the first part, of the second, where that stands in the item, in the text, its shift).
 
+    A kind is (gapped, c): seeds of groups with quarters of c bytes, or one stretch of c bytes.
+    """
+    gapped, c = kind
+    if not gapped:
+        return [(c, 0, 0, 0, 0)]
+    return ([(2 * c, c, 2 * c, 2 * c, 0)] + [(2 * c, c, 3 * c, 3 * c + d, 0) for d in (-1, 0, 1)]
+            + [(c, 2 * c, 2 * c, 2 * c + d, d) for d in (-1, 0, 1)])
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of an item's possible anchors."""
-    q = gram_size(len(text))
-    last = len(text) - q
-    at = np.unique(np.linspace(0, last, min(last + 1, 2 * ANCHORS)).astype(np.int64))
-    return at, grams(np.frombuffer(text, np.uint8), q)[at]
+
+def text_keys(text: np.ndarray, kind: tuple[bool, int], lo: int, hi: int):
+    """Each seed's 64-bit keys at the bytes ``lo`` to ``hi`` of a text; zeros beyond its end."""
+    n = hi - lo
+    raw = text[lo:hi + 32].tobytes() + bytes(32)
+    eight = np.ndarray(n + 24, "<u8", raw, strides=(1,))
+    longest = max(max(s[:2]) for s in seeds_of(kind))
+    parts = {}
+    for number, (first, second, _, far, _) in enumerate(seeds_of(kind)):
+        for size in {first, second} - {0, *parts}:
+            parts[size] = (eight & np.uint64((1 << 8 * size) - 1)) * np.uint64(WHOLE if size == longest else REST)
+        key = parts[first][:n] + np.uint64(number * NUMBER % 2**64)
+        if second:
+            key += parts[second][far:far + n]
+        yield key
+
+
+def item_seeds(text: bytes, kind: tuple[bool, int], at: int, whole: bool):
+    """(key, item's byte at the place of a hit) of a group's seeds from ``at`` on; ``whole``: a group without edits."""
+    gapped, c = kind
+    longest = max(max(s[:2]) for s in seeds_of(kind))
+
+    def part(lo, size):
+        return int.from_bytes(text[lo:lo + size], "little") * (WHOLE if size == longest else REST)
+
+    for number, (first, second, near, _, shift) in enumerate(seeds_of(kind)):
+        # the stretch without a gap may lie at either end of the group
+        for a in [at] if number or whole else [at, at + c]:
+            yield (part(a, first) + (part(a + near, second) if second else 0) + number * NUMBER) % 2**64, a - shift
 
 
 def normal_items(items: list[tuple[int, str]]) -> list[tuple[int, bytes]]:
@@ -99,10 +128,29 @@ def normal_items(items: list[tuple[int, str]]) -> list[tuple[int, bytes]]:
     return out
 
 
+class Seeds(Table):
+    """A table with a second bit filter."""
+
+    def __init__(self, keys: np.ndarray):
+        super().__init__(keys)
+        self.low = np.uint64(len(self.seen) - 1)
+        self.also = np.zeros(len(self.seen), bool)
+        self.also[self._second(self.keys)] = True
+
+    def _second(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(20)) & self.low).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.flatnonzero(self.seen[(keys >> self.shift).astype(np.int64)])
+        near = near[self.also[self._second(keys[near])]]
+        at = find(self.keys, keys[near])
+        return near[at >= 0], at[at >= 0]
+
+
 class Block:
-    """Some items, their anchors and their LSH keys."""
+    """Some items, their runs, seeds and LSH keys."""
 
-    def __init__(self, items: list[tuple[int, str]], seen: dict[int, tuple[np.ndarray, np.ndarray]] | None = None,
+    def __init__(self, items: list[tuple[int, str]],
                  max_edit_rate: float = MAX_EDIT_RATE, seed: int = 5):
         self.rate = max_edit_rate
         known = normal_items(items)
@@ -123,26 +171,56 @@ class Block:
         self.piece_low = j * self.size[of] // self.pieces[of]
         self.piece_size = (j + 1) * self.size[of] // self.pieces[of] - self.piece_low
         self.keys = self.lsh(flat, first[of] + self.piece_low, self.piece_size) if len(of) else np.zeros((0, WALKS * SAMPLES), np.uint32)
-        found: dict[int, list] = {}
-        self.anchors = np.zeros(len(self.texts), np.int64)
+        self.symbol = np.zeros(256, np.int64)  # 0: in no item
+        used = np.unique(flat)
+        self.n_symbols = len(used) + 1
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        self._plant()
+
+    def _plant(self):
+        """The items' runs, as bit masks of the places of each symbol, and their seeds: tables by kind."""
+        found: dict[tuple[bool, int], list] = {}
+        self.runs: list[list] = []
         for i, t in enumerate(self.texts):
-            q = gram_size(len(t))
-            at, key = anchors(t)
-            at, key = at[np.sort(np.unique(key, return_index=True)[1])], key[np.sort(np.unique(key, return_index=True)[1])]
-            if seen:
-                where = find(seen[q][0], key)
-                often = np.where(where >= 0, seen[q][1][where], 0)
+            size, k = len(t), int(self.rate * len(t))
+            groups = k // 2 + 1
+            starts = [j * size // groups for j in range(groups + 1)]
+            width = min(b - a for a, b in zip(starts, starts[1:]))
+            if k == 0:
+                kind = (False, min(size, 8))
             else:
-                often = np.zeros(len(key), np.int64)
-            pick = np.lexsort((mix(key), often))[:ANCHORS]
-            self.anchors[i] = len(pick)
-            found.setdefault(q, []).append((key[pick], np.full(len(pick), i), at[pick]))
+                kind = (True, min(width // 4, QUARTER)) if width >= 4 else (False, max(1, width // 2))
+            widest = max(b - a for a, b in zip(starts, starts[1:]))
+            n_runs = -(-groups // max(1, RUN // widest))
+            for x in range(n_runs):
+                first, last = x * groups // n_runs, (x + 1) * groups // n_runs
+                run = self._add_run(t, starts[first], starts[last], min(k, 2 * (last - first) - 1), -1)
+                for low in range(first, last, 2):
+                    high = min(low + 2, last)
+                    part = self._add_run(t, starts[low], starts[high], min(k, 2 * (high - low) - 1), run)
+                    for s in starts[low:high]:
+                        for key, off in item_seeds(t, kind, s, k == 0):
+                            found.setdefault(kind, []).append((key, i, off, part))
+        masks = [r.pop() for r in self.runs]
+        self.run_low, self.run_size, self.run_allowed, self.run_of = np.array(self.runs, np.int64).reshape(-1, 4).T.copy()
+        self.run_masks = np.stack(masks).ravel() if masks else np.zeros(0, np.uint64)
+        del self.runs
         self.tables = {}
-        for q, parts in found.items():
-            key, item, off = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(key, kind="stable")
-            known = Table(np.unique(key))
-            self.tables[q] = (known, np.append(np.searchsorted(key[order], known.keys), len(key)), item[order], off[order])
+        for kind, rows in found.items():
+            key = np.array([r[0] for r in rows], np.uint64)
+            item, off, run = (np.array([r[j] for r in rows], np.int32) for j in (1, 2, 3))
+            order = np.lexsort((off, item, key))
+            known = Seeds(np.unique(key))
+            self.tables[kind] = (known, np.append(np.searchsorted(key[order], known.keys), len(key)), item[order], off[order], run[order])
+
+    def _add_run(self, text: bytes, low: int, high: int, allowed: int, of: int) -> int:
+        """Its number; only its first ``RUN`` bytes count."""
+        high = min(high, low + RUN)
+        mask = np.zeros(self.n_symbols, np.uint64)
+        for bit, c in enumerate(text[low:high]):
+            mask[self.symbol[c]] |= np.uint64(1 << bit)
+        self.runs.append([low, high - low, allowed, of, mask])
+        return len(self.runs) - 1
 
     def _flips(self, w: int) -> np.ndarray:
         """The walk's random bit for (step modulo 1024, byte)."""
@@ -181,68 +259,109 @@ class Block:
         """(text, item, edits, start, stop) in bytes of the slice's texts: each item's best stretch in each text."""
         text, at, place = normal(buf, offs)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for q, (known, from_, items, offsets) in self.tables.items():
-            pos, which = known.find(grams(text, q))
-            doc_of = np.searchsorted(at, pos, side="right") - 1
-            whole = pos + q <= at[doc_of + 1]
-            pos, which, doc_of = pos[whole], which[whole], doc_of[whole]
-            n = from_[which + 1] - from_[which]
-            cut = np.append(0, np.cumsum(n))
-            longest = int(self.size[items].max())
-            lo = 0
-            while lo < len(pos):  # windows in groups, so a very common anchor takes no memory
-                hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + PAIRS, side="right")) - 1)
-                # from as far back as a window reaches, so a window's anchors meet in some group
-                back = int(np.searchsorted(pos, pos[lo] - 2 * longest))
-                m = n[back:hi]
-                place_of = np.repeat(np.arange(back, hi), m)
-                entry = np.repeat(from_[which[back:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                item, doc = items[entry], doc_of[place_of]
-                # the piece that holds the anchor's first byte
-                piece = self.piece_from[item] + ((offsets[entry] + 1) * self.pieces[item] - 1) // self.size[item]
-                self._verify(text, at, pos[place_of] - offsets[entry], item, doc, piece, best)
-                lo = hi
+        # symbol numbers of the text, with room for runs that reach beyond it
+        symbols = np.concatenate([np.zeros(RUN, np.int64), self.symbol[text], np.zeros(7 * RUN, np.int64)])
+        for kind, (known, from_, items, offsets, runs) in self.tables.items():
+            for lo in range(0, len(text), STRETCH):
+                hits = [known.find(key) for key in text_keys(text, kind, lo, min(lo + STRETCH, len(text)))]
+                pos, which = (np.concatenate(x) for x in zip(*hits))
+                n = from_[which + 1] - from_[which]
+                cut = np.append(0, np.cumsum(n))
+                near, a = set(), 0
+                windows = []
+                while a < len(pos):  # in groups, so a very common seed takes no memory
+                    b = max(a + 1, int(np.searchsorted(cut, cut[a] + PAIRS, side="right")) - 1)
+                    m = n[a:b]
+                    place_of = np.repeat(np.arange(a, b), m)
+                    entry = np.repeat(from_[which[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    windows.append(self._windows(symbols, at, lo + pos[place_of], items[entry], offsets[entry], runs[entry], near))
+                    a = b
+                if near:  # all windows of a text and item of which one run came near
+                    doc, item, origin, piece = (np.concatenate(x) for x in zip(*windows))
+                    some = np.array(sorted(near), np.int64)
+                    keep = find(some, doc * len(self.texts) + item) >= 0
+                    self._verify(text, at, origin[keep], item[keep], doc[keep], piece[keep], best)
         for (doc, item), (edits, a, b) in sorted(best.items()):
             yield doc, item, edits, int(place[a] - offs[doc]), int(place[b - 1] + 1 - offs[doc])
 
+    def _windows(self, symbols, at, pos, item, off, run, near):
+        """(doc, item, origin, piece) of the different windows of some hits; ``near`` gets the (doc, item) whose run is within its edits."""
+        doc = np.searchsorted(at, pos, side="right") - 1
+        item = item.astype(np.int64)
+        origin = pos - off
+        near.update(self._near(symbols, doc, item, origin, run))
+        # the piece that holds the seed's first byte
+        inside = np.clip(off, 0, self.size[item] - 1)
+        piece = self.piece_from[item] + ((inside + 1) * self.pieces[item] - 1) // self.size[item]
+        order = np.lexsort((piece, origin, item, doc))
+        doc, item, origin, piece = doc[order], item[order], origin[order], piece[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (origin[1:] != origin[:-1]) | (piece[1:] != piece[:-1])
+        return doc[new], item[new], origin[new], piece[new]
+
+    def _near(self, symbols, doc, item, origin, run) -> list[int]:
+        """The (doc, item), as one number, of which some run, and the part of it that holds the seed, are within their edits."""
+        for _ in range(2):
+            order = np.lexsort((origin, run, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(doc[order]) != 0) | (np.diff(run[order]) != 0) | (np.diff(origin[order]) != 0)
+            keep = order[new]
+            keep = keep[self._run_within(symbols, origin[keep], run[keep])]
+            doc, item, origin, run = doc[keep], item[keep], origin[keep], self.run_of[run[keep]]
+        return (doc * len(self.texts) + item).tolist()
+
+    def _run_within(self, symbols, origin, run) -> np.ndarray:
+        """Whether a run is found within its edits of its place: the bit-parallel distance of ``infix_distance``, all at once."""
+        out = np.zeros(len(run), bool)
+        one, ones = np.uint64(1), np.uint64(2**64 - 1)
+        for lo in range(0, len(run), 4096):
+            r = run[lo:lo + 4096]
+            size, allowed = self.run_size[r], self.run_allowed[r]
+            at = np.clip(origin[lo:lo + 4096] + self.run_low[r] - allowed + RUN, 0, len(symbols) - 6 * RUN)
+            row = r * self.n_symbols
+            top = (size - 1).astype(np.uint64)
+            pv, mv = np.full(len(r), ones), np.zeros(len(r), np.uint64)
+            score = size.astype(np.uint64)
+            least = score.copy()
+            for j in range(int((size + 2 * allowed).max(initial=0))):
+                eq = self.run_masks[row + symbols[at + j]]
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph = mv | ~(xh | pv)
+                mh = pv & xh
+                score += (ph >> top) & one
+                score -= (mh >> top) & one
+                np.minimum(least, score, out=least)
+                ph <<= one
+                pv = (mh << one) | ~(xv | ph)
+                mv = ph & xv
+            out[lo:lo + 4096] = least <= allowed.astype(np.uint64)
+        return out
+
     def _verify(self, text, at, origin, item, doc, piece, best):
-        """Windows without enough anchors go; each distinct piece left is embedded and its candidates verified.
+        """Each window's piece is embedded; where one agrees in some sample, the whole item is looked for exactly.
 
-        ``origin``: where the item would begin, maybe before the document.
+        ``origin``: where the item would begin, maybe before the document.  Windows of an item that touch are searched as one.
         """
-        order = np.lexsort((piece, origin, item, doc))
-        doc, item, origin, piece = doc[order], item[order], origin[order], piece[order]
-        start = np.maximum(origin, at[doc])
-        reach = (self.rate * self.size[item]).astype(np.int64)
-        need = np.where(self.anchors[item] >= 10, 3, np.where(self.anchors[item] >= 4, 2, 1))
-        backed = need == 1
-        for k in (2, 3):  # a run of k anchors within reach backs all its members
-            if len(doc) < k:
-                continue
-            d = k - 1
-            full = ((doc[d:] == doc[:-d]) & (item[d:] == item[:-d]) & (start[d:] - start[:-d] <= reach[d:]) & (need[d:] == k))
-            for j in range(k):
-                backed[j:len(doc) - d + j] |= full
-        same = np.zeros(len(doc), bool)
-        same[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (origin[1:] == origin[:-1]) & (piece[1:] == piece[:-1])
-        same[1:] &= backed[:-1]
-        # of equal windows the first stands for all
-        keep = np.flatnonzero(backed & ~same)
-        doc, item, start, origin, piece = doc[keep], item[keep], start[keep], origin[keep], piece[keep]
-        if not len(start):
-            return
         keys = self.lsh(text, np.maximum(origin + self.piece_low[piece], at[doc]), self.piece_size[piece])
-        hit = (keys == self.keys[piece]).any(axis=1)
-        raw = text.tobytes() if hit.any() else b""
-        before = None
-        for d, i, p in zip(doc[hit].tolist(), item[hit].tolist(), start[hit].tolist()):
-            allowed = int(self.rate * self.size[i])
-            if (d, i, p) == before or best.get((d, i), (allowed + 1,))[0] == 0:
+        hit = np.flatnonzero((keys == self.keys[piece]).any(axis=1))
+        if not len(hit):
+            return
+        raw = text.tobytes()
+        hit = hit[np.lexsort((origin[hit], item[hit], doc[hit]))]
+        start = np.maximum(origin[hit], at[doc[hit]])
+        reach = (self.rate * self.size[item[hit]]).astype(np.int64)
+        apart = np.ones(len(hit), bool)
+        apart[1:] = ((doc[hit[1:]] != doc[hit[:-1]]) | (item[hit[1:]] != item[hit[:-1]])
+                     | (np.diff(start) > np.where(reach[1:] > 0, self.size[item[hit[1:]]], 0)))
+        first = np.flatnonzero(apart)
+        for x, y in zip(first.tolist(), np.append(first[1:], len(hit)).tolist()):
+            d, i, p, last, allowed = int(doc[hit[x]]), int(item[hit[x]]), int(start[x]), int(start[y - 1]), int(reach[x])
+            if best.get((d, i), (allowed + 1,))[0] == 0:
                 continue
-            before = (d, i, p)
-            a, b = max(int(at[d]), p - allowed), min(int(at[d + 1]), p + int(self.size[i]) + allowed)
+            a, b = max(int(at[d]), p - allowed), min(int(at[d + 1]), last + int(self.size[i]) + allowed)
             edits, stop = infix_distance(self.texts[i], raw[a:b])
-            if edits == 0 and len(self.texts[i]) < SHORT_GRAM and goes_on(raw, int(at[d]), p, p + int(self.size[i]), int(at[d + 1])):
+            if edits == 0 and len(self.texts[i]) < SHORT and goes_on(raw, int(at[d]), p, p + int(self.size[i]), int(at[d + 1])):
                 continue
             if edits <= allowed and edits < best.get((d, i), (allowed + 1,))[0]:
                 back = infix_distance(self.texts[i][::-1], raw[a:a + stop][::-1])[1]
@@ -296,46 +415,13 @@ def blocks(benchmark: DataFrame):
         yield rows
 
 
-def gram_counts(docs: DataFrame, items: list[tuple[int, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By size, the possible anchors of the items (a block's), sorted, and how often each occurs in all documents."""
-    spark = docs.sparkSession
-    keys: dict[int, list] = {}
-    for _, t in normal_items(items):
-        keys.setdefault(gram_size(len(t)), []).append(anchors(t)[1])
-    tables = {q: Table(np.unique(np.concatenate(k))) for q, k in keys.items()}
-    shared = spark.sparkContext.broadcast(tables)  # at most 2 * ANCHORS keys an item
-
-    def each(batches):
-        n = {q: np.zeros(len(k.keys), np.int64) for q, k in shared.value.items()}
-        for batch in batches:
-            for _, buf, offs in slices(batch.column("text"), SLICE):
-                text = normal(buf, offs)[0]
-                for q, k in shared.value.items():
-                    n[q] += np.bincount(k.find(grams(text, q))[1], minlength=len(n[q]))
-        for q, k in shared.value.items():
-            some = np.flatnonzero(n[q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q, np.int32)), pa.array(k.keys[some].view(np.int64)), pa.array(n[q][some])],
-                                             names=["q", "h", "n"])
-
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "q int, h long, n long") \
-        .groupBy("q", "h").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
-    q, h, n = (got.column(c).to_numpy() for c in ("q", "h", "n"))
-    out = {}
-    for size, k in tables.items():
-        total = np.zeros(len(k.keys), np.int64)
-        total[find(k.keys, h[q == size].view(np.uint64))] = n[q == size]
-        out[size] = (k.keys, total)
-    return out
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = MAX_EDIT_RATE) -> DataFrame:
     """(doc_id, item_id, edits, item_bytes, start, stop): each item's best stretch in each document, bytes of its UTF-8."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], SCHEMA)
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Block(items, gram_counts(docs, items), max_edit_rate))  # bounded by BLOCK_ITEMS and BLOCK_BYTES
+        shared = spark.sparkContext.broadcast(Block(items, max_edit_rate))  # bounded by BLOCK_ITEMS and BLOCK_BYTES
 
         def each(batches, shared=shared):
             for batch in batches:
@@ -356,7 +442,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit_rate: floa
     """The rows of ``docs``, all columns, that hold no item."""
     spark = docs.sparkSession
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Block(items, gram_counts(docs, items), max_edit_rate))
+        shared = spark.sparkContext.broadcast(Block(items, max_edit_rate))
 
         def each(batches, shared=shared):
             for batch in batches:

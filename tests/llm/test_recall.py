@@ -82,3 +82,37 @@ def test_items_without_spaces_around_them():
     joined = items[4].replace(" ", "", 3)
     texts = [han[2] + han[0] + han[3], han[2] + han[1] + han[3], f'see ("{items[2]}").', "(E=mc2)", "q" + joined + "q", "ax=yb", '"x=y"']
     assert found(items, texts) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 5)}
+
+
+def spread(text, rate, r):
+    """One change in every stretch of 1 / rate bytes, so that no long stretch stays whole."""
+    out, step = list(text), 1 / rate
+    for j in reversed(range(int(rate * len(text)))):
+        at, kind = int((j + 0.5) * step), r.randrange(3)
+        out[at:at + (kind < 2)] = ["#"] if kind else []
+    return "".join(out)
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 9, 20, 60, 200, 1000])
+def test_no_window_is_passed_over(monkeypatch, words):
+    """With an LSH that lets every window through, every item within the bound is found, wherever its edits lie."""
+    monkeypatch.setattr(dc.Block, "lsh", lambda self, text, first, size: np.zeros((len(first), 1), np.uint32))
+    r = random.Random(words)
+    items = [prose(words, r) for _ in range(60 if words < 200 else 12)]
+    for rate in (0.08, 0.14):
+        copies = [spread(t, rate, r) for t in items]
+        texts = [prose(15, r) + " " + c + " " + prose(15, r) for c in copies]
+        block = dc.Block(list(enumerate(items)))
+        lo, buf, offs = next(slices(pa.array(texts), 1 << 30))
+        got = {(doc, i): e for doc, i, e, *_ in block.matches(buf, offs) if doc == i and len(items[i]) >= dc.SHORT}
+        want = {(i, i): dc.infix_distance(t.encode(), x.encode())[0] for i, (t, x) in enumerate(zip(items, texts)) if len(t) >= dc.SHORT}
+        assert got == {k: e for k, e in want.items() if e <= int(dc.MAX_EDIT_RATE * len(items[k[0]]))}
+
+
+@pytest.mark.parametrize("words", [15, 40, 200])
+def test_recall_of_evenly_spread_edits(words):
+    r = random.Random(words)
+    items = [prose(words, r) for _ in range(100)]
+    copies = [spread(t, 0.13, r) for t in items]
+    got = found(items, [prose(15, r) + " " + c + " " + prose(15, r) for c in copies])
+    assert len(got & {(i, i) for i in range(100)}) >= dc.TARGET * 100, len(got)
