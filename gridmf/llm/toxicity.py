@@ -37,6 +37,7 @@ MARKER_RATIO = 8.0
 GRADES = 4
 L1 = 1e-4
 STEPS = 400
+SLICE = 1 << 17
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
@@ -82,7 +83,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(expected severity, likeliest grade, P(toxic)) of a column."""
-        parts = [self.eta(buf, offs) for _, buf, offs in slices(texts)]
+        parts = [self.eta(buf, offs) for _, buf, offs in slices(texts, SLICE)]
         p = self.above(np.concatenate(parts) if parts else np.zeros(0))
         each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
         return p.sum(axis=1), each.argmax(axis=1), p[:, 0]
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     def spread(batches):
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False)
-            for lo, buf, offs in slices(batch.column("text")):
+            for lo, buf, offs in slices(batch.column("text"), SLICE):
                 doc, h = distinct_words(buf, offs)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(label[lo + doc].astype(np.int64))],
                                                  names=["h", "label"])
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     def restrict(batches):
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False)
-            for lo, buf, offs in slices(batch.column("text")):
+            for lo, buf, offs in slices(batch.column("text"), SLICE):
                 doc, f = distinct_words(buf, offs, shared.value)
                 at = np.searchsorted(doc, np.arange(len(offs)))
                 yield pa.RecordBatch.from_arrays(

@@ -9,8 +9,6 @@ bytes, finished by splitmix64: two different words share one with odds of about
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -44,18 +42,19 @@ _P = 0x2545F4914F6CDD1D
 _IP = pow(_P, -1, 2**64)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.full(n, _P, U64), np.full(n, _IP, U64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=U64), np.cumprod(b, dtype=U64)
+_held: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES * 2
-    while size < n + 1:
-        size *= 2
-    return _powers(size)
+    """At least n + 1 powers and inverse powers; the longest made so far are kept."""
+    if not _held or len(_held[0][0]) < n + 1:
+        size = 1 << 16
+        while size < n + 1:
+            size *= 2
+        a, b = np.full(size, _P, U64), np.full(size, _IP, U64)
+        a[0] = b[0] = 1
+        _held[:] = [(np.cumprod(a, dtype=U64), np.cumprod(b, dtype=U64))]
+    return _held[0]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,23 @@ def test_repeats_of_a_document_do_not_change_the_model(spark):
 
 # ---- substring dedup ------------------------------------------------------------------------------------------------
 
+def test_scoring_holds_little_beyond_the_batch():
+    """A worker's arrays follow the slice, not the batch: 6 workers share an executor's memory."""
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(500)]
+    texts = pa.array([" ".join(r.choice(vocab) for _ in range(400)) for _ in range(1000)])
+    model = toxicity.Model(np.sort(np.array([hash_word(w) for w in vocab[:100]], np.uint64)), np.ones(100), np.array([1.0, 2.0, 3.0]))
+    whole = model.eta(*next(toxicity.slices(texts, 1 << 30))[1:])
+    tracemalloc.start()
+    try:
+        severity, _, _ = model.scores(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * texts.nbytes
+    assert np.allclose(severity, model.above(whole).sum(axis=1))
+
+
 def plain_chunks(raw):
     """Chunk ends by the definition: the gear hash of 16 bytes is the largest of its neighbours."""
     n = len(raw)
