@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, UnsupportedOperationException
@@ -54,9 +55,12 @@ STRATIFIED = "stratified"
 SWEEP = "sweep"
 LOG_SCHEMA = "iteration INT, step_size DOUBLE, sse DOUBLE, n BIGINT, rmse DOUBLE"
 GRID_SCHEMA = "x_id INT, y_id INT, rating DOUBLE, bx INT, by INT, bkey INT, level BIGINT"
+# The order in which a step reads a cell's rows; files are written in it, so a step's sort finds them in order.
+VISIT = ["level", "x_id", "y_id", "rating"]
 ROWS_PER_FILE = 1 << 23
 # W is kept resident where moving it in every step would cost more than a job and a write do.
 RESIDENT_BYTES = 1 << 30
+NO_BYTE_LIMIT = 2**31 - 1
 
 
 def min_num_blocks(num_x_ids: int, num_y_ids: int, rank: int, task_memory_bytes: int,
@@ -164,8 +168,8 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     """Grid layout written once: partitioned by ``step`` and bucketed by x-block into ``N`` buckets.
 
     One shuffle routes every cell to a task of its own, which sorts it in visiting order and finds its conflict
-    levels, streaming (``make_level_kernel``), and writes them with the rows, in files of at most ``rows_per_file``.  A
-    cell is in sequence here as in training, once for all epochs.  Reading one step then yields its
+    levels, streaming (``make_level_kernel``), and writes them with the rows, by level, in files of at most ``rows_per_file``.  A
+    cell is in sequence here as in training and sorted here, once for all epochs.  Reading one step then yields its
     cells already placed one per task (a bucketed scan), so a training step exchanges only factor rows.  The
     table is registered (external, under a unique name) in the session catalog and dropped after training; where
     the catalog refuses it, plain files are written and steps exchange both sides instead.
@@ -188,9 +192,10 @@ def write_grid(ratings: DataFrame, num_x_ids: int, num_y_ids: int, num_blocks: i
     if catalog_takes_buckets(spark):
         table = _table_name(path)
         (cells.write.format("parquet").option("path", path).option("maxRecordsPerFile", int(rows_per_file))
-              .partitionBy("step").bucketBy(n, "bkey").saveAsTable(table))
+              .partitionBy("step").bucketBy(n, "bkey").sortBy(*VISIT).saveAsTable(table))
         return Grid(spark.table(table), path, table, keys)
-    cells.write.option("maxRecordsPerFile", int(rows_per_file)).partitionBy("step").parquet(path)
+    (cells.sortWithinPartitions("step", "bkey", *VISIT)
+          .write.option("maxRecordsPerFile", int(rows_per_file)).partitionBy("step").parquet(path))
     plain = spark.read.schema(cells.schema).option("basePath", path).parquet(path)
     return Grid(plain, path, None, None)
 
@@ -236,26 +241,26 @@ def drop_grid(spark, grid: Grid) -> None:
     drop_table(spark, grid.path)
 
 
-def _rating_rows(cells: DataFrame) -> DataFrame:
+def _rating_rows(cells: DataFrame, block: Column | None = None) -> DataFrame:
     extra = ["bkey"] if "bkey" in cells.columns else []
     return cells.select(
         F.col("pos").cast("int"), F.lit(KIND_RATING).alias("kind"),
         F.col("x_id").alias("id"), "y_id", "rating",
         F.col("level" if "level" in cells.columns else "ord").cast("bigint").alias("ord"),
-        F.lit(None).cast("int").alias("block"),
+        (F.lit(None) if block is None else block).cast("int").alias("block"),
         # An empty array, not NULL: NULL arrays make the JVM->Arrow transfer
         # of rating rows several times slower.
         F.array().cast("array<double>").alias("vec"), *extra)
 
 
-def _factor_rows(factors: DataFrame, pos, ord_=None) -> DataFrame:
+def _factor_rows(factors: DataFrame, pos) -> DataFrame:
     is_w = F.col("matrix") == F.lit("W")
     extra = ["bkey"] if "bkey" in factors.columns else []
     return factors.select(
         pos.cast("int").alias("pos"),
         F.when(is_w, F.lit(KIND_W)).otherwise(F.lit(KIND_H)).alias("kind"),
         "id", F.lit(None).cast("int").alias("y_id"), F.lit(None).cast("double").alias("rating"),
-        (F.lit(None) if ord_ is None else ord_).cast("bigint").alias("ord"), "block", "vec", *extra)
+        F.lit(None).cast("bigint").alias("ord"), "block", "vec", *extra)
 
 
 @dataclass
@@ -375,20 +380,21 @@ def evaluate_steps(cells: DataFrame, factors: DataFrame | Resident, num_blocks:
     """``(sse, n, rmse)`` over all cells of a written grid: one job of N tasks.
 
     A task holds one W block and goes along its row of cells: the H blocks stream in one after another, each
-    before the ratings of its cell, which are the bucketed scan of all steps.  Only H is copied (to every task) and
+    before the ratings of its cell, which are the bucketed scan of all steps, in the order they are stored in.  Only H is copied (to every task) and
     exchanged, and W once where it is not resident.
     """
     n = int(num_blocks)
     rows = factors.factors if isinstance(factors, Resident) else factors
     h = rows.where("matrix = 'H'").drop("bkey").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    moved = _factor_rows(h, F.col("pos"), F.col("block"))
+    moved = _factor_rows(h, F.col("pos"))
     keys = keys if "bkey" in cells.columns else None
     resident = isinstance(factors, Resident) and keys is not None
     w = rows.where("matrix = 'W'")
-    w = _factor_rows(w if resident else w.drop("bkey"), F.col("block"), F.lit(-1))
-    ratings = _rating_rows(cells.withColumn("pos", F.col("bx")).withColumn("level", F.col("by")))
+    # before all H blocks
+    w = _factor_rows(w if resident else w.drop("bkey"), F.col("block")).withColumn("block", F.lit(-1))
+    ratings = _rating_rows(cells.withColumn("pos", F.col("bx")), F.col("by"))
     moved, still = (moved, [w, ratings]) if resident else (moved.unionByName(w), [ratings])
-    errors = _grouped(moved, still, n, keys, ["ord", "kind", "id", "y_id"]).applyInArrow(make_error_kernel(), "sse double, n long")
+    errors = _grouped(moved, still, n, keys, ["block", "kind", "ord", "id", "y_id", "rating"]).applyInArrow(make_error_kernel(), "sse double, n long")
     return (errors.agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
                   .withColumn("rmse", F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n")))))
 
@@ -419,6 +425,24 @@ class FitResult:
     seconds: list = field(default_factory=list)   # per epoch of the log, since the fit began
 
 
+@contextmanager
+def whole_batches(spark):
+    """Arrow batches cut by rows alone in this block: Spark otherwise adds up a batch's bytes at every row, most of what a step costs.
+
+    A batch's rows are a rating or a factor row each, so its bytes are bounded without that.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)  # None: not set in this session
+    spark.conf.set(key, str(NO_BYTE_LIMIT))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float = STEP_SIZE,
         decay: float = STEP_DECAY, seed: int = 7, schedule: str = STRATIFIED,
         init: DataFrame | None = None, signed_init: bool = False, evaluate_epochs: bool = True,
@@ -442,6 +466,13 @@ def fit(ratings: DataFrame, rank: int, num_blocks: int, epochs: int, step: float
     killed or failed goes on from the last one when it is called again with the same arguments, to the same model.  A
     stratified fit may go on with more ``epochs``.  ``verbose`` prints one line per epoch as it finishes.
     """
+    with whole_batches(ratings.sparkSession):
+        return _fit(ratings, rank, num_blocks, epochs, step, decay, seed, schedule, init, signed_init, evaluate_epochs, sub_epochs,
+                    checkpoint_every, verbose, resident, resume)
+
+
+def _fit(ratings, rank, num_blocks, epochs, step, decay, seed, schedule, init, signed_init, evaluate_epochs, sub_epochs, checkpoint_every,
+         verbose, resident, resume) -> FitResult:
     if checkpoint_every < 1:
         raise ValueError("checkpoint_every must be >= 1")
     if schedule not in (STRATIFIED, SWEEP):

@@ -358,3 +358,39 @@ def test_verbose_prints_one_line_per_epoch(spark, ratings_small, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     assert [ln.split()[0] for ln in lines] == ["iteration=0", "iteration=1"]
     assert all("n=105" in ln.split() for ln in lines)
+
+
+def test_training_cuts_batches_by_rows_alone_and_leaves_the_setting(spark, ratings_small, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(key), [], train.write_grid
+    monkeypatch.setattr(train, "write_grid", lambda *a, **k: seen.append(spark.conf.get(key)) or write(*a, **k))
+    train.fit(ratings_small, rank=2, num_blocks=2, epochs=1)
+    assert seen == [str(2**31 - 1)] and spark.conf.get(key) == before
+
+
+def test_cells_are_stored_in_the_order_of_a_step(spark, ratings_small):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    nx, ny, _ = train.domain_stats(ratings_small)
+    grid = train.write_grid(ratings_small, nx, ny, 2, 7, "stratified")
+    try:
+        files = glob.glob(grid.path.removeprefix("file:") + "/step=*/*.parquet")
+        parts = [pq.ParquetFile(f).read(columns=["level", "x_id", "y_id", "rating"]).to_pylist() for f in files]
+        parts = [[tuple(r.values()) for r in p] for p in parts]
+        assert sum(map(len, parts)) == ratings_small.count() and all(p == sorted(p) for p in parts)
+        assert any(p[0][0] < p[-1][0] for p in parts)
+    finally:
+        train.drop_grid(spark, grid)
+
+
+def test_a_prediction_task_is_bounded_at_any_size():
+    from gridmf.operators import score
+
+    for scale in (1, 6, 36, 360):
+        nx, ny, n = 900_000 * scale, 1_200_000 * scale, 36_000_000 * scale
+        blocks_ = -(-(score.factor_side_bytes(nx, 8) + score.factor_side_bytes(ny, 8)) // score.GRID_TASK_BYTES)
+        rows = min(score.group_rows(nx, ny, blocks_), n // blocks_**2)
+        factor_rows = (nx + ny) // blocks_
+        assert factor_rows * 112 <= score.GRID_TASK_BYTES and rows <= 1 << 23
