@@ -28,7 +28,10 @@ from gridmf.operators.factors import side
 ROW_OVERHEAD_BYTES = 48
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 # A W block and an H block together, as a task of the grid form holds them.
-GRID_TASK_BYTES = 256 * 1024 * 1024
+GRID_TASK_BYTES = 192 * 1024 * 1024
+# Ratings of a group of ``predict_grid``, and how many for each factor row that is sent with them.
+GROUP_ROWS = 1 << 22
+RATINGS_PER_FACTOR_ROW = 4
 
 
 def factor_side_bytes(num_ids: int, rank: int) -> int:
@@ -186,6 +189,11 @@ def _grouped_by_cell(cells: DataFrame, factors: DataFrame, n: int, info: DataFra
                .groupBy("pos"))
 
 
+def group_rows(num_x_ids: int, num_y_ids: int, num_blocks: int) -> int:
+    """Most ratings of a group: what a task reads is bounded, and copies of factor rows stay few beside the ratings."""
+    return max(GROUP_ROWS, RATINGS_PER_FACTOR_ROW * -(-(num_x_ids + num_y_ids) // num_blocks))
+
+
 def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
                   rows_per_group: int = 1 << 24, groups: tuple[DataFrame, int] | None = None,
                   broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
@@ -215,7 +223,7 @@ def evaluate_grid(cells: DataFrame, factors: DataFrame, num_blocks: int,
 
 
 def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_ids: int,
-                 num_blocks: int, rows_per_group: int = 1 << 24,
+                 num_blocks: int, rows_per_group: int | None = None,
                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, missing: str = "error") -> DataFrame:
     """Per-triple ``prediction`` without shipping vectors with the ratings.
 
@@ -224,7 +232,8 @@ def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_i
     (any N: the factors' stored ``block`` is not used), each cell group streams
     its narrow rows against its two blocks in numpy and streams predictions
     out.  Choose N so that a W block plus an H block fits a task
-    (``plans.train.min_num_blocks``); the factor rows are copied N times.
+    (``plans.train.min_num_blocks``); the factor rows are copied N times.  A cell of more than ``rows_per_group``
+    triples (by default ``group_rows``) is dealt to several groups.
     Ids outside the domain (NULL too) have no cell and go by ``missing`` as in
     ``predict``, like ids inside it that lack a factor row.
     """
@@ -245,7 +254,7 @@ def predict_grid(ratings: DataFrame, factors: DataFrame, num_x_ids: int, num_y_i
     h_block = bm.block_id(num_y_ids, n, "id")
     reblocked = factors.select("matrix", "id", F.when(F.col("matrix") == F.lit("W"), w_block)
                                .otherwise(h_block).alias("block"), "vec")
-    info, n_groups = cell_groups(cells, n, rows_per_group)
+    info, n_groups = cell_groups(cells, n, rows_per_group or group_rows(num_x_ids, num_y_ids, n))
     schema = "x_id int, y_id int, rating double, prediction double"
     if n_groups == 0:
         return stray
