@@ -234,6 +234,9 @@ class _CellState:
 
     @staticmethod
     def _present(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) and ids[-1] - ids[0] == len(ids) - 1:  # a block without gaps
+            pos = wanted - ids[0]
+            return pos, (pos >= 0) & (pos < len(ids))
         pos = np.searchsorted(ids, wanted)
         if not len(ids):
             return pos, np.zeros(len(wanted), dtype=bool)
@@ -416,11 +419,31 @@ def _line_rows(lines: pa.Array) -> np.ndarray:
     return values.reshape(len(rows), -1) if len(rows) else np.empty((0, 0))
 
 
+def _each_line(lines: pa.Array) -> Iterator[pa.Array]:
+    """One line after another, so what decoding takes follows a line, not the batch."""
+    for i in range(len(lines)):
+        yield lines.slice(i, 1)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one after another; each is freed as soon as it is copied."""
+    parts = [p for p in parts if len(p)]
+    if not parts:
+        return np.empty((0, 0))
+    out, at = np.empty((sum(len(p) for p in parts), parts[0].shape[1])), 0
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        out[at:at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def make_line_kernel():
     """Grouped-map function: ``(bx, by, sse, n)`` of one cell from its text lines.
 
     Input rows ``(kind, part, bx, by, x0, y0, line)`` sorted by kind and part: W lines of block ``bx``, H lines of
-    block ``by``, then the cell's lines.  Two factor blocks and a batch of lines are held; a rating is two row
+    block ``by``, then the cell's lines.  Two factor blocks, a batch of lines as text and one line decoded are held; a rating is two row
     numbers, never a vector.
     """
 
@@ -431,21 +454,23 @@ def make_line_kernel():
             for kind, rows in _runs_of_kind(batch):
                 cell = [rows.column(c)[0].as_py() for c in ("bx", "by", "x0", "y0")]
                 if kind != KIND_RATING:
-                    parts[kind].append(_line_rows(rows.column("line")))
+                    for line in _each_line(rows.column("line")):
+                        parts[kind].append(_line_rows(line))
                     continue
                 if mats is None:
-                    mats = [np.concatenate(parts[k]) if parts[k] else np.empty((0, 0)) for k in (KIND_W, KIND_H)]
-                fields = pc.split_pattern(_filled(rows.column("line"), ";"), ",")
-                if not len(fields):
-                    continue
-                x, y, r = (pc.list_element(fields, i).cast(t).to_numpy(zero_copy_only=False)
-                           for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
-                a, b = x - cell[2], y - cell[3]
-                if min(a.min(), b.min()) < 0 or a.max() >= len(mats[0]) or b.max() >= len(mats[1]):
-                    raise RuntimeError("rating refers to an id without a factor row (line)")
-                diff = r - np.einsum("ij,ij->i", mats[0][a], mats[1][b])
-                sse += float(np.dot(diff, diff))
-                n += len(diff)
+                    mats = [_joined(parts.pop(k)) for k in (KIND_W, KIND_H)]
+                for line in _each_line(rows.column("line")):
+                    fields = pc.split_pattern(_filled(line, ";"), ",")
+                    if not len(fields):
+                        continue
+                    x, y, r = (pc.list_element(fields, i).cast(t).to_numpy(zero_copy_only=False)
+                               for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
+                    a, b = x - cell[2], y - cell[3]
+                    if min(a.min(), b.min()) < 0 or a.max() >= len(mats[0]) or b.max() >= len(mats[1]):
+                        raise RuntimeError("rating refers to an id without a factor row (line)")
+                    diff = r - np.einsum("ij,ij->i", mats[0][a], mats[1][b])
+                    sse += float(np.dot(diff, diff))
+                    n += len(diff)
         yield pa.RecordBatch.from_arrays([pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()),
                                           pa.array([sse], pa.float64()), pa.array([n], pa.int64())],
                                          names=["bx", "by", "sse", "n"])

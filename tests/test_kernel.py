@@ -99,3 +99,31 @@ def test_pieces_of_levels_give_the_same_bits():
                 apply_levels(W1, H1, rw[o], rh[o], r[o], lv[o], 0.01)
             out.append((W1, H1))
         assert all(np.array_equal(out[0][0], w) and np.array_equal(out[0][1], h) for w, h in out[1:])
+
+
+def test_lines_are_decoded_one_at_a_time():
+    """What the line kernel takes beyond its batch follows a line, not the batch."""
+    import pyarrow as pa
+
+    from gridmf.operators import kernel
+
+    factors = "".join(f"{i / 7},{i / 9},;" for i in range(2000))
+    ratings = "".join(f"{i % 2000},{i * 7 % 2000},{i % 5}.5;" for i in range(4000))
+    kinds = [kernel.KIND_W, kernel.KIND_H] + [kernel.KIND_RATING] * 60
+    lines = pa.array([factors, factors] + [ratings] * 60)
+    zeros = pa.array(np.zeros(len(kinds), np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), zeros, zeros, zeros, zeros, zeros, lines],
+                                       names=["kind", "part", "bx", "by", "x0", "y0", "line"])
+    run, seen, split = kernel.make_line_kernel(), [], kernel._filled
+
+    def watched(texts, mark):
+        out = split(texts, mark)
+        seen.append(len(out))
+        return out
+
+    kernel._filled = watched
+    try:
+        out = list(run(iter([batch])))
+    finally:
+        kernel._filled = split
+    assert max(seen) <= 4000 and out[0].column("n")[0].as_py() == 60 * 4000
